@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
-from .common import table
+from . import mpegts, packing, rule_ensemble, sentencepiece_codec, token_counts, toxicity
+from .common import rest_bucket, table
 from .tokens import vocabulary_path
 
 
@@ -13,6 +14,38 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", rest_bucket() != 0)
+    return toxicity.score(docs, model).select("doc_id", (rest_bucket() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"), "quality", rest_bucket() != 0)
+    scored = rule_ensemble.statistics(docs).withColumn("score", model.score())
+    return scored.select("doc_id", (rest_bucket() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_token_counts": op7_token_counts,
+    "op9_media_columns": op9_media_columns,
+}
 
 SQL: dict[str, str] = {}
