@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpegts, packing, rule_ensemble, sentencepiece_codec, token_counts, toxicity
+from . import jaccard_join, mpegts, packing, rule_ensemble, sentencepiece_codec, token_counts, toxicity
 from .common import rest_bucket, table
 from .tokens import vocabulary_path
 
@@ -39,6 +39,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op9_media_columns": op9_media_columns,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
