@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -257,9 +258,7 @@ def across(members: DataFrame, labels: DataFrame, info: DataFrame, threshold: fl
     right = rows.withColumn("r", turn(F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("asks", F.lit(False))
     use = ["key", "l", "r", "asks", "doc_id", "c", "main", "n", "point"]
 
-    def search(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_rows, ask = pdf[~pdf["asks"]], pdf[pdf["asks"]]
         out = []
         if len(tree_rows) and len(ask):

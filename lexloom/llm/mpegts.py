@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,9 +178,7 @@ def read(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds payload, units, stamps and random-access points read back from the stored bytes."""
 
     @F.pandas_udf("payload binary, packets long, units long, stamps array<long>, random_access array<struct<packet: long, pts: long>>, feature string")
-    def parse(column):  # noqa: ANN001
-        import pandas as pd
-
+    def parse(column: pd.Series) -> pd.DataFrame:
         rows = []
         for x in column:
             if x is None:

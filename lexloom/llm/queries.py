@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mpegts, packing, rule_ensemble, sentencepiece_codec, token_counts, toxicity
+from . import jaccard_join, lattice_dedup, line_dedup, mpegts, packing, pii, rule_ensemble, sentencepiece_codec, token_counts, toxicity
 from .common import rest_bucket, table
 from .tokens import vocabulary_path
 
@@ -20,6 +20,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (rest_bucket() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), listed.alias("removed"), "text_deduped")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"), "quality", rest_bucket() != 0)
@@ -31,10 +37,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op6_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.train(pii.labelled(spark)))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(table(spark, sf_dir, "documents"))
 
@@ -46,11 +60,32 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_lattice_dedup": op6_lattice_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_pii_crf": op8_pii_crf,
     "op9_media_columns": op9_media_columns,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH cut AS (
+          SELECT doc_id, text, u.line, u.pos
+          FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u
+        ), place AS (
+          SELECT doc_id, line, pos,
+            coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+            trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm
+          FROM cut
+        ), ranked AS (
+          SELECT *, len(string_split(norm, ' ')) >= 8 AS counts, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS rn FROM place
+        )
+        SELECT doc_id, count(*) FILTER (counts AND rn > 1) AS n_removed,
+          coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY pos) FILTER (counts AND rn > 1), '') AS removed,
+          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (counts AND rn > 1)), '') AS text_deduped
+        FROM ranked GROUP BY doc_id
+    """,
+}

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,9 +176,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """Adds the decoded text; null ids give a null text."""
 
     @F.pandas_udf("string")
-    def run(column):  # noqa: ANN001
-        import pandas as pd
-
+    def run(column: pd.Series) -> pd.Series:
         own = codec(path)
         return pd.Series([None if ids is None else own.decode([int(i) for i in ids if i is not None]) for ids in column])
 
