@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,23 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.mapInArrow(run, schema)
 
 
+def measured(docs: DataFrame, name: str = "__statistics", text_col: str = "text") -> DataFrame:
+    """docs with a struct of STATISTICS; the other columns stay as they are."""
+
+    @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
+    def run(column: pd.Series) -> pd.DataFrame:
+        texts = [x if isinstance(x, str) else "" for x in column]
+        parts, start, size = [], 0, 0
+        for k, x in enumerate(texts):
+            if k > start and size + len(x) > 2_000_000:
+                parts.append(measure(texts[start:k]))
+                start, size = k, 0
+            size += len(x)
+        return pd.DataFrame(np.concatenate([*parts, measure(texts[start:])]), columns=list(STATISTICS))
+
+    return docs.withColumn(name, run(F.col(text_col)))
+
+
 Rule = tuple[tuple[str, str, float], ...]
 
 
@@ -100,8 +118,8 @@ def paths(debug: str, names: tuple[str, ...]) -> set[Rule]:
     return rules
 
 
-def condition(rule: Rule) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(n) <= t if s == "<=" else F.col(n) > t for n, s, t in rule))
+def condition(rule: Rule, within: str = "") -> Column:
+    return reduce(lambda a, b: a & b, (F.col(within + n) <= t if s == "<=" else F.col(within + n) > t for n, s, t in rule))
 
 
 class RuleEnsemble:
@@ -110,8 +128,9 @@ class RuleEnsemble:
     def __init__(self, intercept: float, rules: list[tuple[Rule, float]]):
         self.intercept, self.rules = intercept, rules
 
-    def score(self) -> Column:
-        z = reduce(lambda a, b: a + b, (F.when(condition(r), F.lit(w)).otherwise(0.0) for r, w in self.rules), F.lit(self.intercept))
+    def score(self, within: str = "") -> Column:
+        """The score of rows with the statistics as columns, or as fields of a struct (`within` ends with a dot)."""
+        z = reduce(lambda a, b: a + b, (F.when(condition(r, within), F.lit(w)).otherwise(0.0) for r, w in self.rules), F.lit(self.intercept))
         return 1 / (1 + F.exp(-z))
 
     @classmethod
