@@ -25,4 +25,4 @@ def sized(docs: DataFrame, key: str, text: str, most: int = 900, least: int = 20
     """
     flat = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
     pieces = F.regexp_extract_all(flat, F.lit(rf"((?:.{{{least},{most}}}(?= |$))|(?:.{{1,{most}}}))"), 1)
-    return docs.select(key, F.posexplode(F.transform(pieces, F.trim)).alias("ordinal", "chunk")).where(F.col("chunk") != "")
+    return docs.select(key, F.posexplode(F.transform(pieces, lambda p: F.trim(p))).alias("ordinal", "chunk")).where(F.col("chunk") != "")
