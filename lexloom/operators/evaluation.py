@@ -37,9 +37,9 @@ def value_report(rows: DataFrame, key: str, overall: str, tags: str, strong: flo
     """Per label: count, share, mean, weighted value, the most frequent tags (count, then name) and a verdict."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(overall).alias("mean"))
     total = rows.agg(F.count("*").alias("total"))  # one row
-    tag = rows.select(key, F.explode(tags).alias("tag")).groupBy(key, "tag").agg(F.count("*").alias("k"))
-    ranked = tag.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("k").desc(), "tag"))).where(F.col("r") <= top)
-    names = ranked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), ",").alias("top_tags"))
+    tag = rows.select(key, F.explode(tags).alias("__tag")).groupBy(key, "__tag").agg(F.count("*").alias("__n"))
+    ranked = tag.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("__n").desc(), "__tag"))).where(F.col("__r") <= top)
+    names = ranked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__tag"))), lambda x: x["__tag"]), ",").alias("top_tags"))
     verdict = F.when(F.col("mean") >= strong, "strong").when(F.col("mean") >= mixed, "mixed").otherwise("weak")
     return counts.crossJoin(F.broadcast(total)).join(names, key, "left").select(key, "n", (F.col("n") / F.col("total")).alias("share"), "mean", (F.col("n") * F.col("mean")).alias("weighted"), F.coalesce("top_tags", F.lit("")).alias("top_tags"), verdict.alias("verdict"))
 
