@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, cut
 
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 
@@ -86,6 +86,7 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     rank = F.struct("doc_id", "start")
     kept = _places(own, unit, min_words, True).groupBy("digest").agg(F.sum("n").alias("n"), F.min(rank).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
+    kept = cut(kept)  # with an exchange of its own, the join can split a digest that many rows hold
     every = _places(own, unit, min_words, False)
     gone = every.join(kept, "digest").where((F.col("doc_id") != F.col("keep_id")) | (F.col("start") != F.col("keep_start")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
