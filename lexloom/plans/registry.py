@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import corpus, evaluation, review, search  # noqa: E402, F401
+from . import answers, corpus, evaluation, review, search  # noqa: E402, F401
