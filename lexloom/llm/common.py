@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,33 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_
             size += len(x)
         if batch.num_rows:
             yield {n: v[start:] for n, v in columns.items()}
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups from batches that are sorted by long keys, each with the row numbers where its groups begin and the table ends."""
+    rest: pa.Table | None = None
+    last = None
+
+    def marks(table: pa.Table) -> np.ndarray:
+        k = np.stack([table.column(c).to_numpy() for c in keys], axis=1)
+        return np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        first = tuple(table.column(c)[0].as_py() for c in keys)
+        cuts = marks(table)
+        # a group that goes on gathers its batches and is put together once
+        if held and first == last and not len(cuts):
+            held.append(table)
+            continue
+        end = int(cuts[-1]) if len(cuts) else 0
+        rest = pa.concat_tables([*held, table.slice(0, end)]) if held else table.slice(0, end)
+        if rest.num_rows:
+            yield rest, [0, *marks(rest).tolist(), rest.num_rows]
+        held, last = [table.slice(end)], tuple(table.column(c)[table.num_rows - 1].as_py() for c in keys)
+    if held:
+        rest = pa.concat_tables(held)
+        yield rest, [0, *marks(rest).tolist(), rest.num_rows]

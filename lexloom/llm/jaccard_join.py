@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, whole_groups
 from .components import components
 from .textkit import mix, shingle_sets
 
-GROUPS, SMALL, LEAF, BLOCK = 128, 8, 16, 1024
+GROUPS, SMALL, LEAF, BLOCK, FAMILY = 128, 8, 16, 1024, 256
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 4, 16, 200_000, 2_000
 
 
@@ -205,23 +205,52 @@ def bounded(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets link. texts: doc_id, text of every document in a pair."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) whose full sets link. texts: doc_id, text of every document in a pair.
+
+    Texts travel once for each cell that they have pairs in, not once a pair: candidates that hang together are a family, large families
+    are split into blocks of about FAMILY documents, and a cell is a pair of blocks.
+    """
+    pairs = cut(pairs.select("a", "b"))
+    family = components(pairs, "a", "b")
+    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / FAMILY).cast("long").alias("blocks"))
+    nodes = cut(family.join(blocks, "component").select("node", F.col("component").alias("f"), F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    left, right = nodes.select(F.col("node").alias("a"), "f", F.col("block").alias("i")), nodes.select(F.col("node").alias("b"), F.col("block").alias("j"))
+    cells = cut(pairs.join(left, "a").join(right, "b").select("f", "i", "j", "a", "b"))
+    wanted = cells.select("f", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sent = wanted.join(texts, "doc_id").select("f", "i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = sent.unionByName(cells.withColumn("text", F.lit(None).cast("string"))).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j")
+
+    def check(groups: list[pa.Table]) -> pa.RecordBatch:
+        """Pairs that link, over groups with their texts."""
+        own, of = [], {}
+        for g, group in enumerate(groups):
+            for a, text in zip(group.column("a").to_pylist(), group.column("text").to_pylist(), strict=True):
+                if text is not None:
+                    of[g, a] = len(own)
+                    own.append(text)
+        sets = shingle_sets(own, words)
+        out_a, out_b = [], []
+        for g, group in enumerate(groups):
+            for a, b in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
+                if b is not None:
+                    x, y = sets[of[g, a]], sets[of[g, b]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common and common >= threshold * (len(x) + len(y) - common) - 1e-9:
+                        out_a.append(a)
+                        out_b.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                a, b = part.column(part.schema.get_field_index("a")).to_pylist(), part.column(part.schema.get_field_index("b")).to_pylist()
-                ta, tb = part.column(part.schema.get_field_index("ta")).to_pylist(), part.column(part.schema.get_field_index("tb")).to_pylist()
-                text = {**dict(zip(a, ta, strict=True)), **dict(zip(b, tb, strict=True))}
-                sets = dict(zip(text, shingle_sets([x or "" for x in text.values()], words), strict=True))
-                keep = []
-                for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if common and common >= threshold * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+        held, size = [], 0
+        for table, cuts in whole_groups(batches, ["f", "i", "j"]):
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                held.append(table.slice(x, y - x))
+                size += held[-1].nbytes
+                if size > 4_000_000:
+                    yield check(held)
+                    held, size = [], 0
+        if held:
+            yield check(held)
 
     return rows.mapInArrow(run, "a long, b long")
 

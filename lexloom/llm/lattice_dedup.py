@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_groups
 from .components import components
 from .textkit import mix
 
@@ -140,25 +140,8 @@ def compare(lattice: Lattice, threshold: float):
                 )
             held, size = [], 0
 
-        def groups() -> Iterator[pa.Table]:
-            rest = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-                # all but the last group are whole
-                key = np.stack([rest.column(c).to_numpy() for c in ("cell", "l", "r")], axis=1)
-                last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
-                if last:
-                    yield rest.slice(0, last)
-                rest = rest.slice(last)
-            if rest is not None and rest.num_rows:
-                yield rest
-
-        for part in groups():
+        for part, cuts in whole_groups(batches, ["cell", "l", "r"]):
             part = part.combine_chunks()
-            key = np.stack([part.column(c).to_numpy() for c in ("cell", "l", "r")], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             rep, mult, t = (part.column(c).to_numpy() for c in ("rep", "mult", "t"))
             home, left, right = (part.column(c).to_numpy() for c in ("home", "asks", "holds"))
             v = _matrix(part.column("embedding").chunk(0) if isinstance(part.column("embedding"), pa.ChunkedArray) else part.column("embedding"))
