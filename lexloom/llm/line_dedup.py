@@ -1,16 +1,17 @@
 """Substring dedup by line or paragraph hashing.
 
-Texts are cut at line breaks (or blank lines); a unit is normalised (A-Z lower-cased, runs of white space as one space, trimmed) and hashed to 128
-bits, and units of at least `min_words` words are grouped by digest over all documents. The occurrence with the lowest (document id, start) stays; every other one
-is removed together with the break that follows it. Removed spans keep their offsets in the original text.
+Texts are cut at line breaks (or blank lines), and units of several sentences also into their sentences (after . ! or ? and one space), so
+that a passage inside a line is found as well. A unit is normalised (A-Z lower-cased, runs of white space as one space, trimmed) and hashed to
+128 bits, and units of at least `min_words` words are grouped by digest over all documents. The occurrence with the lowest (document id,
+start) stays and every other one is removed; a line whose sentences are all removed goes with its break. Removed spans keep their offsets in the original text.
 
 Only digests move between machines: per task, a digest goes out once with its earliest place and its count, so a line that fills a third of
 all rows costs one row per task; digests found once are then dropped, and only documents that hold a repeated digest get a list of
 removed places. Offsets are in code points, ends exclusive.
 
 Defined cases: a null text stays null and removes nothing; rows with a null id neither remove nor lose anything; rows that repeat an id are one document, so
-equal rows lose the same spans; empty tables give no rows. Other columns pass through `dedup` unless they are
-named `removed` or `text_deduped`, which are replaced.
+equal rows lose the same spans; empty tables give no rows. Other columns pass through `dedup` unless they are named `removed` or `text_deduped`, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -27,28 +28,41 @@ from pyspark.sql import functions as F
 from .common import chunks, cut
 
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
 
+Span = tuple[int, int]
 
-def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit that has enough words."""
+
+def pieces(text: str, breaks: re.Pattern, start: int = 0) -> list[Span]:
+    """The spans between the breaks."""
     out, at = [], 0
-    cuts = [*((m.start(), m.end()) for m in _BREAKS[unit].finditer(text)), (len(text), len(text))] if unit != "line" else None
-    pieces = text.split("\n") if cuts is None else []
-    for piece in pieces:
+    for m in breaks.finditer(text):
+        out.append((start + at, start + m.start()))
+        at = m.end()
+    return [*out, (start + at, start + len(text))]
+
+
+def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of each unit, and of each sentence of a unit that has several, with enough words."""
+    out = []
+    for start, end in pieces(text, _BREAKS[unit]):
+        if end - start < 2 * min_words - 1:
+            continue
+        piece = text[start:end]
         words = piece.encode().lower().split()
-        if len(words) >= min_words:
-            out.append((at, at + len(piece), xxhash.xxh3_128_digest(b" ".join(words))))
-        at += len(piece) + 1
-    for end, after in cuts or ():
-        words = text[at:end].encode().lower().split()
-        if len(words) >= min_words:
-            out.append((at, end, xxhash.xxh3_128_digest(b" ".join(words))))
-        at = after
+        if len(words) < min_words:
+            continue
+        out.append((start, end, xxhash.xxh3_128_digest(b" ".join(words))))
+        own = pieces(piece, _SENTENCE, start)
+        for a, b in own if len(own) > 1 else ():
+            words = text[a:b].encode().lower().split()
+            if len(words) >= min_words:
+                out.append((a, b, xxhash.xxh3_128_digest(b" ".join(words))))
     return out
 
 
 def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool) -> DataFrame:
-    """(digest, doc_id, start, n): per task and digest the earliest place with the number met; or else every place."""
+    """(digest, doc_id, start, end, n): per task and digest the earliest place with the number met; or else every place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, list] = {}
@@ -82,36 +96,44 @@ def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool) -> Dat
 
 
 def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): per document, the rising (start, end) of the units to remove."""
+    """(doc_id, spans): per document, the rising (start, end) of the repeated units; a sentence may lie in a listed line."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    rank = F.struct("doc_id", "start")
-    kept = _places(own, unit, min_words, True).groupBy("digest").agg(F.sum("n").alias("n"), F.min(rank).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
+    kept = _places(own, unit, min_words, True).groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
     kept = cut(kept)  # with an exchange of its own, the join can split a digest that many rows hold
     every = _places(own, unit, min_words, False)
     gone = every.join(kept, "digest").where((F.col("doc_id") != F.col("keep_id")) | (F.col("start") != F.col("keep_start")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the spans and the break behind each (or, at the end, the break before it)."""
-    out, at = [], 0
-    for start, end in spans:
-        out.append(text[at:start])
-        at = min(end + 1, len(text))
-    out.append(text[at:])
-    left = "".join(out)
-    return left[:-1] if spans and spans[-1][1] == len(text) and left.endswith("\n") else left
+def without(text: str, spans: set[Span], unit: str = "line") -> tuple[str, list[Span]]:
+    """The text without the spans, and those not inside another. Units left are joined by their breaks, sentences by a space."""
+    out, gone = [], []
+    places = pieces(text, _BREAKS[unit])
+    for k, (start, end) in enumerate(places):
+        if (start, end) in spans:
+            gone.append((start, end))
+            continue
+        own = pieces(text[start:end], _SENTENCE, start)
+        left = [s for s in own if s not in spans]
+        gone += [s for s in own if s in spans]
+        if left:
+            if out:
+                out.append(text[places[k - 1][1] : start])
+            out.append(" ".join(text[a:b] for a, b in left))
+    return "".join(out), gone
 
 
 def dedup(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `text_deduped` and `removed` (array of (start, end) in the original text)."""
-    spans = repeats(docs, unit, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("spans").alias("removed"))
+    spans = repeats(docs, unit, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
 
-    @F.pandas_udf("string")
-    def cut_out(text: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or r is None or not len(r) else without(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(text, removed, strict=True)], dtype=object)
+    @F.pandas_udf("text string, removed array<struct<start: long, end: long>>")
+    def cut_out(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
+        made = [(None, []) if t is None else without(t, {(x["start"], x["end"]) for x in r}, unit) for t, r in zip(text, removed, strict=True)]
+        return pd.DataFrame({"text": pd.Series([t for t, _ in made], dtype=object), "removed": [[{"start": a, "end": b} for a, b in gone] for _, gone in made]})
 
     rest = docs.drop("removed", "text_deduped")
     joined = rest.join(spans, rest[id_col].cast("long") == F.col("__id"), "left").drop("__id")
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return joined.withColumn("removed", removed).withColumn("text_deduped", F.when(F.size("removed") == 0, F.col(text_col)).otherwise(cut_out(F.col(text_col), F.col("removed"))))
+    some = F.when(F.col("__spans").isNotNull(), F.col(text_col))  # texts that stay as they are don't go through Python
+    cleaned = joined.withColumn("__cut", cut_out(some, F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))))
+    return cleaned.withColumn("removed", F.col("__cut.removed")).withColumn("text_deduped", F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.col("__cut.text"))).drop("__cut", "__spans")

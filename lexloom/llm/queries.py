@@ -73,19 +73,36 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH cut AS (
-          SELECT doc_id, text, u.line, u.pos
+          SELECT doc_id, u.line, u.pos
           FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u
-        ), place AS (
-          SELECT doc_id, line, pos,
-            coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-            trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm
+        ), lines AS (
+          SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+            string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS parts
           FROM cut
+        ), sentences AS (
+          SELECT doc_id, pos, len(parts) AS n, start AS line_start, line, s.part, s.k,
+            (start + coalesce(sum(length(s.part) + 1) OVER (PARTITION BY doc_id, pos ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
+          FROM lines, LATERAL (SELECT unnest(parts) AS part, generate_subscripts(parts, 1) AS k) s
+        ), place AS (
+          SELECT doc_id, pos, 0 AS k, start, line AS unit FROM lines
+          UNION ALL SELECT doc_id, pos, k, start, part FROM sentences WHERE n > 1
+        ), norm AS (
+          SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm FROM place
         ), ranked AS (
-          SELECT *, len(string_split(norm, ' ')) >= 8 AS counts, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS rn FROM place
+          SELECT *, len(string_split(norm, ' ')) >= 8 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone FROM norm
+        ), whole AS (
+          SELECT doc_id, pos, start, unit, gone FROM ranked WHERE k = 0
+        ), inner_parts AS (
+          SELECT r.doc_id, r.pos, count(*) FILTER (r.gone) AS n_gone, string_agg(r.unit, ' ' ORDER BY r.k) FILTER (NOT r.gone) AS kept,
+            string_agg(r.start || ':' || (r.start + length(r.unit)), ',' ORDER BY r.k) FILTER (r.gone) AS spans
+          FROM ranked r WHERE k > 0 GROUP BY ALL
+        ), per_line AS (
+          SELECT w.doc_id, w.pos, CASE WHEN w.gone THEN 1 ELSE coalesce(i.n_gone, 0) END AS n_gone,
+            CASE WHEN w.gone THEN w.start || ':' || (w.start + length(w.unit)) ELSE i.spans END AS spans,
+            CASE WHEN w.gone THEN NULL WHEN i.doc_id IS NULL THEN w.unit ELSE i.kept END AS kept
+          FROM whole w LEFT JOIN inner_parts i USING (doc_id, pos)
         )
-        SELECT doc_id, count(*) FILTER (counts AND rn > 1) AS n_removed,
-          coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY pos) FILTER (counts AND rn > 1), '') AS removed,
-          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (counts AND rn > 1)), '') AS text_deduped
-        FROM ranked GROUP BY doc_id
+        SELECT doc_id, sum(n_gone)::BIGINT AS n_removed, coalesce(string_agg(spans, ',' ORDER BY pos), '') AS removed, coalesce(string_agg(kept, chr(10) ORDER BY pos), '') AS text_deduped
+        FROM per_line GROUP BY doc_id
     """,
 }
