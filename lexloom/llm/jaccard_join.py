@@ -11,7 +11,7 @@ own small tree: leaves of similar points with the coordinates' maxima as box, te
 2. `heavy`: shingles met several times within tasks, counted over all tasks. They come last in the order, which spares buckets of
    common passages. This only orders the work: any order gives the same links.
 3. Buckets of up to SMALL members give all their pairs; larger ones (split by salt if heavy) give chains and stars.
-4. Pairs that pass the bound are verified on the texts' full sets; components are formed.
+4. Pairs that pass the bound are tested by summed minima over finer groups, then verified on the texts' full sets; components are formed.
 5. Larger buckets that still hold several components are searched whole: the members outside the bucket's largest component query
    the trees of all its members, in blocks, and the pairs between different components that pass the bound are verified.
 So no link between different components is missed, and no group is expanded into all its pairs.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,12 @@ from .common import chunks, cut, whole_groups
 from .components import components
 from .textkit import mix, shingle_sets
 
-GROUPS, SMALL, LEAF, BLOCK, FAMILY = 128, 8, 16, 1024, 256
+GROUPS, SMALL, LEAF, BLOCK = 128, 8, 16, 1024
+FINE_BITS, FINE_BLOCK, TEXT_BLOCK = 13, 4_000_000, 500_000
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 4, 16, 200_000, 2_000
 
 
-NAMES = ["doc_id", "n", "digest", "point", "shingle"]
+NAMES = ["doc_id", "n", "digest", "point", "fine", "shingle"]
 
 
 def point(own: np.ndarray) -> np.ndarray:
@@ -51,7 +53,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def survey(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (doc_id, n, digest, point), and of shingles that a task met in HEAVY_LOCAL different sets or more (shingle, n)."""
+    """Rows of documents (doc_id, n, digest, point, fine), and of shingles that a task met in HEAVY_LOCAL different sets or more (shingle, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -62,7 +64,7 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
             values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             keep = n >= HEAVY_LOCAL
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[keep], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64))], names=NAMES)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[keep], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64))], names=NAMES)
 
         for part in chunks(batches):
             rows = []
@@ -72,14 +74,14 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(digest)
                     held.append(own)
                     size += len(own)
-                rows.append((doc_id, len(own), digest, point(own).tobytes()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)), pa.nulls(len(rows), pa.int64())], names=NAMES)
+                rows.append((doc_id, len(own), digest, point(own).tobytes(), finely(own)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)), pa.nulls(len(rows), pa.int64())], names=NAMES)
             if size > 4_000_000:
                 yield often()
                 held, size = [], 0
         yield often()
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, point binary, shingle long")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, point binary, fine binary, shingle long")
 
 
 def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -204,57 +206,96 @@ def bounded(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, same boolean")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets link. texts: doc_id, text of every document in a pair.
+def finely(own: np.ndarray) -> bytes:
+    """The counts in 2^FINE_BITS groups of a rising set, as steps from one shingle's group to the next; a byte of 255 adds to the one after it."""
+    step = np.diff((own >> np.uint64(64 - FINE_BITS)).astype(np.int64), prepend=0)
+    out = np.full(len(own) + int((step // 255).sum()), 255, dtype=np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def fine_counts(steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The groups that hold shingles, and how many each holds."""
+    x = np.frombuffer(steps, dtype=np.uint8)
+    return np.unique(np.cumsum(x, dtype=np.int64)[x != 255], return_counts=True)
+
+
+def check_fine(of: dict[int, bytes], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs' summed minima over the fine groups reach the overlap needed."""
+    fine = {d: fine_counts(x) for d, x in of.items()}
+    n = {d: int(k.sum()) for d, (_, k) in fine.items()}
+    row, last, out = np.zeros(1 << FINE_BITS, dtype=np.int64), None, np.zeros(len(a), dtype=bool)
+    for i in np.argsort(a, kind="stable").tolist():
+        x, y = int(a[i]), int(b[i])
+        if x != last:
+            row[:] = 0
+            row[fine[x][0]] = fine[x][1]
+            last = x
+        groups, k = fine[y]
+        out[i] = np.minimum(row[groups], k).sum() >= needed(n[x], n[y], threshold)
+    return out
+
+
+def check_texts(words: int):
+    def check(of: dict[int, bytes], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs' full sets link."""
+        sets: dict[int, np.ndarray] = {}
+        held, size = [], 0
+        for k, (d, raw) in enumerate(of.items(), 1):
+            held.append((d, raw.decode()))
+            size += len(raw)
+            if size > 2_000_000 or k == len(of):
+                sets.update(zip((x for x, _ in held), shingle_sets([x for _, x in held], words), strict=True))
+                held, size = [], 0
+        out = np.zeros(len(a), dtype=bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            out[i] = common and common >= threshold * (len(sets[x]) + len(sets[y]) - common) - 1e-9
+        return out
+
+    return check
+
+
+def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int, threshold: float, check) -> DataFrame:
+    """The pairs (a, b) that `check` keeps, given the payload (doc_id, payload) of both.
 
-    Texts travel once for each cell that they have pairs in, not once a pair: candidates that hang together are a family, large families
-    are split into blocks of about FAMILY documents, and a cell is a pair of blocks.
+    A payload travels once for each cell that it has pairs in, not once a pair: a family (node, f, n) of candidates that hang together is split into
+    blocks of about `most` shingles, and a cell is a pair of blocks.
     """
-    pairs = cut(pairs.select("a", "b"))
-    family = components(pairs, "a", "b")
-    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / FAMILY).cast("long").alias("blocks"))
-    nodes = cut(family.join(blocks, "component").select("node", F.col("component").alias("f"), F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    blocks = family.groupBy("f").agg(F.ceil(F.sum("n") / most).cast("long").alias("blocks"))
+    nodes = cut(family.join(blocks, "f").select("node", "f", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
     left, right = nodes.select(F.col("node").alias("a"), "f", F.col("block").alias("i")), nodes.select(F.col("node").alias("b"), F.col("block").alias("j"))
     cells = cut(pairs.join(left, "a").join(right, "b").select("f", "i", "j", "a", "b"))
     wanted = cells.select("f", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sent = wanted.join(texts, "doc_id").select("f", "i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = sent.unionByName(cells.withColumn("text", F.lit(None).cast("string"))).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j")
-
-    def check(groups: list[pa.Table]) -> pa.RecordBatch:
-        """Pairs that link, over groups with their texts."""
-        own, of = [], {}
-        for g, group in enumerate(groups):
-            for a, text in zip(group.column("a").to_pylist(), group.column("text").to_pylist(), strict=True):
-                if text is not None:
-                    of[g, a] = len(own)
-                    own.append(text)
-        sets = shingle_sets(own, words)
-        out_a, out_b = [], []
-        for g, group in enumerate(groups):
-            for a, b in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
-                if b is not None:
-                    x, y = sets[of[g, a]], sets[of[g, b]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common and common >= threshold * (len(x) + len(y) - common) - 1e-9:
-                        out_a.append(a)
-                        out_b.append(b)
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+    sent = wanted.join(payload, "doc_id").select("f", "i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
+    rows = sent.unionByName(cells.withColumn("payload", F.lit(None).cast("binary"))).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for table, cuts in whole_groups(batches, ["f", "i", "j"]):
             for x, y in zip(cuts, cuts[1:], strict=False):
-                held.append(table.slice(x, y - x))
-                size += held[-1].nbytes
-                if size > 4_000_000:
-                    yield check(held)
-                    held, size = [], 0
-        if held:
-            yield check(held)
+                own = table.slice(x, y - x)
+                pair = own.column("b").is_valid()
+                of = own.filter(pc.invert(pair))
+                own = own.filter(pair)
+                a, b = own.column("a").to_numpy(), own.column("b").to_numpy()
+                keep = check(dict(zip(of.column("a").to_pylist(), of.column("payload").to_pylist(), strict=True)), a, b, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, docs: DataFrame, surveyed: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full sets link: those that the fine counts leave are held against the texts."""
+    pairs = cut(pairs.select("a", "b"))
+    sizes = surveyed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n"))
+    family = cut(components(pairs, "a", "b").join(sizes, F.col("node") == F.col("doc_id")).select("node", F.col("component").alias("f"), "n"))
+    fine = surveyed.where("doc_id IS NOT NULL").select("doc_id", F.col("fine").alias("payload"))
+    close = cut(in_cells(pairs, family, fine, FINE_BLOCK, threshold, check_fine))
+    wanted = cut(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    return in_cells(close, family.join(wanted, F.col("node") == F.col("doc_id"), "left_semi"), texts, TEXT_BLOCK, threshold, check_texts(words))
+
+
 class CountTree:
     """A packed tree over points: leaves of LEAF points of similar size and shape, each with its coordinates' maxima and least size."""
 
@@ -317,13 +358,11 @@ def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str =
     pairs = found.where("kind = 'pair'").select("a", "b").distinct()
     members = found.where("kind = 'member'").select(F.col("b").alias("key"), F.col("a").alias("doc_id"))
     likely = cut(bounded(pairs, info, threshold))
-    wanted = likely.where("NOT same").select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi"))
-    near = cut(verified(likely.where("NOT same").select("a", "b"), texts, words, threshold))
+    near = cut(verified(likely.where("NOT same"), docs, surveyed, words, threshold))
     copies = found.where("kind = 'copy'").select("a", "b")
     links = near.unionByName(likely.where("same").select("a", "b")).unionByName(copies)
     labels = components(links, "a", "b")
-    more = cut(verified(across(members, labels, info, threshold), texts, words, threshold))
+    more = cut(verified(across(members, labels, info, threshold), docs, surveyed, words, threshold))
     if more.limit(1).count():
         labels = components(links.unionByName(more), "a", "b")
     return rows.select("doc_id", "n").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
