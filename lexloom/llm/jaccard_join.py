@@ -10,7 +10,7 @@ own small tree: leaves of similar points with the coordinates' maxima as box, te
 1. `survey`: sizes, points and digests of the sets; within a task, equal sets are linked at once and go on as one.
 2. `heavy`: shingles met several times within tasks, counted over all tasks. They come last in the order, which spares buckets of
    common passages. This only orders the work: any order gives the same links.
-3. Buckets of up to SMALL members give all their pairs; larger ones (split by salt if heavy) give chains and stars.
+3. Buckets of up to SMALL members give all their pairs; larger ones give chains and stars, and heavy ones are split by salt for that.
 4. Pairs that pass the bound are tested by summed minima over finer groups, then verified on the texts' full sets; components are formed.
 5. Larger buckets that still hold several components are searched whole: the members outside the bucket's largest component query
    the trees of all its members, in blocks, and the pairs between different components that pass the bound are verified.
@@ -36,7 +36,7 @@ from .common import chunks, cut, whole_groups
 from .components import components
 from .textkit import mix, shingle_sets
 
-GROUPS, SMALL, LEAF, BLOCK = 128, 8, 16, 1024
+GROUPS, SMALL, LEAF, BLOCK = 512, 8, 16, 1024
 FINE_BITS, FINE_BLOCK, TEXT_BLOCK = 13, 4_000_000, 500_000
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 4, 16, 200_000, 2_000
 
@@ -45,7 +45,21 @@ NAMES = ["doc_id", "n", "digest", "point", "fine", "shingle"]
 
 
 def point(own: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=GROUPS), 65_535).astype(np.uint16)
+    """The counts per group, as far as they fit a byte."""
+    return np.minimum(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, GROUPS)
+
+
+def total(points: np.ndarray) -> np.ndarray:
+    return points.astype(np.float32) @ np.ones(GROUPS, dtype=np.float32)
+
+
+def most_common(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps: summed minima, and what doesn't fit the bytes on both sides."""
+    return total(np.minimum(x, y)) + np.minimum(nx - total(x), ny - total(y))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,47 +98,49 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, point binary, fine binary, shingle long")
 
 
-def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, doc_id, n) for the first shingles of each set in the common order: light ones by hash, then heavy ones; heavy keys carry a salt.
+def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, salt, doc_id, n) for the first shingles of each set in the common order: light ones by hash, then heavy ones, the less frequent first.
 
-    A set that the task has met before has one row instead, (its document, the first such document, -1).
+    A key of SALT_ROWS or more has salts from 1, others 0. A set that the task has met before has one row instead, (its document, 0, the first such
+    document, -1).
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(heavy)  # at most HEAVY_MOST entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, salts = shared.value
+        often, ranks, salts = shared.value
         seen: dict[bytes, int] = {}
         for part in chunks(batches):
-            out_k, out_d, out_n = [], [], []
+            out_k, out_s, out_d, out_n = [], [], [], []
             for doc_id, own in zip(part["doc_id"], shingle_sets(part["text"], words), strict=True):
                 if doc_id is None or not len(own):
                     continue
                 same = seen.setdefault(xxhash.xxh3_128_digest(own.tobytes()), doc_id)
                 if same != doc_id:
                     out_k.append(np.array([doc_id]).view(np.uint64))
+                    out_s.append(np.zeros(1, dtype=np.int32))
                     out_d.append(np.array([same]))
                     out_n.append(np.array([-1], dtype=np.int32))
                     continue
                 take = len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1
+                chosen, salt = own[:take], np.zeros(take, dtype=np.int32)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
                     is_heavy = often[at] == own
-                    light = own[~is_heavy]
-                    chosen = light[:take]
-                    if len(chosen) < take:
-                        late = own[is_heavy][: take - len(chosen)]
-                        own_salt = mix(late ^ np.uint64(doc_id & 0xFFFFFFFFFFFFFFFF)) % salts[at[is_heavy][: len(late)]]
-                        chosen = np.concatenate([chosen, mix(late + own_salt)])
-                else:
-                    chosen = own[:take]
+                    light = own[~is_heavy][:take]
+                    at = at[is_heavy]
+                    at = at[np.argsort(ranks[at], kind="stable")][: take - len(light)]
+                    chosen = np.concatenate([light, often[at]])
+                    own_salt = mix(often[at] ^ np.uint64(doc_id & 0xFFFFFFFFFFFFFFFF)) % salts[at] + np.uint64(1)
+                    salt[len(light) :] = np.where(salts[at] > 1, own_salt, 0)
                 out_k.append(chosen)
+                out_s.append(salt)
                 out_d.append(np.full(len(chosen), doc_id, dtype=np.int64))
                 out_n.append(np.full(len(chosen), len(own), dtype=np.int32))
             if out_k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k).view(np.int64)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_n))], names=["key", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k).view(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_n))], names=["key", "salt", "doc_id", "n"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, n int")
+    return docs.mapInArrow(run, "key long, salt int, doc_id long, n int")
 
 
 def batch_of(kind: str, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -134,35 +150,35 @@ def batch_of(kind: str, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch
 
 
 def buckets(threshold: float):
-    """Of a partition's (key, doc_id, n): candidate pairs, members (a, bucket b) of buckets too large to give all pairs, and copies, by kind."""
+    """Of a partition's (key, salt, doc_id, n): candidate pairs, members (a, bucket b) of buckets that are too large to give all pairs or are split, and copies, by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+        parts = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
         if not parts:
             return
-        k, d, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        k, salt, d, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         yield from batch_of("copy", k[n < 0], d[n < 0])
-        k, d, n = k[n >= 0], d[n >= 0], n[n >= 0]
+        k, salt, d, n = k[n >= 0], salt[n >= 0], d[n >= 0], n[n >= 0]
         if not len(k):
             return
-        order = np.argsort(k, kind="stable")
-        k = k[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
+        order = np.lexsort((salt, k))
+        k, salt = k[order], salt[order]
+        first = np.concatenate([[True], (k[1:] != k[:-1]) | (salt[1:] != salt[:-1])])
         group = np.cumsum(first) - 1
-        size = np.bincount(group)
-        order, keep = order[size[group] > 1], size[group] > 1
+        keep = (np.bincount(group)[group] > 1) | (salt > 0)
+        order, salt = order[keep], salt[keep]
         k, group = k[keep], group[keep]
         d, n = d[order], n[order]
         order = np.lexsort((d, n, group))
-        k, group, d, n = k[order], group[order], d[order], n[order]
+        k, salt, group, d, n = k[order], salt[order], group[order], d[order], n[order]
         if not len(k):
             return
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         size = np.diff(np.concatenate([start, [len(k)]]))
         each = np.repeat(np.arange(len(start)), size)
         place = np.arange(len(k)) - start[each]
-        large = size[each] > SMALL
+        large = (size[each] > SMALL) | (salt > 0)
         pairs = []
         for step in range(1, SMALL):  # all pairs of small buckets, neighbours by size in large ones
             i = np.flatnonzero((place >= step) & (~large if step > 1 else True))
@@ -197,9 +213,9 @@ def bounded(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             col = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
-            x, y = (np.frombuffer(b"".join(col[p].to_pylist()), dtype=np.uint16).reshape(-1, GROUPS) for p in ("pa", "pb"))
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            keep = most >= needed(col["na"].to_numpy(), col["nb"].to_numpy(), threshold)
+            x, y = (points_of(col[p].to_pylist()) for p in ("pa", "pb"))
+            nx, ny = col["na"].to_numpy(), col["nb"].to_numpy()
+            keep = most_common(x, nx, y, ny) >= needed(nx, ny, threshold)
             same = np.array([p == q for p, q in zip(col["da"].to_pylist(), col["db"].to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(col["a"].to_numpy()[keep]), pa.array(col["b"].to_numpy()[keep]), pa.array(same[keep])], names=["a", "b", "same"])
 
@@ -297,29 +313,34 @@ def verified(pairs: DataFrame, docs: DataFrame, surveyed: DataFrame, words: int,
 
 
 class CountTree:
-    """A packed tree over points: leaves of LEAF points of similar size and shape, each with its coordinates' maxima and least size."""
+    """A packed tree over points: leaves of LEAF points of similar size and shape, each with its coordinates' maxima and its range of sizes."""
 
     def __init__(self, points: np.ndarray, n: np.ndarray):
         widest = points.std(axis=0).argsort()[::-1][:2] if len(points) else [0, 0]
         order = np.lexsort((points[:, widest[1]], points[:, widest[0]], n))
         self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+        self.points, self.n, self.over = points, n, n - total(points)
         self.high = np.stack([points[x].max(axis=0) for x in self.leaves])
-        self.least = np.array([n[x].min() for x in self.leaves])
-        self.points, self.n = points, n
+        self.over_high = np.array([self.over[x].max() for x in self.leaves])
+        self.least, self.most = np.array([n[x].min() for x in self.leaves]), np.array([n[x].max() for x in self.leaves])
 
     def search(self, point: np.ndarray, n: int, threshold: float) -> np.ndarray:
-        """Indexes of the points whose summed minima with this one reach the overlap needed."""
-        open_leaves = np.flatnonzero(np.minimum(self.high, point).sum(axis=1, dtype=np.int64) >= needed(self.least, n, threshold))
+        """Indexes of the points whose bound with this one reaches the overlap needed."""
+        over = n - float(point.sum(dtype=np.int64))
+        open_leaves = np.flatnonzero((self.most >= threshold * n - 1e-9) & (threshold * self.least <= n + 1e-9))
+        high = total(np.minimum(self.high[open_leaves], point)) + np.minimum(self.over_high[open_leaves], over)
+        open_leaves = open_leaves[high >= needed(self.least[open_leaves], n, threshold)]
         if not len(open_leaves):
             return np.zeros(0, dtype=np.int64)
         at = np.concatenate([self.leaves[i] for i in open_leaves])
-        return at[np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64) >= needed(self.n[at], n, threshold)]
+        return at[total(np.minimum(self.points[at], point)) + np.minimum(self.over[at], over) >= needed(self.n[at], n, threshold)]
 
 
 def across(members: DataFrame, labels: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and pass the bound: outsiders of each bucket against the trees of all its members."""
     known = cut(members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c")))
-    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *(F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in range(2))).where("lo <> hi")
+    mixed = mixed.groupBy("size", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", "size")  # buckets of the same members are one
     counted = known.join(mixed, "key").groupBy("key", "size", "c").agg(F.count("*").alias("k"))
     largest = counted.groupBy("key", "size").agg(F.max(F.struct("k", "c")).alias("top")).select("key", F.col("top.c").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.k")) / BLOCK).cast("int").alias("lefts"))
     rows = known.join(largest, "key").join(info.select("doc_id", "n", "point"), "doc_id")
@@ -333,10 +354,10 @@ def across(members: DataFrame, labels: DataFrame, info: DataFrame, threshold: fl
         out = []
         if len(tree_rows) and len(ask):
             ids, c = tree_rows["doc_id"].to_numpy(), tree_rows["c"].to_numpy()
-            tree = CountTree(np.frombuffer(b"".join(tree_rows["point"]), dtype=np.uint16).reshape(-1, GROUPS), tree_rows["n"].to_numpy())
+            tree = CountTree(points_of(list(tree_rows["point"])), tree_rows["n"].to_numpy())
             outside = c != tree_rows["main"].to_numpy()
             for d, own, n, p in zip(ask["doc_id"], ask["c"], ask["n"], ask["point"], strict=True):
-                hit = tree.search(np.frombuffer(p, dtype=np.uint16), n, threshold)
+                hit = tree.search(np.frombuffer(p, dtype=np.uint8), n, threshold)
                 hit = hit[(c[hit] != own) & (~outside[hit] | (ids[hit] > d))]
                 out += [(min(d, x), max(d, x)) for x in ids[hit].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -353,8 +374,8 @@ def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str =
     often = surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_TOTAL).orderBy(F.col("n").desc(), "shingle").limit(HEAVY_MOST).toArrow()
     values, n = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(values)
-    heavy = (values[order], (n[order] // SALT_ROWS + 1).astype(np.uint64))
-    found = cut(keys(docs, words, threshold, heavy).repartition("key").mapInArrow(buckets(threshold), "kind string, a long, b long"))
+    heavy = (values[order], np.log2(n[order]).astype(np.int8), (n[order] // SALT_ROWS + 1).astype(np.uint64))
+    found = cut(keys(docs, words, threshold, heavy).repartition("key", "salt").mapInArrow(buckets(threshold), "kind string, a long, b long"))
     pairs = found.where("kind = 'pair'").select("a", "b").distinct()
     members = found.where("kind = 'member'").select(F.col("b").alias("key"), F.col("a").alias("doc_id"))
     likely = cut(bounded(pairs, info, threshold))
