@@ -38,7 +38,7 @@ def rest_bucket(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[dict[str, list]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[dict[str, list]]:
     """Columns of the batches as lists, in slices of about `most` characters (a longer text stands alone); null texts become empty."""
     for batch in batches:
         columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}

@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -90,7 +89,7 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
                     size += len(own)
                 rows.append((doc_id, len(own), digest, point(own).tobytes(), finely(own)))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)), pa.nulls(len(rows), pa.int64())], names=NAMES)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield often()
                 held, size = [], 0
         yield often()
@@ -347,22 +346,31 @@ def across(members: DataFrame, labels: DataFrame, info: DataFrame, threshold: fl
     turn = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     left = rows.where("c <> main").withColumn("l", turn(F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("asks", F.lit(True))
     right = rows.withColumn("r", turn(F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("asks", F.lit(False))
-    use = ["key", "l", "r", "asks", "doc_id", "c", "main", "n", "point"]
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree_rows, ask = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        out = []
-        if len(tree_rows) and len(ask):
-            ids, c = tree_rows["doc_id"].to_numpy(), tree_rows["c"].to_numpy()
-            tree = CountTree(points_of(list(tree_rows["point"])), tree_rows["n"].to_numpy())
-            outside = c != tree_rows["main"].to_numpy()
-            for d, own, n, p in zip(ask["doc_id"], ask["c"], ask["n"], ask["point"], strict=True):
-                hit = tree.search(np.frombuffer(p, dtype=np.uint8), n, threshold)
-                hit = hit[(c[hit] != own) & (~outside[hit] | (ids[hit] > d))]
-                out += [(min(d, x), max(d, x)) for x in ids[hit].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return left.select(*use).unionByName(right.select(*use)).groupBy("key", "l", "r").applyInPandas(search, "a long, b long").distinct()
+    use = ["key", "l", "r", "asks", "doc_id", "c", "outside", "n", "point"]
+    both = left.unionByName(right).withColumn("outside", F.col("c") != F.col("main")).select(*use).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # a pair meets in many buckets; a task gives it once, or once in a while
+        for table, cuts in whole_groups(batches, ["key", "l", "r"]):
+            asks, ids, c, outside, n = (table.column(x).to_numpy() for x in ("asks", "doc_id", "c", "outside", "n"))
+            points, found = points_of(table.column("point").to_pylist()), set()
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                held, asking = x + np.flatnonzero(~asks[x:y]), x + np.flatnonzero(asks[x:y])
+                if not len(held) or not len(asking):
+                    continue
+                tree = CountTree(points[held], n[held])
+                for i in asking.tolist():
+                    hit = held[tree.search(points[i], int(n[i]), threshold)]
+                    hit = hit[(c[hit] != c[i]) & (~outside[hit] | (ids[hit] > ids[i]))]
+                    d = int(ids[i])
+                    found.update((min(d, o), max(d, o)) for o in ids[hit].tolist())
+            found -= seen
+            if len(seen) + len(found) > 500_000:
+                seen = set()
+            seen |= found
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

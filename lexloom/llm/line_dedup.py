@@ -86,7 +86,7 @@ def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool) -> Dat
                             own[1:4] = doc_id, start, end
             if rows:
                 yield out(rows)
-            if len(best) > 300_000:
+            if len(best) > 120_000:
                 yield out(list(best.values()))
                 best = {}
         if best:

@@ -88,7 +88,7 @@ def measured(docs: DataFrame, name: str = "__statistics", text_col: str = "text"
         texts = [x if isinstance(x, str) else "" for x in column]
         parts, start, size = [], 0, 0
         for k, x in enumerate(texts):
-            if k > start and size + len(x) > 2_000_000:
+            if k > start and size + len(x) > 1_000_000:
                 parts.append(measure(texts[start:k]))
                 start, size = k, 0
             size += len(x)

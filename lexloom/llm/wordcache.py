@@ -11,7 +11,7 @@ class ChunkCache:
     The cache is emptied when it holds `most` entries, so its memory does not follow the corpus.
     """
 
-    def __init__(self, fill: Callable[[list], Iterable], most: int = 400_000):
+    def __init__(self, fill: Callable[[list], Iterable], most: int = 120_000):
         self.fill, self.most, self.known = fill, most, {}
 
     def get(self, wanted: set) -> dict:
