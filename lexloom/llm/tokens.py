@@ -42,8 +42,8 @@ class WordBpe:
             self.ends[i] = token.endswith("</w>")
         #: Characters whose lower-casing, normal form and class are settled one by one; anything else takes the whole tokenizer.
         self.simple = regex.compile(r"[\x21-\x3b\x3d-\x7e¡-¬®-įı-ſ]+").fullmatch
-        self.pieces = ChunkCache(self._pieces)
-        self.chunks = ChunkCache(self._chunks)
+        self.pieces = ChunkCache(self._pieces, most=400_000)
+        self.chunks = ChunkCache(self._chunks, most=400_000)
 
     def _pieces(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
