@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document, or an earlier line, has already."""
-    return _with_text(docs, line_dedup.dedup(docs).drop("text").withColumnRenamed("text_deduped", "text"))
+    """Texts without the lines, and the passages inside lines, that an earlier document, or an earlier line, has already."""
+    return _with_text(docs, line_dedup.dedup(docs, runs=True).drop("text").withColumnRenamed("text_deduped", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

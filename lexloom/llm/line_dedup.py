@@ -5,6 +5,10 @@ that a passage inside a line is found as well. A unit is normalised (A-Z lower-c
 128 bits, and units of at least `min_words` words are grouped by digest over all documents. The occurrence with the lowest (document id,
 start) stays and every other one is removed; a line whose sentences are all removed goes with its break. Removed spans keep their offsets in the original text.
 
+With `runs`, lines of any length are units, and a sentence too short to be one is joined with the units after it, and with those before
+it, until the run has `min_words` words (lines may be crossed). A repeated run goes with all of its sentences, so a repeated passage goes whole, while
+a single short sentence inside a line that is not repeated stays.
+
 Only digests move between machines: per task, a digest goes out once with its earliest place and its count, so a line that fills a third of
 all rows costs one row per task; digests found once are then dropped, and only documents that hold a repeated digest get a list of
 removed places. Offsets are in code points, ends exclusive.
@@ -17,6 +21,7 @@ are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,9 +66,50 @@ def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool) -> DataFrame:
+def runs_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of each unit with words, and of its sentences if it has several: long ones alone, short ones in runs of enough words to either side."""
+    out: dict[Span, bytes] = {}
+    flat = []
+    for start, end in pieces(text, _BREAKS[unit]):
+        piece = text[start:end]
+        words = piece.encode().lower().split()
+        if not words:
+            continue
+        out[start, end] = xxhash.xxh3_128_digest(b" ".join(words))
+        own = pieces(piece, _SENTENCE, start)
+        if len(own) > 1:
+            flat += [(a, b, w, True) for a, b in own if (w := text[a:b].encode().lower().split())]
+        else:
+            flat.append((start, end, words, False))
+    for i, (_, _, _, inner) in enumerate(flat):
+        for step in (1, -1) if inner else ():
+            n, j = len(flat[i][2]), i
+            while n < min_words and 0 <= j + step < len(flat):
+                j += step
+                n += len(flat[j][2])
+            lo, hi = min(i, j), max(i, j)
+            span = flat[lo][0], flat[hi][1]
+            if n >= min_words and span not in out:
+                out[span] = xxhash.xxh3_128_digest(b" ".join(w for u in flat[lo : hi + 1] for w in u[2]))
+    return [(a, b, digest) for (a, b), digest in out.items()]
+
+
+def inside(text: str, spans: set[Span], unit: str) -> set[Span]:
+    """The units and sentences of the text that lie in one of the spans."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
+    held = lambda a, b: a < b and (k := bisect_right(starts, a)) > 0 and ends[k - 1] >= b
+    lines = pieces(text, _BREAKS[unit])
+    return {s for start, end in lines for s in ((start, end), *pieces(text[start:end], _SENTENCE, start)) if held(*s)}
+
+
+def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool, runs: bool) -> DataFrame:
     """(digest, doc_id, start, end, n): per task and digest the earliest place with the number met; or else every place."""
 
+    parts_of = runs_of if runs else units
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, list] = {}
 
@@ -73,7 +119,7 @@ def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool) -> Dat
         for part in chunks(batches):
             rows = []
             for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                for start, end, digest in units(text, unit, min_words):
+                for start, end, digest in parts_of(text, unit, min_words):
                     if not first_only:
                         rows.append((digest, doc_id, start, end, 1))
                         continue
@@ -95,12 +141,12 @@ def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool) -> Dat
     return docs.mapInArrow(run, "digest binary, doc_id long, start long, end long, n long")
 
 
-def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): per document, the rising (start, end) of the repeated units; a sentence may lie in a listed line."""
+def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """(doc_id, spans): per document, the rising (start, end) of the repeated units; a sentence may lie in a listed line, or several in a listed run."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    kept = _places(own, unit, min_words, True).groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
+    kept = _places(own, unit, min_words, True, runs).groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
     kept = cut(kept)  # with an exchange of its own, the join can split a digest that many rows hold
-    every = _places(own, unit, min_words, False)
+    every = _places(own, unit, min_words, False, runs)
     gone = every.join(kept, "digest").where((F.col("doc_id") != F.col("keep_id")) | (F.col("start") != F.col("keep_start")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
@@ -123,13 +169,14 @@ def without(text: str, spans: set[Span], unit: str = "line") -> tuple[str, list[
     return "".join(out), gone
 
 
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """docs with `text_deduped` and `removed` (array of (start, end) in the original text)."""
-    spans = repeats(docs, unit, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    spans = repeats(docs, unit, min_words, id_col, text_col, runs).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("text string, removed array<struct<start: long, end: long>>")
     def cut_out(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
-        made = [(None, []) if t is None else without(t, {(x["start"], x["end"]) for x in r}, unit) for t, r in zip(text, removed, strict=True)]
+        held = [set() if t is None else {(x["start"], x["end"]) for x in r} for t, r in zip(text, removed, strict=True)]
+        made = [(None, []) if t is None else without(t, inside(t, s, unit) if runs else s, unit) for t, s in zip(text, held, strict=True)]
         return pd.DataFrame({"text": pd.Series([t for t, _ in made], dtype=object), "removed": [[{"start": a, "end": b} for a, b in gone] for _, gone in made]})
 
     rest = docs.drop("removed", "text_deduped")

@@ -165,6 +165,58 @@ def test_line_dedup_against_brute_force(spark, docs, odd, none):
     assert [line_dedup.units("a b\n\n c d ", "paragraph", 2)[k][:2] for k in (0, 1)] == [(0, 3), (6, 10)]
 
 
+def test_repeated_passages_go_whole(spark):
+    import corpus_pipeline
+
+    inner = "It came. Nobody saw it. Then all of the people in that town went home again. They slept. Well."
+    texts = [f"u{k} begins here. {inner} And u{k} v{k} w{k} x{k} y{k} z{k} ends so. Indeed.\nShort line\n\nAll the other words of u{k} are v{k} here. Indeed." for k in range(3)]
+    texts += ["tail of one. It came.\nNobody saw it. Then a new thing that has its very own words. Indeed."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, frame, DATA).collect()}
+    assert out[0] == texts[0] and out[3] == texts[3]
+    for k in (1, 2):
+        assert out[k] == f"u{k} begins here. And u{k} v{k} w{k} x{k} y{k} z{k} ends so. Indeed.\n\nAll the other words of u{k} are v{k} here. Indeed."
+
+
+def test_runs_lose_nothing_against_brute_force(spark, docs, odd):
+    r = np.random.RandomState(8)
+    made = ["".join(f"{'abc'[r.randint(3)]} " * r.randint(0, 6) + ["e. ", "f!\n", "g\n"][r.randint(3)] for _ in range(20)) for _ in range(12)]
+    mixed = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    words = lambda text: text.encode().lower().split()
+
+    def parts(text):
+        flat, found, at = [], set(), 0
+        for line in text.split("\n"):
+            if words(line):
+                found.add((at, at + len(line)))
+            a, sentences = at, re.split(r"(?<=[.!?]) ", line)
+            for x in sentences:
+                if words(x):
+                    flat.append((a, a + len(x), len(words(x)), len(sentences) > 1))
+                a += len(x) + 1
+            at += len(line) + 1
+        for i in range(len(flat)):
+            for j in range(i, len(flat)):
+                n = sum(u[2] for u in flat[i : j + 1])
+                if n >= 8 and (flat[i][3] and n - (flat[j][2] if j > i else n) < 8 or flat[j][3] and n - (flat[i][2] if j > i else n) < 8):
+                    found.add((flat[i][0], flat[j][1]))
+        return found, flat
+
+    for frame in (mixed, docs, odd):
+        rows = [(x.doc_id, x.text) for x in frame.select("doc_id", "text").collect()]
+        places = [(tuple(words(t[a:b])), d, a, b) for d, t in rows if d is not None for a, b in parts(t or "")[0]]
+        first = {}
+        for w, d, a, _ in places:
+            first[w] = min(first.get(w, (d, a)), (d, a))
+        gone = defaultdict(set)
+        for w, d, a, b in places:
+            if first[w] != (d, a):
+                gone[d].add((a, b))
+        left = lambda d, t: [w for a, b, *_ in parts(t)[1] if not any(x <= a and b <= y for x, y in gone[d]) for w in words(t[a:b])]
+        out = Counter((x.doc_id, None if x.text is None else tuple(words(x.text_deduped))) for x in line_dedup.dedup(frame, runs=True).collect())
+        assert out == Counter((d, None if t is None else tuple(left(d, t))) for d, t in rows)
+
+
 def test_rules_on_held_out_documents(spark, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
