@@ -3,7 +3,7 @@
 The field labels white-space tokens with O, B- and I- tags of the four kinds from word shapes, neighbours' shapes and a few cue words. It is
 trained by gradient ascent on the exact likelihood over a small labelled table (`labelled` makes one; any table of text and spans will do),
 and decoded by Viterbi in numpy over batches of equal-length sequences. A sequence is a stretch of a line around tokens that hold a digit, an
-at sign or a spelt one; stretches farther than REACH tokens from any such token can't hold any of the kinds and are not decoded.
+at sign, or a spelt at or dot in brackets. Every part of the trained forms lies within REACH tokens of such a token; what lies farther from all of them is not decoded.
 
 Spans of the patterns always stay; a span of the field is added if it meets no pattern span and passes its kind's plausibility test.
 Defined cases: a null text is empty and has no spans; repeated rows have the same spans; a null id stays null; empty tables give no rows;
@@ -75,13 +75,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Words that often stand before or inside personal data.
 CUES = frozenset("call phone tel mobile fax dial reach mail email e-mail write contact address host server ip card visa pay account number at dot (at) [at] (dot) [dot]".split())
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]", re.I)
 _TOKEN = re.compile(r"\S+")
 
 
 def shape(token: str) -> str:
     """Letters as a or A, runs shortened to one; digits as 9, runs up to four; signs as they are."""
-    s = re.sub(r"[a-zà-ÿ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", token[:40]))
+    s = re.sub(r"[a-zà-ÿ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", token))
     return re.sub(r"([^a9A])\1+", r"\1", re.sub(r"9{5,}", "9999", re.sub(r"[0-9]", "9", s)))
 
 
@@ -249,7 +249,7 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
 def plausible(kind: str, value: str) -> bool:
     digits = _digits(value)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s*(?:@|[(\[]at[)\]])\s*[\w-]+(?:\s*(?:\.|[(\[]dot[)\]])\s*[\w-]+)+", value, re.I))
+        return bool(re.fullmatch(r"[\w.%+-]+@[\w-]*[a-z][\w-]*|[\w.%+-]+\s*(?:@|[(\[]at[)\]])\s*[\w-]+(?:\s*(?:\.|[(\[]dot[)\]])\s*[\w-]+)+", value, re.I))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", value)
         return len(parts) == 4 and _octets(parts) and not re.search(r"[A-Za-z]", value)

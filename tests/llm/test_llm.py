@@ -340,6 +340,26 @@ def test_field_adds_and_keeps_spans(spark, odd, none):
     assert pii.find(odd, field).count() == odd.count() and pii.find(none, field).count() == 0
 
 
+def test_every_labelled_form_is_found(spark):
+    rows = pii.labelled(spark).collect()
+    field = pii.train(pii.labelled(spark))
+    rows += pii.labelled(spark, copies=4, seed=12).collect()  # other names and digits
+    texts = ["mail bob [at] corp [dot] net today", "mail bob [at] corp [dot] co [dot] uk today please", "see " + "x" * 60 + "@" + "y" * 50 + ".com now", "mail " + "a" * 45 + "(at)corp.com is it"]
+    whole = [t[5:-6] for t in texts[:1]] + [texts[1][5:-13], texts[2][4:-4], texts[3][5:-6]]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([r.text for r in rows] + texts)], "doc_id long, text string")
+    found = {x.doc_id: x.spans.split(",") for x in pii.find(frame, field).collect()}
+    assert [found[len(rows) + k] for k in range(4)] == [[f"email:{t.index(w)}:{t.index(w) + len(w)}"] for t, w in zip(texts, whole, strict=True)]
+    form = lambda s, x: (s.kind, re.sub(r"[a-z]+", lambda m: m[0] if m[0] in ("at", "dot", "com", "org", "net") else "a", re.sub("[0-9]+", "9", x)))
+    hit, seen = Counter(), Counter()
+    for k, r in enumerate(rows):
+        for s in r.spans:
+            value = r.text[s.start : s.end]
+            if s.kind != "card" or pii.luhn(re.sub("[^0-9]", "", value)):
+                seen[form(s, value)] += 1
+                hit[form(s, value)] += f"{s.kind}:{s.start}:{s.end}" in found[k]
+    assert {k for k, _ in seen} == set(pii.KINDS) and {f: (hit[f], n) for f, n in seen.items() if hit[f] < n} == {}
+
+
 def test_transport_streams(spark, odd, none):
     r = np.random.RandomState(4)
     for n in (0, 1, 64, 168, 169, 170, 171, 183, 184, 352, 353, 354, 16_384, 16_385, 16_384 * 5 + 7):
