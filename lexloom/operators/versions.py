@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +28,35 @@ def current_version(rows: DataFrame, group: str, flag: Column, rank: list[Column
     return rows.withColumn("__best", F.row_number().over(best)).where("__best = 1").drop("__best")
 
 
-def supersession(links: DataFrame, node: str, successor: str, most: int = 64) -> DataFrame:
-    """(node, newest, steps): the end of each node's chain by pointer doubling: each round follows twice as many links.
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the folder that the cluster shares (spark.checkpoint.dir; a temporary one only where it is unset) and read it back."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="lexloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    path = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def supersession(links: DataFrame, node: str, successor: str) -> DataFrame:
+    """(node, newest, steps): the end of each node's chain by pointer doubling: each round follows twice as many links, until all chains have ended.
 
-    A chain that runs into a cycle never ends and is left out; `most` bounds the chain's length.
+    Only nodes that have not met their end are joined again, and lineage is cut each round. A node with more links before it than there are
+    in the table runs into a cycle, which never ends, and is left out.
     """
-    own = links.select(F.col(node).alias("node"), F.col(successor).alias("at"), F.when(F.col(successor).isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    reach = 1
-    while reach < most:
-        step = own.select(F.col("node").alias("mid"), F.col("at").alias("next"), F.col("steps").alias("more"))
-        own = own.join(step, F.col("at") == F.col("mid"), "left").select("node", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce(F.when(F.col("next").isNotNull(), F.col("more")), F.lit(0))).alias("steps"))
-        reach *= 2
-    return own.select("node", F.coalesce("at", "node").alias("newest"), "steps")
+    own = links.select(F.col(node).alias("node"), F.col(successor).alias("at"), F.when(F.col(successor).isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col(successor).isNull().alias("done"))
+    own = cut(own)
+    total = own.where("NOT done").count()
+    ended, going, reach = own.where("done"), own.where("NOT done"), 1
+    while reach <= total and not going.isEmpty():
+        step = ended.union(going).select(F.col("node").alias("mid"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("done").alias("last"))
+        further = F.col("next").isNotNull()
+        met = going.join(step, F.col("at") == F.col("mid"), "left")
+        moved = cut(met.select("node", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.when(further, F.col("more")).otherwise(0)).alias("steps"), (~further | F.col("last")).alias("done")))
+        ended, going, reach = ended.union(moved.where("done")), moved.where("NOT done"), 2 * reach
+    return ended.select("node", F.coalesce("at", "node").alias("newest"), "steps")
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

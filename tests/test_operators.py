@@ -52,6 +52,14 @@ def test_versions_and_chains(spark):
     assert values(versions.supersession(links, "n", "s"), "node") == [(1, 3, 2), (2, 3, 1), (3, 3, 0), (4, 4, 0), (5, 9, 1)]
 
 
+def test_long_chains_end_and_cycles_are_left_out(spark):
+    chain = [(k, k + 1 if k < 299 else None) for k in range(300)]
+    cycle = [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (1004, 1004)]
+    links = spark.createDataFrame(chain + cycle, "n long, s long")
+    assert values(versions.supersession(links, "n", "s"), "node") == [(k, 299, 299 - k) for k in range(300)]
+    assert versions.supersession(links.where("n >= 1000"), "n", "s").count() == 0 and versions.supersession(links.where("n < 0"), "n", "s").count() == 0
+
+
 def test_duplicate_anchor_keeps_a_null(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id long, t string")
     assert [(r.id, r.duplicate_of) for r in versions.duplicate_anchor(rows, "t", "id").orderBy("id").collect()] == [(1, None), (2, 1), (3, None)]
