@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars, with lineage cut every round.
 
-Edges of a partition are first contracted to a forest by union-find. A round costs shuffles of the edges that are left, which shrink to one per
-node; the number of rounds grows with the logarithm of the longest chain. Null ends and loops are left out.
+A task first contracts its edges to forests by union-find, some hundred thousand nodes at a time. A round costs shuffles of the edges that
+are left, which shrink to one per node; the number of rounds grows with the logarithm of the longest chain. Null ends and loops are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
+
+FOREST = 500_000  # nodes of a task's forest in memory
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,14 +28,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[x], x = top, root.get(x, x)
         return top
 
+    def out() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in root if find(x) != x]
+        for i in range(0, len(nodes), 100_000):
+            part = nodes[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(u), find(v)
             root[max(a, b)] = min(a, b)
-    nodes = [x for x in root if find(x) != x]
-    for i in range(0, len(nodes), 100_000):
-        part = nodes[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
+        if len(root) > FOREST:
+            yield from out()
+            root = {}
+    yield from out()
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -52,7 +60,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v")))
-        own = cut(small.distinct().mapInArrow(_forest, "u long, v long").distinct())
+        before, own = own, cut(small.distinct().mapInArrow(_forest, "u long, v long").distinct())
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     return own.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

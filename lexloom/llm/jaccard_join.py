@@ -1,23 +1,24 @@
 """N-gram Jaccard join on count-vector trees.
 
-A document is its set of distinct word shingles. Shingle hashes fall into GROUPS groups; the counts per group are the document's point, and for
-two points the sum of the coordinates' minima is an upper bound of the sets' overlap. Two documents link when overlap / union >= threshold.
-
-One tree over all points would not prune: independent texts fill every box. So points are first brought together by an exact rule (two
-linked sets share one of the first n - ceil(t n) + 1 of their shingles in any common order), and every bucket of a shared shingle is its
-own small tree: leaves of similar points with the coordinates' maxima as box, tested against a query point by summed minima, then their points, then the sets.
-
-1. `survey`: sizes, points and digests of the sets; within a task, equal sets are linked at once and go on as one.
-2. `heavy`: shingles met several times within tasks, counted over all tasks. They come last in the order, which spares buckets of
-   common passages. This only orders the work: any order gives the same links.
-3. Buckets of up to SMALL members give all their pairs; larger ones give chains and stars, and heavy ones are split by salt for that.
-4. Pairs that pass the bound are tested by summed minima over finer groups, then verified on the texts' full sets; components are formed.
-5. Larger buckets that still hold several components are searched whole: the members outside the bucket's largest component query
-   the trees of all its members, in blocks, and the pairs between different components that pass the bound are verified.
+A document is its set of distinct word shingles. Shingle hashes fall into groups; the counts per group are the set's point, and for two
+points the sum of the coordinates' minima is an upper bound of the sets' overlap. Two documents link when overlap / union >= threshold.
+Equal sets are one node from the start, named by 64 bits of their digest (two sets with one name would raise an error).
+
+One tree over all points would not prune: independent texts fill every box. So points first meet in buckets by an exact rule (two linked sets
+share one of the first n - ceil(t n) + 1 of their shingles in any common order), and every bucket is a packed tree of its own.
+
+1. `survey`: size, digest and fine counts of each set, and the shingles that a task meets repeatedly. The most frequent ones come last in
+   the order, which spares buckets of common passages. This only orders the work: any order gives the same links.
+2. `buckets`: sorted by Spark and streamed group by group. A bucket of up to LEAF members is a tree of one leaf, whose pairs are all
+   counted; a larger one first gives a chain and a star. A pair goes on if it shares enough of the first shingles (`shared_least`).
+3. Pairs are tested by summed minima over the fine groups, then verified on the texts' full sets; components are formed.
+4. `across`: larger buckets that still hold several components are packed into trees of several levels over all their members, in blocks;
+   the members outside the bucket's largest component query them. What passes the bound is verified in the same way.
 So no link between different components is missed, and no group is expanded into all its pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a null id links with nothing and keeps a null
-component; rows that repeat an id count as one node. Empty tables give no rows; other columns of the input are not read.
+component; a row that repeats an id is a document of its own text, so equal rows agree and different texts under one id may lie in different
+components. Empty tables give no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,97 +32,118 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, whole_groups
+from .common import chunks, cut, release, whole_groups
 from .components import components
 from .textkit import mix, shingle_sets
 
-GROUPS, SMALL, LEAF, BLOCK = 512, 8, 16, 1024
-FINE_BITS, FINE_BLOCK, TEXT_BLOCK = 13, 4_000_000, 500_000
-HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 4, 16, 200_000, 2_000
+LEAF, FANOUT, GROUP_BITS, FINE_BITS = 8, 8, 9, 13
+BLOCK = 1024  # members of a bucket, or of a family of candidates, in one side of a cell
+FINE_BLOCK, TEXT_BLOCK = 4_000_000, 500_000  # shingles in one side of a cell
+HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 2, 16, 200_000, 2_000
 
+SURVEY = "doc_id long, text_hash long, n long, sid long, check long, fine binary, shingle long"
+FOUND = "kind string, a long, b long, na int, nb int, shared int, early boolean"
 
-NAMES = ["doc_id", "n", "digest", "point", "fine", "shingle"]
 
+def arrays(schema: str, columns: list) -> pa.RecordBatch:
+    """A batch of the schema; a None column is all null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    size = next(len(c) for c in columns if c is not None)
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.nulls(size, kinds[t]) if c is None else pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
-def point(own: np.ndarray) -> np.ndarray:
-    """The counts per group, as far as they fit a byte."""
-    return np.minimum(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
+def name_of(own: np.ndarray) -> tuple[int, int]:
+    """The set's name and a second half of its digest."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64).tolist())
 
-def points_of(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, GROUPS)
 
+def finely(own: np.ndarray) -> bytes:
+    """The counts in 2^FINE_BITS groups of a rising set, as steps from one shingle's group to the next; a byte of 255 adds to the one after it."""
+    step = np.diff((own >> np.uint64(64 - FINE_BITS)).astype(np.int64), prepend=0)
+    out = np.full(len(own) + int((step // 255).sum()), 255, dtype=np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out.tobytes()
 
-def total(points: np.ndarray) -> np.ndarray:
-    return points.astype(np.float32) @ np.ones(GROUPS, dtype=np.float32)
 
+def groups_of(steps: bytes) -> np.ndarray:
+    """The fine group of each shingle, rising."""
+    x = np.frombuffer(steps, dtype=np.uint8)
+    return np.cumsum(x, dtype=np.int64)[x != 255]
 
-def most_common(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlaps: summed minima, and what doesn't fit the bytes on both sides."""
-    return total(np.minimum(x, y)) + np.minimum(nx - total(x), ny - total(y))
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    """A row of counts in 2^GROUP_BITS groups for each set."""
+    out = np.zeros((len(raw), 1 << GROUP_BITS), dtype=np.int32)
+    for i, steps in enumerate(raw):
+        out[i] = np.bincount(groups_of(steps) >> (FINE_BITS - GROUP_BITS), minlength=1 << GROUP_BITS)
+    return out
+
+
+def needed(n, m, threshold: float):
+    """The least overlap of linked sets of n and m shingles."""
+    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def shared_least(n, m, threshold: float):
+    """How many of the first n - ceil(t n) + 1 and m - ceil(t m) + 1 shingles linked sets share at least: the rest of a set can't hold more than itself."""
+    return np.maximum(1, needed(n, m, threshold) - np.ceil(threshold * np.maximum(n, m) - 1e-9) + 1)
 
 
 def survey(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (doc_id, n, digest, point, fine), and of shingles that a task met in HEAVY_LOCAL different sets or more (shingle, n)."""
+    """Rows of documents, and of shingles that a task met in HEAVY_LOCAL different sets or more (shingle, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
         def often() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             keep = n >= HEAVY_LOCAL
-            k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n[keep], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[keep].view(np.int64))], names=NAMES)
+            return arrays(SURVEY, [None, None, n[keep], None, None, None, values[keep].view(np.int64)])
 
         for part in chunks(batches):
             rows = []
-            for doc_id, own in zip(part["doc_id"], shingle_sets(part["text"], words), strict=True):
-                digest = xxhash.xxh3_128_digest(own.tobytes())
-                if digest not in seen:
-                    seen.add(digest)
+            for doc_id, text_hash, own in zip(part["doc_id"], part["text_hash"], shingle_sets(part["text"], words), strict=True):
+                sid, check = name_of(own)
+                if sid not in seen:
+                    seen.add(sid)
                     held.append(own)
                     size += len(own)
-                rows.append((doc_id, len(own), digest, point(own).tobytes(), finely(own)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)), pa.nulls(len(rows), pa.int64())], names=NAMES)
+                rows.append((doc_id, text_hash, len(own), sid, check, finely(own), None))
+            yield arrays(SURVEY, list(zip(*rows, strict=True)))
             if size > 2_000_000:
                 yield often()
                 held, size = [], 0
         yield often()
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, point binary, fine binary, shingle long")
+    return docs.mapInArrow(run, SURVEY)
 
 
 def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, salt, doc_id, n) for the first shingles of each set in the common order: light ones by hash, then heavy ones, the less frequent first.
+    """(key, salt, n, sid, early) for the first shingles of each set in the common order: light ones by hash, then heavy ones, the less frequent first.
 
-    A key of SALT_ROWS or more has salts from 1, others 0. A set that the task has met before has one row instead, (its document, 0, the first such
-    document, -1).
+    `early` marks the first n - ceil(2t/(1+t) n) + 1: of two linked sets, the smaller has a shared shingle there. A key of SALT_ROWS or more has
+    salts from 1, others 0.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(heavy)  # at most HEAVY_MOST entries
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY_MOST entries
+    schema = "key long, salt int, n int, sid long, early boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, ranks, salts = shared.value
-        seen: dict[bytes, int] = {}
+        seen: set[int] = set()
         for part in chunks(batches):
-            out_k, out_s, out_d, out_n = [], [], [], []
+            out = []
             for doc_id, own in zip(part["doc_id"], shingle_sets(part["text"], words), strict=True):
                 if doc_id is None or not len(own):
                     continue
-                same = seen.setdefault(xxhash.xxh3_128_digest(own.tobytes()), doc_id)
-                if same != doc_id:
-                    out_k.append(np.array([doc_id]).view(np.uint64))
-                    out_s.append(np.zeros(1, dtype=np.int32))
-                    out_d.append(np.array([same]))
-                    out_n.append(np.array([-1], dtype=np.int32))
+                sid, _ = name_of(own)
+                if sid in seen:
                     continue
-                take = len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1
+                seen.add(sid)
+                n = len(own)
+                take = n - int(np.ceil(threshold * n - 1e-9)) + 1
                 chosen, salt = own[:take], np.zeros(take, dtype=np.int32)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
@@ -130,114 +152,91 @@ def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray,
                     at = at[is_heavy]
                     at = at[np.argsort(ranks[at], kind="stable")][: take - len(light)]
                     chosen = np.concatenate([light, often[at]])
-                    own_salt = mix(often[at] ^ np.uint64(doc_id & 0xFFFFFFFFFFFFFFFF)) % salts[at] + np.uint64(1)
+                    own_salt = mix(often[at] ^ np.uint64(sid & 0xFFFFFFFFFFFFFFFF)) % salts[at] + np.uint64(1)
                     salt[len(light) :] = np.where(salts[at] > 1, own_salt, 0)
-                out_k.append(chosen)
-                out_s.append(salt)
-                out_d.append(np.full(len(chosen), doc_id, dtype=np.int64))
-                out_n.append(np.full(len(chosen), len(own), dtype=np.int32))
-            if out_k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k).view(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_n))], names=["key", "salt", "doc_id", "n"])
-
-    return docs.mapInArrow(run, "key long, salt int, doc_id long, n int")
+                early = np.arange(take) < n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
+                out.append((chosen, salt, np.full(take, n, dtype=np.int32), np.full(take, sid), early))
+            if out:
+                k, *rest = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield arrays(schema, [k.view(np.int64), *rest])
 
-
-def batch_of(kind: str, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(a), 200_000):
-        x, y = a[at : at + 200_000], b[at : at + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.string()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["kind", "a", "b"])
+    return docs.mapInArrow(run, schema)
 
 
 def buckets(threshold: float):
-    """Of a partition's (key, salt, doc_id, n): candidate pairs, members (a, bucket b) of buckets that are too large to give all pairs or are split, and copies, by kind."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
-        if not parts:
-            return
-        k, salt, d, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        yield from batch_of("copy", k[n < 0], d[n < 0])
-        k, salt, d, n = k[n >= 0], salt[n >= 0], d[n >= 0], n[n >= 0]
-        if not len(k):
-            return
-        order = np.lexsort((salt, k))
-        k, salt = k[order], salt[order]
-        first = np.concatenate([[True], (k[1:] != k[:-1]) | (salt[1:] != salt[:-1])])
-        group = np.cumsum(first) - 1
-        keep = (np.bincount(group)[group] > 1) | (salt > 0)
-        order, salt = order[keep], salt[keep]
-        k, group = k[keep], group[keep]
-        d, n = d[order], n[order]
-        order = np.lexsort((d, n, group))
-        k, salt, group, d, n = k[order], salt[order], group[order], d[order], n[order]
-        if not len(k):
-            return
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.concatenate([start, [len(k)]]))
-        each = np.repeat(np.arange(len(start)), size)
-        place = np.arange(len(k)) - start[each]
-        large = (size[each] > SMALL) | (salt > 0)
-        pairs = []
-        for step in range(1, SMALL):  # all pairs of small buckets, neighbours by size in large ones
-            i = np.flatnonzero((place >= step) & (~large if step > 1 else True))
-            pairs.append((i, i - step))
-        i = np.flatnonzero(large)
-        if len(i):
-            leader = np.lexsort((d, each))[start]  # the smallest id of each bucket
-            pairs.append((i, leader[each[i]]))
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        fit = (d[i] != d[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-        i, j = i[fit], j[fit]
-        both = np.unique(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), dtype=np.int64)
-        yield from batch_of("pair", both[:, 0], both[:, 1])
-        yield from batch_of("member", d[large], k[large])
-
-    return run
-
-
-def needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """The least overlap of linked sets of n and m shingles."""
-    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-
-
-def bounded(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, same) of the pairs whose summed minima reach the overlap needed; `same` marks equal sets."""
-    left = info.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("digest").alias("da"), F.col("point").alias("pa"))
-    right = info.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("digest").alias("db"), F.col("point").alias("pb"))
-    rows = pairs.join(left, "a").join(right, "b")
+    """Of a partition's rows, sorted by (key, salt, n, sid), by kind: candidate pairs with the number of leaf buckets that they share (a is the smaller set),
+    members (a, list b) of larger or salted buckets, and how many of a set's first shingles lie in such (large)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        pairs: list = []
+        large_of: list = []
+        held = 0
+        lists: set[int] = set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal pairs, large_of, held
+            if pairs:
+                a, b, na, nb, shared, early = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                order = np.lexsort((b, a))
+                a, b, na, nb, shared, early = (x[order] for x in (a, b, na, nb, shared, early))
+                at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                yield arrays(FOUND, [["pair"] * len(at), a[at], b[at], na[at], nb[at], np.add.reduceat(shared, at), np.logical_or.reduceat(early, at)])
+            if large_of:
+                own, n = np.unique(np.concatenate(large_of), return_counts=True)
+                yield arrays(FOUND, [["large"] * len(own), own, None, None, None, n, None])
+            pairs, large_of, held = [], [], 0
+
+        for table, _ in whole_groups(batches, ["key", "salt"]):
+            k, salt, n, sid, early = (table.column(x).to_numpy() for x in ("key", "salt", "n", "sid", "early"))
+            again = np.concatenate([[False], (k[1:] == k[:-1]) & (salt[1:] == salt[:-1]) & (sid[1:] == sid[:-1])])  # one set from several tasks
+            k, salt, n, sid, early = (x[~again] for x in (k, salt, n, sid, early))
+            start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (salt[1:] != salt[:-1])]))
+            size = np.diff(np.append(start, len(k)))
+            keep = np.repeat((size > 1) | (salt[start] > 0), size)
+            if not keep.any():
                 continue
-            col = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
-            x, y = (points_of(col[p].to_pylist()) for p in ("pa", "pb"))
-            nx, ny = col["na"].to_numpy(), col["nb"].to_numpy()
-            keep = most_common(x, nx, y, ny) >= needed(nx, ny, threshold)
-            same = np.array([p == q for p, q in zip(col["da"].to_pylist(), col["db"].to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(col["a"].to_numpy()[keep]), pa.array(col["b"].to_numpy()[keep]), pa.array(same[keep])], names=["a", "b", "same"])
-
-    return rows.mapInArrow(run, "a long, b long, same boolean")
+            k, salt, n, sid, early = (x[keep] for x in (k, salt, n, sid, early))
+            start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (salt[1:] != salt[:-1])]))
+            size = np.diff(np.append(start, len(k)))
+            each = np.repeat(np.arange(len(start)), size)
+            place = np.arange(len(k)) - start[each]
+            big = (size > LEAF) | (salt[start] > 0)
+            large = big[each]
+            found = []
+            for step in range(1, LEAF):  # all pairs of a leaf, neighbours by size in larger buckets
+                i = np.flatnonzero((place >= step) & (~large if step > 1 else True))
+                found.append((i - step, i))
+            i = np.flatnonzero(large & (place > 0))
+            found.append((start[each[i]], i))
+            lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+            fit = n[lo] >= threshold * n[hi] - 1e-9
+            lo, hi = lo[fit], hi[fit]
+            first = early[lo] | (early[hi] & (n[lo] == n[hi]))
+            # of two equal sizes, the smaller name comes first, by the sort
+            pairs.append((sid[lo], sid[hi], n[lo], n[hi], (~large[lo]).astype(np.int32), first))
+            held += len(lo)
+            if large.any():
+                large_of.append(sid[large])
+                held += int(large.sum())
+                # buckets of the same members are one list; the parts of a salted one come together under its key
+                total = np.add.reduceat(mix(sid.view(np.uint64)), start, dtype=np.uint64)
+                named = np.where(salt[start] > 0, k[start], mix(total + size.astype(np.uint64)).view(np.int64))
+                new = np.array([bool(b) and (s > 0 or x not in lists) for b, s, x in zip(big, salt[start], named.tolist(), strict=True)])
+                lists.update(named[new & (salt[start] == 0)].tolist())
+                if len(lists) > 1_000_000:
+                    lists = set()
+                own = new[each]
+                yield arrays(FOUND, [["member"] * int(own.sum()), sid[own], named[each[own]], n[own], None, None, None])
+            if held > 1_000_000:
+                yield from flush()
+        yield from flush()
 
-
-def finely(own: np.ndarray) -> bytes:
-    """The counts in 2^FINE_BITS groups of a rising set, as steps from one shingle's group to the next; a byte of 255 adds to the one after it."""
-    step = np.diff((own >> np.uint64(64 - FINE_BITS)).astype(np.int64), prepend=0)
-    out = np.full(len(own) + int((step // 255).sum()), 255, dtype=np.uint8)
-    out[np.cumsum(step // 255 + 1) - 1] = step % 255
-    return out.tobytes()
-
-
-def fine_counts(steps: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The groups that hold shingles, and how many each holds."""
-    x = np.frombuffer(steps, dtype=np.uint8)
-    return np.unique(np.cumsum(x, dtype=np.int64)[x != 255], return_counts=True)
+    return run
 
 
 def check_fine(of: dict[int, bytes], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs' summed minima over the fine groups reach the overlap needed."""
-    fine = {d: fine_counts(x) for d, x in of.items()}
+    fine = {d: np.unique(groups_of(x), return_counts=True) for d, x in of.items()}
     n = {d: int(k.sum()) for d, (_, k) in fine.items()}
     row, last, out = np.zeros(1 << FINE_BITS, dtype=np.int64), None, np.zeros(len(a), dtype=bool)
     for i in np.argsort(a, kind="stable").tolist():
@@ -272,17 +271,18 @@ def check_texts(words: int):
 
 
 def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int, threshold: float, check) -> DataFrame:
-    """The pairs (a, b) that `check` keeps, given the payload (doc_id, payload) of both.
+    """The pairs (a, b) that `check` keeps, given the payload (sid, payload) of both.
 
     A payload travels once for each cell that it has pairs in, not once a pair: a family (node, f, n) of candidates that hang together is split into
-    blocks of about `most` shingles, and a cell is a pair of blocks.
+    blocks of about `most` shingles and at most about BLOCK sets, and a cell is a pair of blocks.
     """
-    blocks = family.groupBy("f").agg(F.ceil(F.sum("n") / most).cast("long").alias("blocks"))
+    blocks = family.groupBy("f").agg(F.ceil(F.greatest(F.sum("n") / most, F.count("*") / BLOCK)).cast("long").alias("blocks"))
     nodes = cut(family.join(blocks, "f").select("node", "f", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
     left, right = nodes.select(F.col("node").alias("a"), "f", F.col("block").alias("i")), nodes.select(F.col("node").alias("b"), F.col("block").alias("j"))
     cells = cut(pairs.join(left, "a").join(right, "b").select("f", "i", "j", "a", "b"))
-    wanted = cells.select("f", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sent = wanted.join(payload, "doc_id").select("f", "i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
+    release(nodes)
+    wanted = cells.select("f", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sent = wanted.join(payload, "sid").select("f", "i", "j", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
     rows = sent.unionByName(cells.withColumn("payload", F.lit(None).cast("binary"))).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,70 +294,108 @@ def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int,
                 own = own.filter(pair)
                 a, b = own.column("a").to_numpy(), own.column("b").to_numpy()
                 keep = check(dict(zip(of.column("a").to_pylist(), of.column("payload").to_pylist(), strict=True)), a, b, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+                yield arrays("a long, b long", [a[keep], b[keep]])
 
-    return rows.mapInArrow(run, "a long, b long")
+    kept = cut(rows.mapInArrow(run, "a long, b long"))
+    release(cells)
+    return kept
 
 
-def verified(pairs: DataFrame, docs: DataFrame, surveyed: DataFrame, words: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, fine: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets link: those that the fine counts leave are held against the texts."""
     pairs = cut(pairs.select("a", "b"))
-    sizes = surveyed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n"))
-    family = cut(components(pairs, "a", "b").join(sizes, F.col("node") == F.col("doc_id")).select("node", F.col("component").alias("f"), "n"))
-    fine = surveyed.where("doc_id IS NOT NULL").select("doc_id", F.col("fine").alias("payload"))
-    close = cut(in_cells(pairs, family, fine, FINE_BLOCK, threshold, check_fine))
-    wanted = cut(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("payload"))
-    return in_cells(close, family.join(wanted, F.col("node") == F.col("doc_id"), "left_semi"), texts, TEXT_BLOCK, threshold, check_texts(words))
+    family = cut(components(pairs, "a", "b").join(sets, F.col("node") == F.col("sid")).select("node", F.col("component").alias("f"), "n", "doc_id", "text_hash"))
+    # the set's own document stands for it; rows that repeat it are the same
+    close = in_cells(pairs, family, fine.join(family.select(F.col("node").alias("sid"), "doc_id", "text_hash"), ["sid", "doc_id", "text_hash"], "left_semi").dropDuplicates(["sid"]), FINE_BLOCK, threshold, check_fine)
+    left = cut(family.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+    whole = texts.join(left.select(F.col("node").alias("sid"), "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["sid"]).select("sid", F.col("text").cast("binary").alias("payload"))
+    linked = in_cells(close, left, whole, TEXT_BLOCK, threshold, check_texts(words))
+    release(pairs, family, close, left)
+    return linked
 
 
 class CountTree:
-    """A packed tree over points: leaves of LEAF points of similar size and shape, each with its coordinates' maxima and its range of sizes."""
+    """A packed tree over points: leaves of LEAF neighbours by size and shape, inner nodes of FANOUT children; a node has its coordinates' maxima and its range of sizes."""
 
     def __init__(self, points: np.ndarray, n: np.ndarray):
         widest = points.std(axis=0).argsort()[::-1][:2] if len(points) else [0, 0]
-        order = np.lexsort((points[:, widest[1]], points[:, widest[0]], n))
-        self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-        self.points, self.n, self.over = points, n, n - total(points)
-        self.high = np.stack([points[x].max(axis=0) for x in self.leaves])
-        self.over_high = np.array([self.over[x].max() for x in self.leaves])
-        self.least, self.most = np.array([n[x].min() for x in self.leaves]), np.array([n[x].max() for x in self.leaves])
+        size = np.floor(np.log2(np.maximum(n, 1)) * 4)
+        self.order = np.lexsort((points[:, widest[1]], points[:, widest[0]], size))
+        self.points, self.n = points[self.order], n[self.order]
+        #: (maxima, least size, most size) of each level's nodes, the leaves first
+        self.levels = []
+        high, low_n, high_n, each = self.points, self.n, self.n, LEAF
+        while len(high) > 1 or not self.levels:
+            at = np.arange(0, len(high), each)
+            high, low_n, high_n = np.maximum.reduceat(high, at, axis=0), np.minimum.reduceat(low_n, at), np.maximum.reduceat(high_n, at)
+            self.levels.append((high, low_n, high_n))
+            each = FANOUT
 
     def search(self, point: np.ndarray, n: int, threshold: float) -> np.ndarray:
         """Indexes of the points whose bound with this one reaches the overlap needed."""
-        over = n - float(point.sum(dtype=np.int64))
-        open_leaves = np.flatnonzero((self.most >= threshold * n - 1e-9) & (threshold * self.least <= n + 1e-9))
-        high = total(np.minimum(self.high[open_leaves], point)) + np.minimum(self.over_high[open_leaves], over)
-        open_leaves = open_leaves[high >= needed(self.least[open_leaves], n, threshold)]
-        if not len(open_leaves):
-            return np.zeros(0, dtype=np.int64)
-        at = np.concatenate([self.leaves[i] for i in open_leaves])
-        return at[total(np.minimum(self.points[at], point)) + np.minimum(self.over[at], over) >= needed(self.n[at], n, threshold)]
-
-
-def across(members: DataFrame, labels: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and pass the bound: outsiders of each bucket against the trees of all its members."""
-    known = cut(members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c")))
-    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *(F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in range(2))).where("lo <> hi")
-    mixed = mixed.groupBy("size", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", "size")  # buckets of the same members are one
-    counted = known.join(mixed, "key").groupBy("key", "size", "c").agg(F.count("*").alias("k"))
-    largest = counted.groupBy("key", "size").agg(F.max(F.struct("k", "c")).alias("top")).select("key", F.col("top.c").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.k")) / BLOCK).cast("int").alias("lefts"))
-    rows = known.join(largest, "key").join(info.select("doc_id", "n", "point"), "doc_id")
-    turn = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    left = rows.where("c <> main").withColumn("l", turn(F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("asks", F.lit(True))
-    right = rows.withColumn("r", turn(F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("asks", F.lit(False))
-    use = ["key", "l", "r", "asks", "doc_id", "c", "outside", "n", "point"]
-    both = left.unionByName(right).withColumn("outside", F.col("c") != F.col("main")).select(*use).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+        open_nodes = np.arange(len(self.levels[-1][0]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            high, low_n, high_n = (x[open_nodes] for x in self.levels[k])
+            near = (high_n >= threshold * n - 1e-9) & (threshold * low_n <= n + 1e-9)
+            near[near] = np.minimum(high[near], point).sum(axis=1) >= needed(np.maximum(low_n[near], np.ceil(threshold * n - 1e-9)), n, threshold)
+            each, below = (FANOUT, len(self.levels[k - 1][0])) if k else (LEAF, len(self.points))
+            open_nodes = (open_nodes[near][:, None] * each + np.arange(each)).reshape(-1)
+            open_nodes = open_nodes[open_nodes < below]
+        own = open_nodes[np.minimum(self.points[open_nodes], point).sum(axis=1) >= needed(self.n[open_nodes], n, threshold)]
+        return self.order[own]
+
+
+def viable(threshold: float):
+    """Of lists of at most BLOCK members, those that may link across components by their sizes and first shingles in larger buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # a pair meets in many buckets; a task gives it once, or once in a while
-        for table, cuts in whole_groups(batches, ["key", "l", "r"]):
-            asks, ids, c, outside, n = (table.column(x).to_numpy() for x in ("asks", "doc_id", "c", "outside", "n"))
-            points, found = points_of(table.column("point").to_pylist()), set()
+        for table, cuts in whole_groups(batches, ["list"]):
+            n, large, c = (table.column(x).to_numpy() for x in ("n", "large", "c"))
+            keep = np.zeros(len(n), dtype=bool)
             for x, y in zip(cuts, cuts[1:], strict=False):
-                held, asking = x + np.flatnonzero(~asks[x:y]), x + np.flatnonzero(asks[x:y])
+                a, l, o = n[x:y, None].astype(float), large[x:y, None], c[x:y, None]
+                fit = (o != o.T) & (np.minimum(a, a.T) >= threshold * np.maximum(a, a.T) - 1e-9) & (np.minimum(l, l.T) >= shared_least(a, a.T, threshold))
+                keep[x:y] = fit.any(axis=1)
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def across(members: DataFrame, labels: DataFrame, large: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and pass the bound: outsiders of each list against the trees of all its members.
+
+    Pairs that share a leaf bucket are settled before; the others share at most as many first shingles as either has in larger buckets.
+    """
+    rows = members.join(large, "sid").join(labels, members["sid"] == labels["node"], "left").select("list", "sid", "n", "large", F.coalesce("component", "sid").alias("c"))
+    known = cut(rows)
+    mixed = known.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", "size")
+    open_lists = known.join(mixed, "list")
+    schema = "list long, sid long, n int, large long, c long, size long"
+    small = open_lists.where(F.col("size") <= BLOCK).select(*(x.split()[0] for x in schema.split(", "))).repartition("list").sortWithinPartitions("list").mapInArrow(viable(threshold), schema)
+    left_in = cut(small.unionByName(open_lists.where(F.col("size") > BLOCK).select(*small.columns)))
+    counted = left_in.groupBy("list", "c").agg(F.count("*").alias("k"))
+    largest = counted.groupBy("list").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top"))
+    largest = largest.select("list", F.col("top.c").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.k")) / BLOCK).cast("int").alias("lefts"))
+    wanted = left_in.select("sid").distinct().join(sets, "sid").select("sid", "doc_id", "text_hash")
+    payload = fine.join(wanted, ["sid", "doc_id", "text_hash"], "left_semi").dropDuplicates(["sid"])
+    rows = left_in.join(largest, "list").join(payload, "sid")
+    turn = lambda blocks: F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    asking = rows.where("c <> main").withColumn("l", turn(F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("asks", F.lit(True))
+    holding = rows.withColumn("r", turn(F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("asks", F.lit(False))
+    use = ["list", "l", "r", "asks", "sid", "c", "outside", "n", "payload"]
+    both = asking.unionByName(holding).withColumn("outside", F.col("c") != F.col("main")).select(*use).repartition("list", "l", "r").sortWithinPartitions("list", "l", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # a pair meets in many lists; a task gives it once, or once in a while
+        for table, cuts in whole_groups(batches, ["list", "l", "r"]):
+            found: set[tuple[int, int]] = set()
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                part = table.slice(x, y - x)
+                asks, ids, c, outside, n = (part.column(k).to_numpy() for k in ("asks", "sid", "c", "outside", "n"))
+                held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
                 if not len(held) or not len(asking):
                     continue
+                points = points_of(part.column("payload").to_pylist())
                 tree = CountTree(points[held], n[held])
                 for i in asking.tolist():
                     hit = held[tree.search(points[i], int(n[i]), threshold)]
@@ -368,30 +406,58 @@ def across(members: DataFrame, labels: DataFrame, info: DataFrame, threshold: fl
             if len(seen) + len(found) > 500_000:
                 seen = set()
             seen |= found
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+            yield arrays("a long, b long", [[p[k] for p in found] for k in range(2)])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    out = cut(both.mapInArrow(run, "a long, b long").distinct())
+    release(known, left_in)
+    return out
 
 
-def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
-    docs = _documents(docs, id_col, text_col)
-    surveyed = cut(survey(docs, words))
-    rows = surveyed.where("shingle IS NULL").select("doc_id", "n", "digest", "point")
-    info = rows.where("doc_id IS NOT NULL AND n > 0").dropDuplicates(["doc_id"])
-    often = surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_TOTAL).orderBy(F.col("n").desc(), "shingle").limit(HEAVY_MOST).toArrow()
+def likely(pairs: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that share enough of their first shingles: those of leaf buckets are counted, and larger buckets hold at most `large` of either set."""
+    ratio, least, most = threshold / (1 + threshold), F.least("na", "nb"), F.greatest("na", "nb")
+    need = F.greatest(F.lit(1), F.ceil(F.lit(ratio) * (least + most) - 1e-9) - F.ceil(F.lit(threshold) * most - 1e-9) + 1)
+    side = lambda s: large.select(F.col("sid").alias(s), F.col("large").alias(f"large_{s}"))
+    summed = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("early").alias("early"))
+    both = summed.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    common = F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    return both.where((F.col("early") | (common > 0)) & (F.col("shared") + common >= need)).select("a", "b")
+
+
+def heavy_shingles(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles, rising, their ranks by frequency and their numbers of salts."""
+    counted = surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_TOTAL)
+    often = counted.orderBy(F.col("n").desc(), "shingle").limit(HEAVY_MOST).toArrow()
     values, n = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(values)
-    heavy = (values[order], np.log2(n[order]).astype(np.int8), (n[order] // SALT_ROWS + 1).astype(np.uint64))
-    found = cut(keys(docs, words, threshold, heavy).repartition("key", "salt").mapInArrow(buckets(threshold), "kind string, a long, b long"))
-    pairs = found.where("kind = 'pair'").select("a", "b").distinct()
-    members = found.where("kind = 'member'").select(F.col("b").alias("key"), F.col("a").alias("doc_id"))
-    likely = cut(bounded(pairs, info, threshold))
-    near = cut(verified(likely.where("NOT same"), docs, surveyed, words, threshold))
-    copies = found.where("kind = 'copy'").select("a", "b")
-    links = near.unionByName(likely.where("same").select("a", "b")).unionByName(copies)
+    return values[order], np.log2(n[order]).astype(np.int8), (n[order] // SALT_ROWS + 1).astype(np.uint64)
+
+
+def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_hash: Spark's xxhash64 of the text) for every row of docs."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    surveyed = cut(survey(texts, words))
+    rows = surveyed.where("shingle IS NULL").select("doc_id", "text_hash", "n", "sid")
+    named = surveyed.where("shingle IS NULL AND doc_id IS NOT NULL AND n > 0")
+    own = named.groupBy("sid").agg(F.min("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min(F.struct("doc_id", "text_hash")).alias("of"))
+    sets = cut(own.select("sid", "n", "of.doc_id", "of.text_hash", (F.col("lo") != F.col("hi")).alias("clash")))
+    if sets.where("clash").limit(1).count():
+        raise RuntimeError("two sets of shingles have one name")
+    fine = named.select("sid", "doc_id", "text_hash", F.col("fine").alias("payload"))
+    placed = keys(texts, words, threshold, heavy_shingles(surveyed)).repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid")
+    found = cut(placed.mapInArrow(buckets(threshold), FOUND))
+    large = cut(found.where("kind = 'large'").groupBy(F.col("a").alias("sid")).agg(F.sum("shared").alias("large")))
+    members = found.where("kind = 'member'").select(F.col("b").alias("list"), F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
+    links = verified(likely(found.where("kind = 'pair'"), large, threshold), sets, fine, texts, words, threshold)
     labels = components(links, "a", "b")
-    more = cut(verified(across(members, labels, info, threshold), docs, surveyed, words, threshold))
+    between = across(members, labels, large, fine, sets, threshold)
+    more = verified(between, sets, fine, texts, words, threshold)
     if more.limit(1).count():
         labels = components(links.unionByName(more), "a", "b")
-    return rows.select("doc_id", "n").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    release(found, large, links, between, more)
+    whole = sets.join(labels, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("c"), F.col("doc_id").alias("least"))
+    first = whole.groupBy("c").agg(F.min("least").alias("component_id"))
+    of_set = whole.join(first, "c").select("sid", "component_id")
+    linked = rows.where("doc_id IS NOT NULL AND n > 0").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    alone = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
+    return linked.unionByName(alone)

@@ -421,7 +421,8 @@ def test_jaccard_join_against_brute_force(spark, docs, monkeypatch):
         rows.append((10_000 + k, " ".join(own)))
     rows += [(20_000, None), (20_001, ""), (20_002, " \t\n"), (20_003, "One two"), (20_004, "one TWO"), (20_005, "É b c d e"), (20_006, "é b c d e")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(5)
-    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link(frame).collect()}
     assert got == brute_components(rows)
 
@@ -430,17 +431,67 @@ def test_jaccard_join_edge_tables(spark, none):
     assert jaccard_join.link(none).count() == 0
     frame = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert Counter((x.doc_id, x.component_id) for x in jaccard_join.link(frame).collect()) == Counter({(1, 1): 2, (2, 1): 1, (None, None): 1})
+    # one id with two texts: each row has the component of its own text
+    frame = spark.createDataFrame([(3, "a b c d e f"), (3, "g h i j k l"), (2, "g h i j k l"), (4, "a b c d e f"), (5, None), (5, "")], "doc_id long, text string")
+    found = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.link(frame).collect())
+    assert found == Counter({(3, 2, 3): 1, (3, 2, 2): 1, (2, 2, 2): 1, (4, 2, 3): 1, (5, 0, 5): 2})
+
+
+def test_jaccard_join_survives_salted_keys_and_split_families(spark, monkeypatch):
+    """A third of all rows in one group of near copies, a passage in most of the others; every limit is so low that all paths are taken."""
+    r = np.random.RandomState(9)
+    words = [f"w{i}" for i in range(5000)]
+    base, passage = list(r.choice(words, 60)), list(r.choice(words, 40))
+    rows = []
+    for k in range(240):
+        if k % 3 == 0:
+            own = list(base)
+            for _ in range(k % 4):
+                own[r.randint(60)] = r.choice(words)
+        else:
+            own = list(r.choice(words, r.randint(5, 50))) + passage[: r.randint(10, 40)]
+        rows.append((k, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for name, value in (("LEAF", 4), ("BLOCK", 10), ("HEAVY_TOTAL", 6), ("SALT_ROWS", 10), ("FINE_BLOCK", 400), ("TEXT_BLOCK", 300)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link(frame).collect()}
+    assert got == brute_components(rows)
+
+
+def test_shared_first_shingles_bound():
+    """Linked sets share at least shared_least of their first shingles, and the smaller has an early one among them."""
+    r = np.random.RandomState(10)
+    for _ in range(400):
+        a = set(r.choice(400, r.randint(1, 80), replace=False).tolist())
+        b = (a - set(r.choice(sorted(a), r.randint(0, len(a) // 4 + 1), replace=False).tolist())) | set(r.choice(400, r.randint(0, 9)).tolist())
+        if not b or len(a & b) < 0.75 * len(a | b):
+            continue
+        first = [sorted(s)[: len(s) - int(np.ceil(0.75 * len(s) - 1e-9)) + 1] for s in (a, b)]
+        shared = set(first[0]) & set(first[1])
+        assert len(shared) >= jaccard_join.shared_least(len(a), len(b), 0.75)
+        small = 0 if len(a) <= len(b) else 1
+        n = len((a, b)[small])
+        assert shared & set(first[small][: n - int(np.ceil(6 / 7 * n - 1e-9)) + 1])
 
 
 def test_count_tree_keeps_every_pair_within_the_bound():
     r = np.random.RandomState(6)
-    points = r.poisson(3, (300, jaccard_join.GROUPS)).astype(np.uint16)
-    points[::3] = points[0] + r.poisson(0.1, (100, jaccard_join.GROUPS)).astype(np.uint16)
-    n = points.sum(axis=1).astype(int)
-    tree = jaccard_join.CountTree(points, n)
-    for q in range(0, 300, 37):
-        low = np.minimum(points, points[q]).sum(axis=1)
-        assert set(tree.search(points[q], n[q], 0.75)) == set(np.flatnonzero(low >= np.ceil(3 / 7 * (n + n[q]) - 1e-9)))
+    for size in (1, 7, 300):
+        points = r.poisson(3, (size, 1 << jaccard_join.GROUP_BITS)).astype(np.int32)
+        points[::3] = points[0] + r.poisson(0.1, (len(points[::3]), points.shape[1])).astype(np.int32)
+        n = points.sum(axis=1).astype(int)
+        tree = jaccard_join.CountTree(points, n)
+        assert len(tree.levels) == {1: 1, 7: 1, 300: 3}[size]
+        for q in range(0, size, 37):
+            low = np.minimum(points, points[q]).sum(axis=1)
+            assert set(tree.search(points[q], n[q], 0.75)) == set(np.flatnonzero(low >= np.ceil(3 / 7 * (n + n[q]) - 1e-9)))
+
+
+def test_pipeline_keeps_an_id_whose_other_text_is_a_copy(spark):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, frame, DATA).collect())) == [(1, "a b c d e f"), (2, "g h i j k l")]
 
 
 def test_components_of_chains_and_stars(spark):
