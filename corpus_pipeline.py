@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of links at a Jaccard similarity of 0.75 or more."""
     groups = jaccard_join.link(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
