@@ -1,7 +1,7 @@
 """N-gram Jaccard join on count-vector trees.
 
-A document is its set of distinct word shingles. Shingle hashes fall into groups; the counts per group are the set's point, and for two
-points the sum of the coordinates' minima is an upper bound of the sets' overlap. Two documents link when overlap / union >= threshold.
+A document is its set of distinct word shingles. Shingle hashes fall into groups; the counts per group are the set's point (of more groups
+for larger sets), and for two points the sum of the coordinates' minima is an upper bound of the sets' overlap. Two documents link when overlap / union >= threshold.
 Equal sets are one node from the start, named by 64 bits of their digest (two sets with one name would raise an error).
 
 One tree over all points would not prune: independent texts fill every box. So points first meet in buckets by an exact rule (two linked sets
@@ -72,12 +72,27 @@ def groups_of(steps: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=np.int64)[x != 255]
 
 
-def points_of(raw: list[bytes]) -> np.ndarray:
-    """A row of counts in 2^GROUP_BITS groups for each set."""
-    out = np.zeros((len(raw), 1 << GROUP_BITS), dtype=np.int32)
-    for i, steps in enumerate(raw):
-        out[i] = np.bincount(groups_of(steps) >> (FINE_BITS - GROUP_BITS), minlength=1 << GROUP_BITS)
-    return out
+def bits_of(n: np.ndarray) -> np.ndarray:
+    """log2 of the number of groups in a set's point: about two shingles a group, 16 groups at least and 2^GROUP_BITS at most. Linked sets differ by one at most."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), 4, GROUP_BITS).astype(np.int64)
+
+
+def packed(steps: bytes, n: int) -> bytes:
+    """The set's point: its counts in as few bits as they take, 4, 8, 16 or 32 each."""
+    bits = int(bits_of(np.array(n)))
+    counts = np.bincount(groups_of(steps) >> (FINE_BITS - bits), minlength=1 << bits)
+    top = counts.max()
+    if top < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(raw: bytes, bits: int) -> np.ndarray:
+    size = 1 << bits
+    if len(raw) < size:
+        half = np.frombuffer(raw, dtype=np.uint8)
+        return np.stack([half & 15, half >> 4], axis=1).reshape(-1).astype(np.int32)
+    return np.frombuffer(raw, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // size]).astype(np.int32)
 
 
 def needed(n, m, threshold: float):
@@ -376,8 +391,14 @@ def across(members: DataFrame, labels: DataFrame, large: DataFrame, fine: DataFr
     counted = left_in.groupBy("list", "c").agg(F.count("*").alias("k"))
     largest = counted.groupBy("list").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top"))
     largest = largest.select("list", F.col("top.c").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.k")) / BLOCK).cast("int").alias("lefts"))
-    wanted = left_in.select("sid").distinct().join(sets, "sid").select("sid", "doc_id", "text_hash")
-    payload = fine.join(wanted, ["sid", "doc_id", "text_hash"], "left_semi").dropDuplicates(["sid"])
+    wanted = left_in.select("sid").distinct().join(sets, "sid").select("sid", "n", "doc_id", "text_hash")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, n, raw = (c.to_pylist() for c in batch.columns)
+            yield arrays("sid long, payload binary", [sid, [packed(x, k) for x, k in zip(raw, n, strict=True)]])
+
+    payload = fine.join(wanted, ["sid", "doc_id", "text_hash"]).dropDuplicates(["sid"]).select("sid", "n", "payload").mapInArrow(pack, "sid long, payload binary")
     rows = left_in.join(largest, "list").join(payload, "sid")
     turn = lambda blocks: F.pmod(F.xxhash64("sid"), blocks).cast("int")
     asking = rows.where("c <> main").withColumn("l", turn(F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("asks", F.lit(True))
@@ -392,16 +413,22 @@ def across(members: DataFrame, labels: DataFrame, large: DataFrame, fine: DataFr
             for x, y in zip(cuts, cuts[1:], strict=False):
                 part = table.slice(x, y - x)
                 asks, ids, c, outside, n = (part.column(k).to_numpy() for k in ("asks", "sid", "c", "outside", "n"))
-                held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
-                if not len(held) or not len(asking):
+                if asks.all() or not asks.any():
                     continue
-                points = points_of(part.column("payload").to_pylist())
-                tree = CountTree(points[held], n[held])
-                for i in asking.tolist():
-                    hit = held[tree.search(points[i], int(n[i]), threshold)]
-                    hit = hit[(c[hit] != c[i]) & (~outside[hit] | (ids[hit] > ids[i]))]
-                    d = int(ids[i])
-                    found.update((min(d, o), max(d, o)) for o in ids[hit].tolist())
+                bits = bits_of(n)
+                points = [unpacked(raw, g) for raw, g in zip(part.column("payload").to_pylist(), bits.tolist(), strict=True)]
+                for g in np.unique(bits).tolist():
+                    # points of this many groups among themselves, and with those of twice as many
+                    held, asking = (np.flatnonzero(w & ((bits == g) | (bits == g + 1))) for w in (~asks, asks))
+                    if not len(held) or not len(asking):
+                        continue
+                    at = lambda i, g=g, bits=bits, points=points: points[i] if bits[i] == g else points[i].reshape(-1, 2).sum(axis=1, dtype=np.int32)
+                    tree = CountTree(np.stack([at(i) for i in held.tolist()]), n[held])
+                    for i in asking.tolist():
+                        hit = held[tree.search(at(i), int(n[i]), threshold)]
+                        hit = hit[(c[hit] != c[i]) & (~outside[hit] | (ids[hit] > ids[i])) & ((bits[i] == g) | (bits[hit] == g))]
+                        d = int(ids[i])
+                        found.update((min(d, o), max(d, o)) for o in ids[hit].tolist())
             found -= seen
             if len(seen) + len(found) > 500_000:
                 seen = set()

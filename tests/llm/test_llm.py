@@ -487,6 +487,16 @@ def test_count_tree_keeps_every_pair_within_the_bound():
             assert set(tree.search(points[q], n[q], 0.75)) == set(np.flatnonzero(low >= np.ceil(3 / 7 * (n + n[q]) - 1e-9)))
 
 
+def test_points_are_packed_without_loss():
+    r = np.random.RandomState(12)
+    for n in (1, 5, 31, 33, 700, 5_000, 40_000, 300_000):
+        own = np.sort(r.randint(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+        bits = int(jaccard_join.bits_of(np.array(n)))
+        want = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        assert (jaccard_join.unpacked(jaccard_join.packed(jaccard_join.finely(own), n), bits) == want).all()
+        assert jaccard_join.bits_of(np.array(n)) >= jaccard_join.bits_of(np.array(n * 4 // 3)) - 1
+
+
 def test_pipeline_keeps_an_id_whose_other_text_is_a_copy(spark):
     import corpus_pipeline
 
