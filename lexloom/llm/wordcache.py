@@ -8,18 +8,25 @@ from collections.abc import Callable, Iterable
 class ChunkCache:
     """Maps chunks to values; `fill` gets the list of unseen chunks and returns their values in order.
 
-    The cache is emptied when it holds `most` entries, so its memory does not follow the corpus.
+    There are two generations of about `most` entries each: when the younger is full it becomes the older one, and what is still asked for
+    moves over. So the memory does not follow the corpus, and frequent chunks are not worked on again.
     """
 
-    def __init__(self, fill: Callable[[list], Iterable], most: int = 120_000):
-        self.fill, self.most, self.known = fill, most, {}
+    def __init__(self, fill: Callable[[list], Iterable], most: int = 60_000):
+        self.fill, self.most, self.known, self.old = fill, most, {}, {}
 
     def get(self, wanted: set) -> dict:
-        """The dictionary after it has been made to hold every wanted chunk."""
+        """A dictionary that holds every wanted chunk."""
         missing = [x for x in wanted if x not in self.known]
         if missing:
             if len(self.known) + len(missing) > self.most:
-                self.known = {}
-                missing = list(wanted)
-            self.known.update(zip(missing, self.fill(missing), strict=True))
+                self.old, self.known = self.known, {x: self.known[x] for x in wanted if x in self.known}
+            old = self.old
+            new = []
+            for x in missing:
+                if x in old:
+                    self.known[x] = old[x]
+                else:
+                    new.append(x)
+            self.known.update(zip(new, self.fill(new), strict=True))
         return self.known
