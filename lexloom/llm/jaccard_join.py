@@ -12,7 +12,8 @@ share one of the first n - ceil(t n) + 1 of their shingles in any common order),
 2. `buckets`: sorted by Spark and streamed group by group. A bucket of up to LEAF members is a tree of one leaf, whose pairs are all
    counted; a larger one first gives a chain and a star. A pair goes on if it shares enough of the first shingles (`shared_least`).
 3. Pairs are tested by summed minima over the fine groups, then verified on the texts' full sets; components are formed.
-4. `across`: larger buckets that still hold several components are packed into trees of several levels over all their members, in blocks;
+4. In larger buckets, members outside the largest component are first held against that component's most typical one (`to_hubs`).
+5. `across`: larger buckets that still hold several components are packed into trees of several levels over all their members, in blocks;
    the members outside the bucket's largest component query them. What passes the bound is verified in the same way.
 So no link between different components is missed, and no group is expanded into all its pairs.
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, release, whole_groups
@@ -37,7 +38,7 @@ from .components import components
 from .textkit import mix, shingle_sets
 
 LEAF, FANOUT, GROUP_BITS, FINE_BITS = 8, 8, 9, 13
-BLOCK = 1024  # members of a bucket, or of a family of candidates, in one side of a cell
+BLOCK, PAIR_BLOCK = 1024, 256  # members of a bucket, and of a family of candidate pairs, in one side of a cell
 FINE_BLOCK, TEXT_BLOCK = 4_000_000, 500_000  # shingles in one side of a cell
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 2, 16, 200_000, 2_000
 
@@ -105,6 +106,11 @@ def shared_least(n, m, threshold: float):
     return np.maximum(1, needed(n, m, threshold) - np.ceil(threshold * np.maximum(n, m) - 1e-9) + 1)
 
 
+def least_shared(n: Column, m: Column, threshold: float) -> Column:
+    """`shared_least` as a column, for n <= m."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9) - F.ceil(F.lit(threshold) * m - 1e-9) + 1)
+
+
 def survey(docs: DataFrame, words: int) -> DataFrame:
     """Rows of documents, and of shingles that a task met in HEAVY_LOCAL different sets or more (shingle, n)."""
 
@@ -140,7 +146,8 @@ def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray,
     """(key, salt, n, sid, early) for the first shingles of each set in the common order: light ones by hash, then heavy ones, the less frequent first.
 
     `early` marks the first n - ceil(2t/(1+t) n) + 1: of two linked sets, the smaller has a shared shingle there. A key of SALT_ROWS or more has
-    salts from 1, others 0.
+    salts from 1, others 0. A set's salt is one of two, by the key's last bit: the parts of a hot group overlap, and its sets have the same neighbours in
+    the parts of half its keys.
     """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY_MOST entries
     schema = "key long, salt int, n int, sid long, early boolean"
@@ -167,7 +174,7 @@ def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray,
                     at = at[is_heavy]
                     at = at[np.argsort(ranks[at], kind="stable")][: take - len(light)]
                     chosen = np.concatenate([light, often[at]])
-                    own_salt = mix(often[at] ^ np.uint64(sid & 0xFFFFFFFFFFFFFFFF)) % salts[at] + np.uint64(1)
+                    own_salt = mix((often[at] & np.uint64(1)) ^ np.uint64(sid & 0xFFFFFFFFFFFFFFFF)) % salts[at] + np.uint64(1)
                     salt[len(light) :] = np.where(salts[at] > 1, own_salt, 0)
                 early = np.arange(take) < n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
                 out.append((chosen, salt, np.full(take, n, dtype=np.int32), np.full(take, sid), early))
@@ -285,13 +292,22 @@ def check_texts(words: int):
     return check
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key may be wanted: a bitmap of the wanted keys' hashes goes to all tasks, of at most 2^25 bits (fewer rows then move to a join)."""
+    bits = min(25, max(16, int(np.ceil(np.log2(64 * wanted.count() + 1)))))
+    slot = F.xxhash64(*on).bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(slot, 6).alias("__word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("__bit")
+    words = wanted.select(word, bit).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    return rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(words), "__word").where("(shiftright(__bits, __bit) & 1L) = 1").drop("__word", "__bit", "__bits")
+
+
 def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int, threshold: float, check) -> DataFrame:
     """The pairs (a, b) that `check` keeps, given the payload (sid, payload) of both.
 
     A payload travels once for each cell that it has pairs in, not once a pair: a family (node, f, n) of candidates that hang together is split into
-    blocks of about `most` shingles and at most about BLOCK sets, and a cell is a pair of blocks.
+    blocks of about `most` shingles and at most about PAIR_BLOCK sets, and a cell is a pair of blocks.
     """
-    blocks = family.groupBy("f").agg(F.ceil(F.greatest(F.sum("n") / most, F.count("*") / BLOCK)).cast("long").alias("blocks"))
+    blocks = family.groupBy("f").agg(F.ceil(F.greatest(F.sum("n") / most, F.count("*") / PAIR_BLOCK)).cast("long").alias("blocks"))
     nodes = cut(family.join(blocks, "f").select("node", "f", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
     left, right = nodes.select(F.col("node").alias("a"), "f", F.col("block").alias("i")), nodes.select(F.col("node").alias("b"), F.col("block").alias("j"))
     cells = cut(pairs.join(left, "a").join(right, "b").select("f", "i", "j", "a", "b"))
@@ -321,9 +337,11 @@ def verified(pairs: DataFrame, sets: DataFrame, fine: DataFrame, texts: DataFram
     pairs = cut(pairs.select("a", "b"))
     family = cut(components(pairs, "a", "b").join(sets, F.col("node") == F.col("sid")).select("node", F.col("component").alias("f"), "n", "doc_id", "text_hash"))
     # the set's own document stands for it; rows that repeat it are the same
-    close = in_cells(pairs, family, fine.join(family.select(F.col("node").alias("sid"), "doc_id", "text_hash"), ["sid", "doc_id", "text_hash"], "left_semi").dropDuplicates(["sid"]), FINE_BLOCK, threshold, check_fine)
+    own = ["sid", "doc_id", "text_hash"]
+    named = family.withColumnRenamed("node", "sid").select(*own)
+    close = in_cells(pairs, family, sieved(fine, named, own).join(named, own).dropDuplicates(["sid"]), FINE_BLOCK, threshold, check_fine)
     left = cut(family.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    whole = texts.join(left.select(F.col("node").alias("sid"), "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["sid"]).select("sid", F.col("text").cast("binary").alias("payload"))
+    whole = sieved(texts, left, own[1:]).join(left.select(F.col("node").alias("sid"), *own[1:]), own[1:]).dropDuplicates(["sid"]).select("sid", F.col("text").cast("binary").alias("payload"))
     linked = in_cells(close, left, whole, TEXT_BLOCK, threshold, check_texts(words))
     release(pairs, family, close, left)
     return linked
@@ -376,13 +394,27 @@ def viable(threshold: float):
     return run
 
 
-def across(members: DataFrame, labels: DataFrame, large: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def standing(members: DataFrame, labels: DataFrame, large: DataFrame) -> DataFrame:
+    """(list, sid, n, large, c) of the members, with their components."""
+    return cut(members.join(large, "sid").join(labels, members["sid"] == labels["node"], "left").select("list", "sid", "n", "large", F.coalesce("component", "sid").alias("c")))
+
+
+def to_hubs(known: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of each list's outsiders with one member of its largest component: the one with the greatest share of shingles in larger buckets, which
+    resembles the others most."""
+    counted = known.groupBy("list", "c").agg(F.count("*").alias("k"), F.max(F.struct(F.col("large") / F.col("n"), "sid", "n", "large")).alias("hub"))
+    hubs = counted.groupBy("list").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c", "hub")).alias("top")).where("parts > 1").select("list", "top.c", "top.hub")
+    both = known.join(hubs.withColumnRenamed("c", "main"), "list").where("c <> main")
+    n, m = F.least("n", "hub.n"), F.greatest("n", "hub.n")
+    fit = (n >= threshold * m - 1e-9) & (F.least("large", "hub.large") >= least_shared(n, m, threshold))
+    return both.where(fit).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
+
+
+def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components that share a list and pass the bound: outsiders of each list against the trees of all its members.
 
     Pairs that share a leaf bucket are settled before; the others share at most as many first shingles as either has in larger buckets.
     """
-    rows = members.join(large, "sid").join(labels, members["sid"] == labels["node"], "left").select("list", "sid", "n", "large", F.coalesce("component", "sid").alias("c"))
-    known = cut(rows)
     mixed = known.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", "size")
     open_lists = known.join(mixed, "list")
     schema = "list long, sid long, n int, large long, c long, size long"
@@ -391,14 +423,15 @@ def across(members: DataFrame, labels: DataFrame, large: DataFrame, fine: DataFr
     counted = left_in.groupBy("list", "c").agg(F.count("*").alias("k"))
     largest = counted.groupBy("list").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top"))
     largest = largest.select("list", F.col("top.c").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.k")) / BLOCK).cast("int").alias("lefts"))
-    wanted = left_in.select("sid").distinct().join(sets, "sid").select("sid", "n", "doc_id", "text_hash")
+    own = ["sid", "doc_id", "text_hash"]
+    wanted = cut(left_in.select("sid").distinct().join(sets, "sid").select("n", *own))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sid, n, raw = (c.to_pylist() for c in batch.columns)
             yield arrays("sid long, payload binary", [sid, [packed(x, k) for x, k in zip(raw, n, strict=True)]])
 
-    payload = fine.join(wanted, ["sid", "doc_id", "text_hash"]).dropDuplicates(["sid"]).select("sid", "n", "payload").mapInArrow(pack, "sid long, payload binary")
+    payload = sieved(fine, wanted, own).join(wanted, own).dropDuplicates(["sid"]).select("sid", "n", "payload").mapInArrow(pack, "sid long, payload binary")
     rows = left_in.join(largest, "list").join(payload, "sid")
     turn = lambda blocks: F.pmod(F.xxhash64("sid"), blocks).cast("int")
     asking = rows.where("c <> main").withColumn("l", turn(F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("asks", F.lit(True))
@@ -436,14 +469,13 @@ def across(members: DataFrame, labels: DataFrame, large: DataFrame, fine: DataFr
             yield arrays("a long, b long", [[p[k] for p in found] for k in range(2)])
 
     out = cut(both.mapInArrow(run, "a long, b long").distinct())
-    release(known, left_in)
+    release(left_in, wanted)
     return out
 
 
 def likely(pairs: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
     """The pairs that share enough of their first shingles: those of leaf buckets are counted, and larger buckets hold at most `large` of either set."""
-    ratio, least, most = threshold / (1 + threshold), F.least("na", "nb"), F.greatest("na", "nb")
-    need = F.greatest(F.lit(1), F.ceil(F.lit(ratio) * (least + most) - 1e-9) - F.ceil(F.lit(threshold) * most - 1e-9) + 1)
+    need = least_shared(F.least("na", "nb"), F.greatest("na", "nb"), threshold)
     side = lambda s: large.select(F.col("sid").alias(s), F.col("large").alias(f"large_{s}"))
     summed = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("early").alias("early"))
     both = summed.join(side("a"), "a", "left").join(side("b"), "b", "left")
@@ -477,11 +509,16 @@ def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str =
     members = found.where("kind = 'member'").select(F.col("b").alias("list"), F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
     links = verified(likely(found.where("kind = 'pair'"), large, threshold), sets, fine, texts, words, threshold)
     labels = components(links, "a", "b")
-    between = across(members, labels, large, fine, sets, threshold)
+    known = standing(members, labels, large)
+    links = links.unionByName(verified(to_hubs(known, threshold), sets, fine, texts, words, threshold))
+    labels = components(links, "a", "b")
+    release(known)
+    known = standing(members, labels, large)
+    between = across(known, fine, sets, threshold)
     more = verified(between, sets, fine, texts, words, threshold)
     if more.limit(1).count():
         labels = components(links.unionByName(more), "a", "b")
-    release(found, large, links, between, more)
+    release(found, large, known, between, more)
     whole = sets.join(labels, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("c"), F.col("doc_id").alias("least"))
     first = whole.groupBy("c").agg(F.min("least").alias("component_id"))
     of_set = whole.join(first, "c").select("sid", "component_id")

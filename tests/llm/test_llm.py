@@ -452,7 +452,7 @@ def test_jaccard_join_survives_salted_keys_and_split_families(spark, monkeypatch
             own = list(r.choice(words, r.randint(5, 50))) + passage[: r.randint(10, 40)]
         rows.append((k, " ".join(own)))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for name, value in (("LEAF", 4), ("BLOCK", 10), ("HEAVY_TOTAL", 6), ("SALT_ROWS", 10), ("FINE_BLOCK", 400), ("TEXT_BLOCK", 300)):
+    for name, value in (("LEAF", 4), ("BLOCK", 10), ("PAIR_BLOCK", 7), ("HEAVY_TOTAL", 6), ("SALT_ROWS", 10), ("FINE_BLOCK", 400), ("TEXT_BLOCK", 300)):
         monkeypatch.setattr(jaccard_join, name, value)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link(frame).collect()}
     assert got == brute_components(rows)
