@@ -53,11 +53,18 @@ def import_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return one.join(old.select(key, F.lit(1).alias("__old")).distinct(), key, "left").agg(F.count_if(F.col("__old").isNull()).alias("imported"), F.count("*").alias("upserted"))
 
 
-def page_violations(rows: DataFrame, key: str, pages: str) -> DataFrame:
-    """(key, issue) of page lists that hold numbers under 1, repeat, or don't rise."""
-    p = F.col(pages)
-    issues = F.array_compact(F.array(F.when(F.exists(p, lambda x: x < 1), "page_below_one"), F.when(F.size(F.array_distinct(p)) < F.size(p), "page_repeated"), F.when(F.array_sort(p) != p, "pages_not_ascending")))
-    return rows.select(key, F.explode(issues).alias("issue"))
+def page_violations(rows: DataFrame, key: str, page: str, order: list[str]) -> DataFrame:
+    """(key, issue) of the keys whose pages, in order, hold numbers under 1, repeat, or don't rise. No key's pages are gathered: repeats are counted by page."""
+    before = F.lag(page).over(Window.partitionBy(key).orderBy(*order))
+    falls = rows.withColumn("__falls", F.col(page) < before).groupBy(key, page).agg(F.count("*").alias("k"), F.max("__falls").alias("falls"))
+    found = falls.groupBy(key).agg(F.min(page).alias("least"), F.max("k").alias("k"), F.max("falls").alias("falls"))
+    issues = F.array_compact(F.array(F.when(F.col("least") < 1, "page_below_one"), F.when(F.col("k") > 1, "page_repeated"), F.when(F.col("falls"), "pages_not_ascending")))
+    return found.select(key, F.explode(issues).alias("issue"))
+
+
+def notices(rows: DataFrame, target: str, date: str, key: str) -> DataFrame:
+    """Each target's notices by date, those without one first; ties by key."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(target).orderBy(F.col(date).asc_nulls_first(), key)))
 
 
 def earlier_of(rows: DataFrame, question: str, instrument: str, date: str) -> DataFrame:

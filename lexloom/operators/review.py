@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def stratified_sample(rows: DataFrame, strata: Column, key: str, size: int) -> DataFrame:
     """Round robin over the strata in name order, ids in order within each, until `size` rows: exact and without chance."""
     placed = rows.withColumn("stratum", strata).withColumn("turn", F.row_number().over(Window.partitionBy("stratum").orderBy(key)))
-    return placed.orderBy("turn", "stratum").limit(size)
+    return placed.where(F.col("turn") <= size).orderBy("turn", "stratum").limit(size)
 
 
 def proxy_size(n: int, share: float = 0.25, least: int = 50, most: int = 300) -> int:

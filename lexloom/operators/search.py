@@ -10,16 +10,30 @@ from pyspark.sql import functions as F
 from ..functions.text import query_tokens
 
 
+GRAM = 3
+
+
+def holding(chunks: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(chunk, token) wherever the chunk holds the token: they meet by equality of the token's first GRAM characters (or all of a shorter one)."""
+    head = tokens.select("token", F.substring("token", 1, GRAM).alias("gram"))
+    cut = lambda size: F.transform(F.sequence(F.lit(1), F.length("chunk") - (size - 1)), lambda i: F.substring("chunk", i, F.lit(size)))
+    every = F.flatten(F.array(*map(cut, range(1, GRAM + 1))))
+    # a sequence would count down where the chunk is shorter than the gram
+    grams = F.filter(F.array_distinct(every), lambda g: g != "")
+    return chunks.select("chunk", F.explode(grams).alias("gram")).join(head, "gram").where(F.contains("chunk", "token")).select("chunk", "token").distinct()
+
+
 def lexical_scores(questions: DataFrame, corpus: DataFrame, q_id: str, q_text: str, d_id: str, d_text: str) -> DataFrame:
     """(q_id, d_id, score) of every pair with a hit: the share of the question's tokens, repeats counted, that are substrings of the text.
 
-    Tokens are few and texts many, so the distinct tokens meet the texts once and the questions join what is found.
+    A token has no white space, so it lies in a text only if it lies in one of the text's white-space chunks: tokens meet the corpus' distinct
+    chunks by equality of their first characters, and what is found goes back to the texts by equality of chunks. A text's rows then stay together.
     """
     tokens = questions.select(F.col(q_id), F.explode(query_tokens(F.col(q_text))).alias("token"), F.size(query_tokens(F.col(q_text))).alias("total"))
     counted = tokens.groupBy(q_id, "token", "total").agg(F.count("*").alias("k"))
-    vocabulary = counted.select("token").distinct()
-    low = corpus.select(F.col(d_id), F.lower(d_text).alias("low"))
-    hits = low.join(vocabulary, F.contains("low", "token")).select(d_id, "token")
+    placed = corpus.select(F.col(d_id), F.explode(F.array_distinct(query_tokens(F.col(d_text)))).alias("chunk"))
+    found = holding(placed.select("chunk").distinct(), counted.select("token").distinct())
+    hits = placed.join(found, "chunk").select(d_id, "token").repartition(d_id).distinct()
     return hits.join(counted, "token").groupBy(q_id, d_id, "total").agg(F.sum("k").alias("hits")).select(q_id, d_id, F.least(F.lit(1.0), F.col("hits") / F.col("total")).alias("score"))
 
 

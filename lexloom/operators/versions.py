@@ -16,6 +16,16 @@ def duplicate_anchor(rows: DataFrame, content: str, order: str, out: str = "dupl
     return keyed.join(first, "content_hash").withColumn(out, F.when(F.col(order) != F.col("anchor"), F.col("anchor"))).drop("anchor")
 
 
+def fingerprint(rows: DataFrame, group: str, content: str) -> DataFrame:
+    """(group, n, chars, fingerprint): a digest of each group's contents whatever their order, in two levels: the sorted hashes of each of 65,536 buckets by their
+    first digits, then the buckets' digests. A null content counts as a row only."""
+    hashed = rows.select(group, F.length(content).alias("k"), F.sha2(content, 256).alias("h"))
+    digest = lambda c: F.sha2(F.array_join(c, "|"), 256)
+    buckets = hashed.groupBy(group, F.substring("h", 1, 4).alias("bucket")).agg(F.count("*").alias("n"), F.sum("k").alias("k"), digest(F.array_sort(F.collect_list("h"))).alias("h"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "h")))), lambda x: x["h"])
+    return buckets.groupBy(group).agg(F.sum("n").alias("n"), F.sum("k").alias("chars"), digest(listed).alias("fingerprint"))
+
+
 def version_sequence(rows: DataFrame, group: str, order: list[Column], out: str = "version_sequence") -> DataFrame:
     """1 to n within each group; rows without a group get null."""
     ranked = F.row_number().over(Window.partitionBy(group).orderBy(*order))
@@ -29,10 +39,12 @@ def current_version(rows: DataFrame, group: str, flag: Column, rank: list[Column
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder that the cluster shares (spark.checkpoint.dir; a temporary one only where it is unset) and read it back."""
+    """Write df to the folder that the cluster shares (spark.checkpoint.dir; a temporary one where it is unset and all runs on one machine) and read it back."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     path = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"

@@ -33,10 +33,11 @@ def supersession_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.supersession(links, "o_orderkey", "next")
 
 
-@query("""SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, sha256(string_agg(sha256(text), '|' ORDER BY sha256(text))) AS fingerprint FROM documents GROUP BY source""")
+@query("""WITH h AS (SELECT source, length(text) AS k, sha256(text) AS h FROM documents),
+  b AS (SELECT source, substr(h, 1, 4) AS bucket, count(*) AS n, sum(k) AS k, sha256(string_agg(h, '|' ORDER BY h)) AS h FROM h GROUP BY 1, 2)
+  SELECT source, sum(n)::BIGINT AS n, sum(k)::BIGINT AS chars, sha256(string_agg(h, '|' ORDER BY bucket)) AS fingerprint FROM b GROUP BY source""")
 def ingest_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = table(spark, sf_dir, "documents").select("source", F.length("text").alias("k"), F.sha2("text", 256).alias("h"))
-    return hashed.groupBy("source").agg(F.count("*").alias("n"), F.sum("k").alias("chars"), F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("h"))), 256).alias("fingerprint"))
+    return versions.fingerprint(table(spark, sf_dir, "documents"), "source", "text")
 
 
 _LINES = """lines AS (SELECT doc_id, u.pos AS ordinal, u.line FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u WHERE trim(u.line) <> '')"""
@@ -74,11 +75,11 @@ def registry_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy(F.col("p_brand").alias("key")).agg(F.count("*").alias("usage"), F.array_join(first, ",").alias("samples"))
 
 
-@query("""SELECT p_name AS subject, p_type AS relation, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS objects FROM part WHERE p_size < 5 GROUP BY ALL HAVING count(DISTINCT p_brand) > 1""")
+@query("""SELECT p_name AS subject, p_type AS relation, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS objects FROM part GROUP BY ALL HAVING count(DISTINCT p_brand) > 1""")
 def conflict_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.review import conflicts
 
-    rows = table(spark, sf_dir, "part").where("p_size < 5").select(F.col("p_name").alias("subject"), F.col("p_type").alias("relation"), "p_brand")
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("subject"), F.col("p_type").alias("relation"), "p_brand")
     return conflicts(rows, ["subject", "relation"], "p_brand").select("subject", "relation", F.array_join("values", ",").alias("objects"))
 
 

@@ -56,9 +56,8 @@ def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT l_orderkey AS q, list(l_linenumber - 1 ORDER BY l_partkey, l_linenumber) AS v FROM lineitem GROUP BY 1)
   SELECT q, 'page_below_one' AS issue FROM p WHERE list_min(v) < 1 UNION ALL SELECT q, 'page_repeated' FROM p WHERE len(list_distinct(v)) < len(v) UNION ALL SELECT q, 'pages_not_ascending' FROM p WHERE list_sort(v) <> v""")
 def page_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber")))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.transform(order, lambda x: x["l_linenumber"] - 1).alias("pages"))
-    return rules.page_violations(rows, "q", "pages")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_linenumber") - 1).alias("page"), "l_partkey", "l_linenumber")
+    return rules.page_violations(rows, "q", "page", ["l_partkey", "l_linenumber"])
 
 
 @query("""WITH d AS (SELECT o_custkey AS q, o_orderpriority AS i, min(o_orderdate) AS d FROM orders GROUP BY 1, 2), a AS (SELECT q, count(*) AS n, count(d) AS known, min(d) AS lo FROM d GROUP BY 1),
@@ -69,10 +68,12 @@ def earlier_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.earlier_of(rows, "q", "i", "o_orderdate")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END AS o_orderdate FROM orders) ORDER BY o_orderdate NULLS FIRST, o_orderkey LIMIT 40")
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey) AS place
+  FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END AS o_orderdate FROM orders WHERE o_orderstatus = 'O')""")
 def commencement_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).alias("o_orderdate"))
-    return rows.orderBy(F.col("o_orderdate").asc_nulls_first(), "o_orderkey").limit(40)
+    """Open orders as notices of their customer, which is the target; an order in ten has no date and goes first."""
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).alias("o_orderdate"))
+    return rules.notices(rows, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "place")
 
 
 @query("""SELECT bucket, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END], lambda x: x IS NOT NULL)) AS bucket
@@ -83,7 +84,7 @@ def failure_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars BETWEEN 300 AND 900 AND d.source LIKE 'src1%'""")
+@query("SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("n_chars").between(300, 900) & F.col("source").startswith("src1")).select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))

@@ -31,6 +31,12 @@ def test_matches_sql(spark, duck, name):
     assert plain(QUERIES[name](spark, DATA).toArrow()) == plain(duck.sql(ORACLE_SQL[name]).to_arrow_table())
 
 
+@pytest.mark.parametrize("name", ["lexical_topk", "lexical_topk_filtered", "union_passes_topk", "retrieval_by_language"])
+def test_search_makes_no_pairs_of_all_tokens_and_texts(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_entry(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

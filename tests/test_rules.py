@@ -48,10 +48,31 @@ def test_agreement_and_pages(spark):
     rows = [(1, "x", True, False), (2, "x", False, False), (2, "x", False, True), (3, "x", False, True), (4, "x", False, False), (4, "y", False, False)]
     out = rules.agreement(spark.createDataFrame(rows, "q int, a string, ab boolean, g boolean"), "q", "a", "ab", "g")
     assert sorted(map(tuple, out.collect())) == [(1, "all_abstain"), (2, "consensus"), (3, "single_grounded"), (4, "disagreement")]
-    bad = rules.page_violations(spark.createDataFrame([(1, [1, 2]), (2, [2, 1]), (3, [0, 0]), (4, []), (5, None)], "q int, p array<int>"), "q", "p")
+    pages = [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1), (3, 1, 0), (3, 2, 0), (5, 1, None)]
+    bad = rules.page_violations(spark.createDataFrame(pages, "q int, i int, p int"), "q", "p", ["i"])
     assert sorted(map(tuple, bad.collect())) == [(2, "pages_not_ascending"), (3, "page_below_one"), (3, "page_repeated")]
 
 
 def test_earlier_of(spark):
     rows = spark.createDataFrame([(1, "a", "2001-01-01"), (1, "b", "2002-01-01"), (2, "a", "2001-01-01"), (2, "b", "2001-01-01"), (3, "a", "2001-01-01"), (3, "b", None), (4, "a", "2001-01-01")], "q int, i string, d string")
     assert sorted(map(tuple, rules.earlier_of(rows, "q", "i", "d").collect())) == [(1, "a", False), (2, None, True), (3, None, True), (4, None, True)]
+
+
+def test_all_amounts_of_a_text_are_found(spark):
+    many = spark.createDataFrame([(" and ".join(f"USD {k}" for k in range(1, 101)) + " and USD 7",)], "t string")
+    assert [m.value for m in many.select(clauses.money(F.col("t")).alias("m")).first().m] == [float(k) for k in range(1, 101)]
+
+
+def test_fingerprints_don_t_depend_on_the_order(spark):
+    from lexloom.operators import versions
+
+    rows = [("a", "x"), ("a", "y"), ("a", None), ("b", None), ("a", "x")]
+    made = [sorted(map(tuple, versions.fingerprint(spark.createDataFrame(r, "g string, t string"), "g", "t").collect())) for r in (rows, rows[::-1])]
+    assert made[0] == made[1] and [(g, n, k) for g, n, k, _ in made[0]] == [("a", 4, 3), ("b", 1, None)]
+    other = versions.fingerprint(spark.createDataFrame(rows[:4], "g string, t string"), "g", "t").where("g = 'a'").first()
+    assert other.fingerprint != made[0][0][3]
+
+
+def test_notices_of_each_target(spark):
+    rows = spark.createDataFrame([(1, 5, "2020"), (1, 6, None), (2, 7, "2019"), (1, 8, "2020"), (1, 4, "2019")], "t int, k int, d string")
+    assert [(r.t, r.k) for r in rules.notices(rows, "t", "d", "k").orderBy("t", "place").collect()] == [(1, 6), (1, 4), (1, 5), (1, 8), (2, 7)]
