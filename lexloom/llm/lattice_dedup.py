@@ -9,13 +9,14 @@ Equal vectors are one representative with a multiplicity. A cell's members are c
 block gives each representative its number of links, counted only in the first table where two vectors meet, and a spanning forest of the links for
 the components. Cells where nobody can meet are dropped before vectors move.
 
-Defined cases: vectors that are null, zero, of another length than `size`, or hold null or non-finite components link with nothing; a null id has
-a null component; repeated rows are equal vectors and link with each other; an empty table gives no rows; other columns are not read.
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths are compared among
+those of their own length; a null id has a null component; repeated rows are equal vectors and link with each other; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,10 +160,23 @@ def compare(lattice: Lattice, threshold: float):
     return run
 
 
-def link(vectors: DataFrame, size: int = 64, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", lattice: Lattice | None = None) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    lattice = lattice or Lattice(size)
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+def link(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row. Components keep their type (floats or doubles); cosines are in double precision."""
+    kind = dict(vectors.dtypes)[vector_col]
+    vector = F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("embedding"))
+    lengths = [r["size"] for r in own.where(F.size("embedding") > 0).select(F.size("embedding").alias("size")).distinct().orderBy("size").collect()]
+    if not lengths:
+        return _alone(own)
+    parts = [_link(own.where(F.size("embedding") == size), Lattice(size), size, threshold) for size in lengths]
+    return reduce(DataFrame.unionByName, [*parts, _alone(own.where(F.col("embedding").isNull() | (F.size("embedding") <= 0)))])
+
+
+def _alone(own: DataFrame) -> DataFrame:
+    return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
+
+
+def _link(own: DataFrame, lattice: Lattice, size: int, threshold: float) -> DataFrame:
     sound = F.coalesce((F.size("embedding") == size) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = own.where(F.col("vec_id").isNotNull() & sound)
     reps = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))

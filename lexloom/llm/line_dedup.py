@@ -14,8 +14,8 @@ all rows costs one row per task; digests found once are then dropped, and only d
 removed places. Offsets are in code points, ends exclusive.
 
 Defined cases: a null text stays null and removes nothing; rows with a null id neither remove nor lose anything; rows that repeat an id are one document, so
-equal rows lose the same spans; empty tables give no rows. Other columns pass through `dedup` unless they are named `removed` or `text_deduped`, which
-are replaced.
+equal rows lose the same spans; empty tables give no rows. Other columns pass through `dedup`; its own two are named by `out` and replace columns of those
+names.
 """
 
 from __future__ import annotations
@@ -169,8 +169,8 @@ def without(text: str, spans: set[Span], unit: str = "line") -> tuple[str, list[
     return "".join(out), gone
 
 
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """docs with `text_deduped` and `removed` (array of (start, end) in the original text)."""
+def dedup(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", runs: bool = False, out: tuple[str, str] = ("text_deduped", "removed")) -> DataFrame:
+    """docs with the text left and the spans removed (array of (start, end) in the original text), named by `out`."""
     spans = repeats(docs, unit, min_words, id_col, text_col, runs).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("text string, removed array<struct<start: long, end: long>>")
@@ -179,8 +179,8 @@ def dedup(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str =
         made = [(None, []) if t is None else without(t, inside(t, s, unit) if runs else s, unit) for t, s in zip(text, held, strict=True)]
         return pd.DataFrame({"text": pd.Series([t for t, _ in made], dtype=object), "removed": [[{"start": a, "end": b} for a, b in gone] for _, gone in made]})
 
-    rest = docs.drop("removed", "text_deduped")
+    rest = docs.drop(*out)
     joined = rest.join(spans, rest[id_col].cast("long") == F.col("__id"), "left").drop("__id")
     some = F.when(F.col("__spans").isNotNull(), F.col(text_col))  # texts that stay as they are don't go through Python
     cleaned = joined.withColumn("__cut", cut_out(some, F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))))
-    return cleaned.withColumn("removed", F.col("__cut.removed")).withColumn("text_deduped", F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.col("__cut.text"))).drop("__cut", "__spans")
+    return cleaned.withColumn(out[1], F.col("__cut.removed")).withColumn(out[0], F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.col("__cut.text"))).drop("__cut", "__spans")

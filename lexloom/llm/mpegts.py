@@ -1,10 +1,11 @@
 """MPEG transport streams in media columns: write, parse, check and read back.
 
 A stream is a row of 188-byte packets: a program association table, a program map table, then the payload in elementary (PES)
-packets of up to `PES_BYTES` bytes, each opened by a packet with the unit-start flag, a time stamp and, every `RAP_EVERY` units, a
-random-access flag. `demux` follows the tables from program 0's pointer to the elementary stream, checks table CRCs and the continuity
-counters of every packet identifier, strips adaptation fields, reassembles the elementary packets and lists their time stamps and
-random-access points. A broken stream raises ValueError with the packet's number.
+packets of up to `PES_BYTES` bytes, each opened by a packet with the unit-start flag, a time stamp, a clock reference and, every `RAP_EVERY`
+units, a random-access flag. `demux` checks the continuity counter of every packet identifier (packets without payload don't count, one repeat of
+a packet is dropped, the discontinuity flag is heeded), reassembles table sections over their packets and checks their CRCs, follows the
+tables from program 0's pointer to the first elementary stream, strips adaptation fields wherever they are, reassembles the elementary packets
+and lists their time stamps, clock references and random-access points. A broken stream raises ValueError with the packet's number.
 
 `store` and `read` are the DataFrame forms. A null text is an empty one, whose payload is 64 zero bytes; equal texts give equal rows;
 a null media value gives nulls; an empty table gives no rows; other columns of the input pass through `read` and are not read by `store`.
@@ -27,7 +28,7 @@ from .common import chunks
 
 #: Fixed values of the format (ISO/IEC 13818-1): packet and payload bytes, sync byte, clock rate, CRC polynomial, stream type and id of private data.
 PACKET, BODY, SYNC, CLOCK, POLYNOMIAL, STREAM_TYPE, STREAM_ID = 188, 184, 0x47, 90_000, 0x04C11DB7, 0x06, 0xBD
-PMT_PID, ES_PID = 0x100, 0x101
+PMT_PID, ES_PID, NULL_PID = 0x100, 0x101, 0x1FFF
 PES_BYTES, RAP_EVERY, FRAMES_PER_SECOND = 16_384, 4, 25
 UNIT = 64
 
@@ -73,13 +74,15 @@ def mux(payload: bytes) -> bytes:
     parts, counter = [TABLES], 0
     for unit, at in enumerate(range(0, len(payload), PES_BYTES)):
         data = payload[at : at + PES_BYTES]
-        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(unit * CLOCK // FRAMES_PER_SECOND) + data
-        flags = b"\x01" + (b"\x40" if unit % RAP_EVERY == 0 else b"\x00")  # the first packet's adaptation field
+        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(unit * CLOCK // FRAMES_PER_SECOND % 2**33) + data
+        clock = unit * CLOCK // FRAMES_PER_SECOND
+        # the first packet's adaptation field: length, flags, clock reference
+        flags = bytes([7, 0x10 | (0x40 if unit % RAP_EVERY == 0 else 0)]) + ((clock % 2**33 << 15) | 0x7E00).to_bytes(6, "big")
         room = BODY - len(flags)
         first, rest = pes[:room], pes[room:]
         if len(first) < room:
             pad = room - len(first)
-            flags = bytes([1 + pad]) + flags[1:] + b"\xff" * pad
+            flags = bytes([7 + pad]) + flags[1:] + b"\xff" * pad
         whole, tail = divmod(len(rest), BODY)
         n = 1 + whole + (tail > 0)
         out = np.full((n, PACKET), 0xFF, dtype=np.uint8)
@@ -102,56 +105,111 @@ def mux(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _sections(packets: np.ndarray, pids: np.ndarray, pid: int, table_id: int) -> bytes:
-    found = np.flatnonzero(pids == pid)
-    if not len(found):
-        raise ValueError(f"no packet of table {pid}")
-    raw = packets[found[0]].tobytes()[4:]
-    raw = raw[1 + raw[0] :]
-    length = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)
-    if raw[0] != table_id or section_crc(raw[:length]):
-        raise ValueError(f"table {pid} is broken in packet {found[0]}")
-    return raw[8 : length - 4]
+def _kept(packets: np.ndarray, pids: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Which packets carry payload and repeat no other; the counters of every identifier but the null packets' are checked on the way."""
+    carries, counters = (packets[:, 3] & 0x10) > 0, packets[:, 3].astype(np.int64) & 15
+    keep = carries & (pids != NULL_PID)
+    breaks = (skip > 1) & ((packets[:, 5] & 0x80) > 0)
+    for pid in np.unique(pids[pids != NULL_PID]).tolist():
+        own = np.flatnonzero(pids == pid)
+        c, has = counters[own], carries[own]
+        ok = ((c[1:] - c[:-1]) % 16 == has[1:]) | breaks[own[1:]]
+        if ok.all():
+            continue
+        last = 0  # the packet before, and whether it was a repeat already
+        repeated = False
+        for k in range(1, len(own)):
+            if ok[k - 1]:
+                last, repeated = k, False
+            elif has[k] and has[last] and c[k] == c[last] and not repeated and _same(packets[own[k]], packets[own[last]]):
+                keep[own[k]], repeated = False, True
+            else:
+                raise ValueError(f"continuity is lost before packet {own[k]} of identifier {pid}")
+    return keep
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether one packet repeats the other; its clock reference may differ."""
+    unlike = a != b
+    if a[3] & 0x20 and a[4] and a[5] & 0x10:
+        unlike[6:12] = False
+    return not unlike.any()
+
+
+def _section_of(packets: np.ndarray, own: np.ndarray, skip: np.ndarray, table_id: int, pid: int) -> bytes:
+    """The body of the identifier's first section with this table id; a section may go on over several packets."""
+    held, broken = None, None
+    for k in own.tolist():
+        raw = packets[k, 4 + skip[k] :].tobytes()
+        if packets[k, 1] & 0x40:
+            # the pointer tells where the first new section starts; what is before ends the old one
+            held, rest = (b"" if held is None else held + raw[1 : 1 + raw[0]]), raw[1 + raw[0] :]
+            parts = [held, rest] if held else [rest]
+        else:
+            parts = [held + raw] if held is not None else []
+        held = None
+        for part in parts:
+            while len(part) >= 3 and part[0] != 0xFF:
+                length = 3 + (int.from_bytes(part[1:3], "big") & 0xFFF)
+                if len(part) < length:
+                    break
+                if section_crc(part[:length]):
+                    broken = k
+                elif part[0] == table_id:
+                    return part[8 : length - 4]
+                part = part[length:]
+            held = part if part and part[0] != 0xFF else None
+    raise ValueError(f"no packet of table {pid}" if broken is None else f"table {pid} is broken in packet {broken}")
 
 
 def demux(stream: bytes) -> tuple[bytes, dict]:
-    """The payload, and what the stream shows: packets, units, time stamps and random-access points."""
+    """The payload, and what the stream shows: packets, units, time stamps, clock references and random-access points."""
     if len(stream) % PACKET:
         raise ValueError("not whole packets")
     packets = np.frombuffer(stream, dtype=np.uint8).reshape(-1, PACKET)
     if not (packets[:, 0] == SYNC).all():
         raise ValueError(f"no sync byte in packet {int(np.argmax(packets[:, 0] != SYNC))}")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    programs = _sections(packets, pids, 0, 0)
+    adapted = (packets[:, 3] & 0x20) > 0
+    skip = np.where(adapted, packets[:, 4].astype(np.int64) + 1, 0)
+    if (skip > BODY).any():
+        raise ValueError(f"the adaptation field is too long in packet {int(np.argmax(skip > BODY))}")
+    keep = _kept(packets, pids, skip)
+    table = lambda pid, table_id: _section_of(packets, np.flatnonzero(keep & (pids == pid)), skip, table_id, pid)
+    programs = table(0, 0)
     pmt = next(int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(programs), 4) if programs[i : i + 2] != b"\0\0")
-    streams = _sections(packets, pids, pmt, 2)
+    streams = table(pmt, 2)
+    clock_pid = int.from_bytes(streams[0:2], "big") & 0x1FFF
     at = 4 + (int.from_bytes(streams[2:4], "big") & 0xFFF)
     es = int.from_bytes(streams[at + 1 : at + 3], "big") & 0x1FFF
-    own = np.flatnonzero(pids == es)
-    mine = packets[own]
-    counters = mine[:, 3] & 15
-    if len(own) > 1 and (gap := np.flatnonzero(np.diff(counters.astype(np.int8)) % 16 != 1)).size:
-        raise ValueError(f"continuity is lost before packet {own[gap[0] + 1]}")
-    adapted = (mine[:, 3] & 0x20) > 0
-    skip = np.where(adapted, mine[:, 4].astype(np.int64) + 1, 0)
+    flagged = np.where(skip > 1, packets[:, 5], 0)
+    clocks = []
+    for k in np.flatnonzero((pids == clock_pid) & ((flagged & 0x10) > 0)).tolist():
+        value = int.from_bytes(packets[k, 6:12].tobytes(), "big")
+        clocks.append((value >> 15) * 300 + (value & 0x1FF))
+    own = np.flatnonzero(keep & (pids == es))
+    mine, skipped = packets[own], skip[own]
     starts = np.flatnonzero(mine[:, 1] & 0x40)
-    random_access = adapted & (skip > 1) & ((mine[:, 5] & 0x40) > 0)
+    if len(own) and (not len(starts) or starts[0]):
+        raise ValueError(f"the elementary stream does not begin with a unit in packet {own[0]}")
+    body = mine[:, 4:][np.arange(BODY) >= skipped[:, None]].tobytes() if skipped.any() else mine[:, 4:].tobytes()
+    ends = np.concatenate([[0], np.cumsum(BODY - skipped)])
     payload, stamps, points = [], [], []
-    for k, a in enumerate(starts):
-        b = starts[k + 1] if k + 1 < len(starts) else len(mine)
-        first, last = mine[a, 4 + skip[a] :].tobytes(), b - 1
-        middle = mine[a + 1 : b, 4:] if last <= a or not adapted[last] else mine[a + 1 : last, 4:]
-        pes = first + middle.tobytes() + (mine[last, 4 + skip[last] :].tobytes() if last > a and adapted[last] else b"")
+    for k, a in enumerate(starts.tolist()):
+        b = int(starts[k + 1]) if k + 1 < len(starts) else len(mine)
+        pes = body[ends[a] : ends[b]]
         size = int.from_bytes(pes[4:6], "big")
         if pes[:3] != b"\0\0\1" or len(pes) != size + 6:
             raise ValueError(f"an elementary packet is broken in packet {own[a]}")
-        s = pes[9:14]
-        pts = (s[0] >> 1 & 7) << 30 | s[1] << 22 | (s[2] >> 1) << 15 | s[3] << 7 | s[4] >> 1
+        pts = None
+        if pes[7] & 0x80:
+            s = pes[9:14]
+            pts = (s[0] >> 1 & 7) << 30 | s[1] << 22 | (s[2] >> 1) << 15 | s[3] << 7 | s[4] >> 1
         stamps.append(pts)
-        if random_access[a]:
+        if flagged[own[a]] & 0x40:
             points.append((int(own[a]), pts))
         payload.append(pes[9 + pes[8] :])
-    return b"".join(payload), {"packets": len(packets), "units": len(starts), "stuffing": int(skip.sum()), "stamps": stamps, "random_access": points}
+    return b"".join(payload), {"packets": len(packets), "units": len(starts), "stuffing": int(skipped.sum()), "stamps": stamps, "clocks": clocks, "random_access": points}
 
 
 def padded(text: str) -> tuple[bytes, int]:

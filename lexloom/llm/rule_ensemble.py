@@ -134,7 +134,7 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-z))
 
     @classmethod
-    def fit(cls, rows: DataFrame, label: str, trees: int = 20, depth: int = 3, penalty: float = 0.002, most_rules: int = 200, seed: int = 7) -> RuleEnsemble:
+    def fit(cls, rows: DataFrame, label: str, trees: int = 20, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleEnsemble:
         """rows: STATISTICS and an integer label, a bounded sample; they are read several times and so are cut first."""
         from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
         from pyspark.ml.feature import VectorAssembler
@@ -149,7 +149,7 @@ class RuleEnsemble:
             return cls(float(np.log(share / (1 - share))), [])
         vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(rows)
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, featureSubsetStrategy="0.5", subsamplingRate=0.7, minInstancesPerNode=max(5, min(50, total // 200)), seed=seed).fit(vectors)
-        rules = sorted(paths(forest.toDebugString, STATISTICS), key=lambda r: (len(r), r))[:most_rules]
+        rules = sorted(paths(forest.toDebugString, STATISTICS), key=lambda r: (len(r), r))
         if not rules:
             share = counts[1] / total
             return cls(float(np.log(share / (1 - share))), [])

@@ -7,7 +7,8 @@ indivisible, so the separators (before a marker that follows something else, aro
 piece; between them each distinct chunk is encoded once, in multithreaded batches.
 
 Defined cases: a null text is empty and has no ids; a null id in a decoded list is left out; other columns of the input are not read.
-Models with a compiled character map (a normaliser other than identity) are refused, as tokenizers would need its trie.
+A compiled character map goes to the library's `Precompiled` normaliser as it is. Models with user-defined pieces, or with the marker as a suffix,
+are refused.
 """
 
 from __future__ import annotations
@@ -69,6 +70,8 @@ class Model:
     strip_spaces: bool = True
     escape_spaces: bool = True
     char_map: bytes = b""
+    suffix: bool = False
+    unknown_text: str = " ⁇ "
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -84,6 +87,7 @@ class Model:
             elif number == 2:
                 trainer = dict(fields(value))
                 out.type, out.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
+                out.suffix, out.unknown_text = bool(trainer.get(24, 0)), trainer.get(44, " ⁇ ".encode()).decode()
             elif number == 3:
                 norm = dict(fields(value))
                 out.char_map, out.dummy_prefix, out.strip_spaces, out.escape_spaces = norm.get(2, b""), bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
@@ -111,10 +115,12 @@ class Codec:
     def __init__(self, path: str, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         import regex
+        from tokenizers import normalizers
 
         self.m = m = Model.load(path)
-        if m.char_map:
-            raise ValueError("the model's normaliser has a character map")
+        if m.suffix:
+            raise ValueError("the marker is a suffix in this model")
+        self.mapped = normalizers.Precompiled(m.char_map).normalize_str if m.char_map else None
         self.engine = backend(m)
         self.id = {p: i for i, p in enumerate(m.pieces)}
         if any(k == USER for k in m.kinds):
@@ -128,7 +134,7 @@ class Codec:
             self.split = regex.compile(rf"\n+|{MARK}*[^{MARK}\n]+|{MARK}+" if lines else rf"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.cache = ChunkCache(self._fill)
         # what each id adds to a text
-        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
+        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else m.unknown_text.encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in m.kinds])
 
     def _fill(self, chunk: list[str]) -> list[bytes]:
@@ -138,6 +144,8 @@ class Codec:
         return out
 
     def normal(self, text: str) -> str:
+        if self.mapped:
+            text = self.mapped(text)
         if self.m.strip_spaces:
             text = " ".join(x for x in text.split(" ") if x)
         if text and self.m.dummy_prefix:

@@ -5,8 +5,8 @@ pieces (Song et al., 2021), every node has a failure link and the number of toke
 first; a word's count is then the sum of the pops met while its characters are read once. Many distinct words advance together, one
 character a step, in numpy.
 
-Words are runs of word characters or single other characters between white space. A word that the vocabulary can't spell, or of more than
-`max_chars` characters, counts as one unknown token. A null or empty text counts 0; other columns of the input are not read.
+Words are runs of word characters or single other characters between white space, of any length (`max_chars` sets a limit, beyond which a word is
+unknown, as in some implementations of the rule). A word that the vocabulary can't spell counts as one unknown token. A null or empty text counts 0; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .sentencepiece_codec import BYTE, CONTROL, MARK, UNKNOWN, Model
 from .wordcache import ChunkCache
 
 START, CONTINUE = 0, 1
+LONG = 100  # characters of a word from which it is read by itself
 
 
 def word_pieces(path: str) -> tuple[set[str], set[str]]:
@@ -77,14 +78,36 @@ class Automaton:
         self.code = np.zeros(0x110000, dtype=np.int32)
         for c, i in self.alphabet.items():
             self.code[ord(c)] = i
-
-    def counts(self, words: list[str], max_chars: int) -> np.ndarray:
+        self.goto: dict[int, int] | None = None
+
+    def count_long(self, word: str) -> int:
+        """The same for one long word, where a step in numpy for each character would cost more."""
+        if self.goto is None:
+            self.goto, self.links = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True)), (self.fail.tolist(), self.pops.tolist())
+        fail, pops = self.links
+        state, count = START, 0
+        for c in self.code[np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)].tolist():
+            while state >= 0 and (to := self.goto.get(state * self.width + c)) is None:
+                count += pops[state]
+                state = fail[state]
+            if state < 0:
+                return -1
+            state = to
+        while state >= 0 and state != CONTINUE:
+            count += pops[state]
+            state = fail[state]
+        return -1 if state < 0 else count
+
+    def counts(self, words: list[str], max_chars: int | None = None) -> np.ndarray:
         """Tokens of each word; -1 where the word is unknown."""
         length = np.array([len(w) for w in words], dtype=np.int64)
         out = np.zeros(len(words), dtype=np.int64)
-        out[length > max_chars] = -1
+        most = int(length.max(initial=0)) if max_chars is None else max_chars
+        out[length > most] = -1
+        for i in np.flatnonzero((length > LONG) & (length <= most)).tolist():
+            out[i] = self.count_long(words[i])
         order = np.argsort(-length, kind="stable")
-        order = order[length[order] <= max_chars]
+        order = order[length[order] <= min(most, LONG)]
         if not len(order):
             return out
         codes = self.code[np.frombuffer("".join(words[i] for i in order).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
@@ -118,7 +141,7 @@ class Automaton:
 class Counter:
     """(words, tokens, unknown words) of texts, with the counts of distinct chunks kept."""
 
-    def __init__(self, path: str, max_chars: int):
+    def __init__(self, path: str, max_chars: int | None):
         import regex
 
         self.automaton, self.max_chars = Automaton(*word_pieces(path)), max_chars
@@ -150,11 +173,11 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str, max_chars: int) -> Counter:
+def counter(path: str, max_chars: int | None) -> Counter:
     return Counter(path, max_chars)
 
 
-def count_tokens(docs: DataFrame, path: str, max_chars: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, max_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

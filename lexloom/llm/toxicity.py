@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, cut
 from .wordcache import ChunkCache
 
 _ENDS = bytes(10 if chr(b) in ".!?\n" else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -96,11 +96,11 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray, size: int, steps: int =
 def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, train_rows: int = 12_000, vocabulary: int = 2_000, least_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model:
     known = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)  # bounded by the parameter
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text")
+    own = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            sets = [{f for s in sentences(x) for w in s.split() if len(w) < 40 for f in features(w)} for x in part["text"]]
+            sets = [{f for s in sentences(x) for w in s.split() for f in features(w)} for x in part["text"]]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, s in zip(part["label"], sets, strict=True) for _ in s], pa.int32()), pa.array([w for s in sets for w in s], pa.binary())], names=["label", "word"])
 
     totals = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, train_
     rows = own.mapInArrow(instances, "label int, bag array<array<int>>").toArrow()  # at most train_rows
     rows = sorted(zip(rows.column("bag").to_pylist(), rows.column("label").to_pylist(), strict=True), key=lambda r: (r[1], r[0]))
     bias, weights = fit([b for b, _ in rows], np.array([y for _, y in rows]), len(chosen))
-    return Model(bias, {w: float(x) for w, x in zip(chosen, weights, strict=True) if abs(x) > 0.2})
+    return Model(bias, {w: float(x) for w, x in zip(chosen, weights, strict=True)})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -267,7 +267,7 @@ def test_lattice_links_against_brute_force(spark):
     rows = [base[i % 60] + r.standard_normal(64) * (0.02 * (i % 7)) for i in range(400)]
     data = [(i, [float(x) for x in v], 0) for i, v in enumerate(rows)]
     data += [(1000 + i, data[0][1], 1) for i in range(5)]
-    bad = [(2000, None, 0), (2001, [0.0] * 64, 0), (2002, [None] * 64, 0), (2003, [float("nan")] * 64, 0), (2004, [1.0], 0), (2005, [float("inf")] + [1.0] * 63, 0), (None, data[0][1], 0)]
+    bad = [(2000, None, 0), (2001, [0.0] * 64, 0), (2002, [None] * 64, 0), (2003, [float("nan")] * 64, 0), (2004, [], 0), (2005, [float("inf")] + [1.0] * 63, 0), (None, data[0][1], 0)]
     frame = spark.createDataFrame(data + bad, "vec_id long, embedding array<float>, label int")
     out = {x.vec_id: x for x in lattice_dedup.link(frame).collect()}
     v = np.array([d[1] for d in data], dtype=np.float32).astype(float)
@@ -300,7 +300,7 @@ def test_token_counts_against_greedy(docs, odd):
         at = n = 0
         while at < len(w):
             end = next((j for j in range(len(w), at, -1) if w[at:j] in (begin if at == 0 else more)), None)
-            if end is None or len(w) > 100:
+            if end is None:
                 return None
             at, n = end, n + 1
         return n
@@ -383,6 +383,169 @@ def test_transport_streams(spark, odd, none):
     assert mpegts.digests(none).count() == 0
 
 
+def packet(pid, counter, body=b"", field=None, start=False):
+    """A packet with its adaptation field filled up to the body."""
+    room = 184 - len(body)
+    field = field if field is not None or not room else b"\0"
+    head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x20 if room else 0) | (0x10 if body else 0) | counter])
+    out = head + (bytes([room - 1]) + field[: room - 1].ljust(room - 1, b"\xff") if room else b"") + body
+    assert len(out) == 188
+    return out
+
+
+def test_streams_of_other_writers():
+    data = np.random.RandomState(5).bytes(2000)
+    own = mpegts.mux(data)
+    packets = [own[i : i + 188] for i in range(0, len(own), 188)]
+    es = mpegts.ES_PID
+    # a legal repeat, a packet with a clock reference alone, and null packets change nothing
+    clock = packet(es, packets[4][3] & 15, field=b"\x10" + (123 << 15 | 0x7E00).to_bytes(6, "big"))
+    more = b"".join([*packets[:4], packets[3], packets[4], clock, packet(0x1FFF, 9, b"z" * 184), *packets[5:]])
+    back, found = mpegts.demux(more)
+    assert back == data and found["clocks"] == [0, 123 * 300] and found["packets"] == len(packets) + 3
+    # an adaptation field in a middle packet
+    pes = b"\0\0\1\xbd" + (8 + 400).to_bytes(2, "big") + b"\x84\x80\x05" + mpegts._stamp(90_000) + data[:400]
+    middle = [packet(es, 0, pes[:184], start=True), packet(es, 1, pes[184:284]), packet(es, 2, pes[284:])]
+    back, found = mpegts.demux(b"".join([*packets[:2], *middle]))
+    assert back == data[:400] and found["stamps"] == [90_000]
+    # a map table over three packets: many streams with descriptors
+    body = (0xE000 | es).to_bytes(2, "big") + b"\xf0\0" + b"\x06" + (0xE000 | es).to_bytes(2, "big") + b"\xf0\0"
+    body += b"".join(b"\x06" + (0xE200 | k).to_bytes(2, "big") + b"\xf0\x05" + b"abcde" for k in range(40))
+    section = b"\0" + mpegts._section(2, 1, body)
+    parts = [section[i : i + 184] for i in range(0, len(section), 184)]
+    tables = [packet(mpegts.PMT_PID, k, x.ljust(184, b"\xff"), start=k == 0) for k, x in enumerate(parts)]
+    assert len(parts) == 3 and mpegts.demux(b"".join([packets[0], *tables, *packets[2:]]))[0] == data
+    # lost and third packets, of tables too, are refused; the discontinuity flag excuses a jump
+    for bad in ([packets[0], *tables[:1], *tables[2:], *packets[2:]], [*packets[:4], packets[3], packets[3], *packets[4:]], [*packets[:3], *packets[4:]]):
+        with pytest.raises(ValueError, match="continuity"):
+            mpegts.demux(b"".join(bad))
+    jump = [packet(es, 7, pes[:184 - 2], field=b"\x80", start=True), packet(es, 8, pes[182:366]), packet(es, 9, pes[366:])]
+    assert mpegts.demux(b"".join([*packets[:2], *middle, *jump]))[0] == data[:400] * 2
+
+
+def test_media_digests_against_the_texts(odd):
+    import hashlib
+
+    rows = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
+    want = Counter()
+    for d, raw in rows:
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = mpegts.mux(payload)
+        want[d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    assert Counter(tuple(r)[:7] for r in mpegts.digests(odd).collect()) == want
+
+
+def test_codec_digests_against_the_library(docs, odd):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for frame in (docs.limit(40), odd):
+        want = Counter()
+        for r in frame.collect():
+            ids = library.encode(r.text or "")
+            back = library.decode(ids)
+            want[r.doc_id, len(ids), sum(library.is_byte(i) for i in ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), zlib.crc32(back.encode())] += 1
+        assert Counter(tuple(r)[:5] for r in sentencepiece_codec.digests(frame, PIECES).collect()) == want
+
+
+def test_unigram_model_with_a_character_map(tmp_path):
+    """A hand-written unigram model with the library's own compiled map, held against the library."""
+    import sentencepiece
+
+    def message(*fields):
+        out = b""
+        for number, value in fields:
+            kind = 2 if isinstance(value, bytes) else 5 if isinstance(value, float) else 0
+            out += bytes([*varint(number << 3 | kind)]) + (bytes([*varint(len(value))]) + value if kind == 2 else np.float32(value).tobytes() if kind == 5 else bytes([*varint(value)]))
+        return out
+
+    def varint(n):
+        while n > 127:
+            yield n & 127 | 128
+            n >>= 7
+        yield n
+
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto()
+    norm = next(v for k, v in sentencepiece_codec.fields(rule) if k == 3)
+    r = np.random.RandomState(3)
+    words = ["".join(r.choice(list("abcfiou"), r.randint(2, 5))) for _ in range(40)]
+    pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1)] + [(c, -6.0 - k / 10, 1) for k, c in enumerate("abcfiou1")]
+    pieces += [(w, float(-2 - r.rand() * 3), 1) for w in dict.fromkeys(words + ["▁" + w for w in words])]
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as f:
+        f.write(message(*((1, message((1, p.encode()), (2, float(s)), (3, k))) for p, s, k in pieces), (2, message((3, 1), (44, b" <?> "))), (3, norm)))
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.codec(path)
+    texts = ["", " ", "ABC ﬁab  Ⅸ", "ｆａｂ①", *(" ".join(r.choice(words, 6)) + "".join(r.choice(list("abcX zÉ"), 4)) for _ in range(60))]
+    got = own.encode(texts)
+    assert [x.tolist() for x in got] == library.encode(texts)
+    assert [own.decode(x.tolist()) for x in got] == [library.decode(x.tolist()) for x in got]
+
+
+def test_vectors_of_other_lengths_and_types(spark):
+    r = np.random.RandomState(7)
+    wide, short = r.standard_normal(128), r.standard_normal(16)
+    rows = [(i, [float(x) for x in wide]) for i in range(3)] + [(10 + i, [float(x) for x in short * (1 + i)]) for i in range(3)] + [(20, None), (21, [])]
+    # two vectors whose cosine is under the limit by less than a float can tell
+    a = np.zeros(16)
+    a[0] = 1.0
+    b = np.zeros(16)
+    b[0], b[1] = 0.95 - 1e-9, np.sqrt(1 - (0.95 - 1e-9) ** 2)
+    rows += [(30, a.tolist()), (31, b.tolist())]
+    out = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in lattice_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (2, 10, True), 11: (2, 10, False), 12: (2, 10, False), 20: (0, 20, True), 21: (0, 21, True), 30: (0, 30, True), 31: (0, 31, True)}
+
+
+def test_long_words_are_counted(spark):
+    begin, more = token_counts.word_pieces(PIECES)
+    own = token_counts.Automaton(begin, more)
+    r = np.random.RandomState(8)
+    words = ["".join(r.choice(list("abcdefghiT"), n)) for n in (1, 5, 99, 100, 101, 180, 400)] + ["a" * 300 + "\u2603"]
+
+    def greedy(w):
+        at = n = 0
+        while at < len(w):
+            end = next((j for j in range(min(len(w), at + 40), at, -1) if w[at:j] in (begin if at == 0 else more)), None)
+            if end is None:
+                return -1
+            at, n = end, n + 1
+        return n
+
+    assert own.counts(words).tolist() == [greedy(w) for w in words] == [own.count_long(w) for w in words]
+    assert own.counts(words, 100).tolist() == [greedy(w) if len(w) <= 100 else -1 for w in words]
+
+
+def test_repeated_lines_keep_columns_of_clashing_names(spark):
+    import corpus_pipeline
+
+    line = "one two three four five six seven eight nine"
+    frame = spark.createDataFrame([(1, line, "r1", "t1"), (2, line, "r2", "t2")], "doc_id long, text string, removed string, text_deduped string")
+    assert sorted(map(tuple, corpus_pipeline.repeated_lines(spark, frame, DATA).collect())) == [(1, line, "r1", "t1"), (2, "", "r2", "t2")]
+
+
+def test_compiled_rules_against_plain_python(spark, docs):
+    rules = [((("words", ">", 50.0),), 0.7), ((("digits", "<=", 0.01), ("words", ">", 20.0)), -1.2), ((("upper", ">", 0.02),), 0.4)]
+    model = rule_ensemble.RuleEnsemble(-0.3, rules)
+    for r in rule_ensemble.statistics(docs).withColumn("score", model.score()).collect():
+        z = -0.3 + sum(w for rule, w in rules if all(r[n] <= t if s == "<=" else r[n] > t for n, s, t in rule))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_noisy_or_scores_against_plain_python(spark, docs):
+    r = np.random.RandomState(11)
+    texts = [(x.doc_id, x.text) for x in docs.limit(50).collect()] + [(-1, None), (-2, "")]
+    words = sorted({w for _, t in texts for s in toxicity.sentences(t or "") for w in s.split()})
+    weights = {w: float(r.standard_normal()) for w in words[::7]} | {b"^" + w[:5]: 0.5 for w in words[::11] if len(w) >= 5}
+    out = {x.doc_id: x for x in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), toxicity.Model(-2.0, weights)).collect()}
+    for d, t in texts:
+        left, hot = 1.0, 0
+        bags = [set(s.split()) for s in toxicity.sentences(t or "")]
+        for bag in [b for b in bags if b] or [set()]:
+            p = 1 / (1 + np.exp(2.0 - sum(weights.get(f, 0.0) for w in bag for f in toxicity.features(w))))
+            left *= 1 - p
+            hot += p >= 0.5
+        assert abs(out[d].score - (1 - left)) < 1e-9 and len(out[d].offending) == hot
+
+
 def sets_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
