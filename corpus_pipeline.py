@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import jaccard_join, line_dedup, packing, pii, rule_ensemble
-from lexloom.llm.common import cut, rest_bucket, table
+from lexloom.llm.common import cut, release, rest_bucket, table
 from lexloom.llm.tokens import vocabulary_path
 
 
@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines, and the passages inside lines, that an earlier document, or an earlier line, has already."""
-    return _with_text(docs, line_dedup.dedup(docs, runs=True).drop("text").withColumnRenamed("text_deduped", "text"))
+    return _with_text(docs, line_dedup.dedup(docs, runs=True, out=("__left", "__removed")).drop("text").withColumnRenamed("__left", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
+        made = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return made
+        before, docs = docs, cut(made)
+        if hasattr(before, "cut_path"):
+            release(before)
     return docs
