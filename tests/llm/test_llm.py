@@ -360,6 +360,36 @@ def test_every_labelled_form_is_found(spark):
     assert {k for k, _ in seen} == set(pii.KINDS) and {f: (hit[f], n) for f, n in seen.items() if hit[f] < n} == {}
 
 
+def test_held_out_rates_of_the_field(spark):
+    field = pii.train(pii.labelled(spark))
+    precision, recall = pii.rates(pii.labelled(spark, copies=6, seed=99), field)
+    print("precision", precision, "recall", recall)
+    assert precision > 0.97 and recall > 0.97
+    scan = pii.scanner(field)
+    for text, value, kind in (("write to joe dot doe at example dot com", "joe dot doe at example dot com", "email"), ("mail joe.doe at example.com today", "joe.doe at example.com", "email"), ("call 212 555 0199 now", "212 555 0199", "phone")):
+        ((base, every),) = scan([text])
+        assert not base and every == [(text.index(value), pii.KINDS.index(kind), text.index(value) + len(value))], text
+    for text in ("we met at noon. Then all went home at eight", "a polka dot dress", "he looked at the.Next"):
+        assert scan([text]) == [([], [])], text
+
+
+def test_query_digests_against_brute_force(spark, docs, odd):
+    import hashlib
+
+    field = pii.train(pii.labelled(spark))
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    fits = [lambda s: True, lambda s: all(int(p) <= 255 for p in s.split(".")), lambda s: 12 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), lambda s: 9 <= len(digits(s)) <= 15]
+    some = spark.createDataFrame([(-1, "a@b.co 4111 1111 1111 1111"), (-2, "é 10.0.0.7 and +1 (499) 555-6503, x@y.z")], "doc_id long, text string")
+    for frame in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), some):
+        want = Counter()
+        for r in frame.collect():
+            spans = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, r.text or "") if fits[k](m[0]))
+            line = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+            want[r.doc_id, *(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(line.encode()).hexdigest()] += 1
+        assert Counter(tuple(r)[:6] for r in pii.find(frame, field).collect()) == want
+
+
 def test_transport_streams(spark, odd, none):
     r = np.random.RandomState(4)
     for n in (0, 1, 64, 168, 169, 170, 171, 183, 184, 352, 353, 354, 16_384, 16_385, 16_384 * 5 + 7):
