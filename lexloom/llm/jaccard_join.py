@@ -12,9 +12,9 @@ share one of the first n - ceil(t n) + 1 of their shingles in any common order),
 2. `buckets`: sorted by Spark and streamed group by group. A bucket of up to LEAF members is a tree of one leaf, whose pairs are all
    counted; a larger one first gives a chain and a star. A pair goes on if it shares enough of the first shingles (`shared_least`).
 3. Pairs are tested by summed minima over the fine groups, then verified on the texts' full sets; components are formed.
-4. In larger buckets, members outside the largest component are first held against that component's most typical one (`to_hubs`).
-5. `across`: larger buckets that still hold several components are packed into trees of several levels over all their members, in blocks;
-   the members outside the bucket's largest component query them. What passes the bound is verified in the same way.
+4. `across`: larger buckets that still hold several components are packed into trees of several levels over all their members, in blocks;
+   the members outside the bucket's largest component query them. What passes the bound is verified in the same way: first only the best
+   partner in each component, then, with the components that this gives, all partners.
 So no link between different components is missed, and no group is expanded into all its pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a null id links with nothing and keeps a null
@@ -74,8 +74,8 @@ def groups_of(steps: bytes) -> np.ndarray:
 
 
 def bits_of(n: np.ndarray) -> np.ndarray:
-    """log2 of the number of groups in a set's point: about two shingles a group, 16 groups at least and 2^GROUP_BITS at most. Linked sets differ by one at most."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), 4, GROUP_BITS).astype(np.int64)
+    """log2 of the number of groups in a set's point: about a shingle a group, 128 groups at least and 2^GROUP_BITS at most. Linked sets differ by one at most."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1))), 7, GROUP_BITS).astype(np.int64)
 
 
 def packed(steps: bytes, n: int) -> bytes:
@@ -302,9 +302,9 @@ def sieved(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 
 
 def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int, threshold: float, check) -> DataFrame:
-    """The pairs (a, b) that `check` keeps, given the payload (sid, payload) of both.
+    """The pairs (a, b) that `check` keeps, given the payload (doc_id, text_hash, payload) of both.
 
-    A payload travels once for each cell that it has pairs in, not once a pair: a family (node, f, n) of candidates that hang together is split into
+    A payload travels once for each cell that it has pairs in, not once a pair: a family (node, f, n, doc_id, text_hash) of candidates that hang together is split into
     blocks of about `most` shingles and at most about PAIR_BLOCK sets, and a cell is a pair of blocks.
     """
     blocks = family.groupBy("f").agg(F.ceil(F.greatest(F.sum("n") / most, F.count("*") / PAIR_BLOCK)).cast("long").alias("blocks"))
@@ -313,7 +313,9 @@ def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int,
     cells = cut(pairs.join(left, "a").join(right, "b").select("f", "i", "j", "a", "b"))
     release(nodes)
     wanted = cells.select("f", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sent = wanted.join(payload, "sid").select("f", "i", "j", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
+    own = ["doc_id", "text_hash"]  # rows that repeat them are the same
+    held = sieved(payload, family, own).dropDuplicates(own)
+    sent = wanted.join(family.select(F.col("node").alias("sid"), *own), "sid").join(held, own).select("f", "i", "j", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
     rows = sent.unionByName(cells.withColumn("payload", F.lit(None).cast("binary"))).repartition("f", "i", "j").sortWithinPartitions("f", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,12 +338,10 @@ def verified(pairs: DataFrame, sets: DataFrame, fine: DataFrame, texts: DataFram
     """The pairs (a, b) whose full sets link: those that the fine counts leave are held against the texts."""
     pairs = cut(pairs.select("a", "b"))
     family = cut(components(pairs, "a", "b").join(sets, F.col("node") == F.col("sid")).select("node", F.col("component").alias("f"), "n", "doc_id", "text_hash"))
-    # the set's own document stands for it; rows that repeat it are the same
-    own = ["sid", "doc_id", "text_hash"]
-    named = family.withColumnRenamed("node", "sid").select(*own)
-    close = in_cells(pairs, family, sieved(fine, named, own).join(named, own).dropDuplicates(["sid"]), FINE_BLOCK, threshold, check_fine)
+    # the set's first document stands for it
+    close = in_cells(pairs, family, fine.select("doc_id", "text_hash", "payload"), FINE_BLOCK, threshold, check_fine)
     left = cut(family.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    whole = sieved(texts, left, own[1:]).join(left.select(F.col("node").alias("sid"), *own[1:]), own[1:]).dropDuplicates(["sid"]).select("sid", F.col("text").cast("binary").alias("payload"))
+    whole = texts.select("doc_id", "text_hash", F.col("text").cast("binary").alias("payload"))
     linked = in_cells(close, left, whole, TEXT_BLOCK, threshold, check_texts(words))
     release(pairs, family, close, left)
     return linked
@@ -399,21 +399,10 @@ def standing(members: DataFrame, labels: DataFrame, large: DataFrame) -> DataFra
     return cut(members.join(large, "sid").join(labels, members["sid"] == labels["node"], "left").select("list", "sid", "n", "large", F.coalesce("component", "sid").alias("c")))
 
 
-def to_hubs(known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of each list's outsiders with one member of its largest component: the one with the greatest share of shingles in larger buckets, which
-    resembles the others most."""
-    counted = known.groupBy("list", "c").agg(F.count("*").alias("k"), F.max(F.struct(F.col("large") / F.col("n"), "sid", "n", "large")).alias("hub"))
-    hubs = counted.groupBy("list").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c", "hub")).alias("top")).where("parts > 1").select("list", "top.c", "top.hub")
-    both = known.join(hubs.withColumnRenamed("c", "main"), "list").where("c <> main")
-    n, m = F.least("n", "hub.n"), F.greatest("n", "hub.n")
-    fit = (n >= threshold * m - 1e-9) & (F.least("large", "hub.large") >= least_shared(n, m, threshold))
-    return both.where(fit).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
-
-
-def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float, best: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a list and pass the bound: outsiders of each list against the trees of all its members.
 
-    Pairs that share a leaf bucket are settled before; the others share at most as many first shingles as either has in larger buckets.
+    With `best`, an outsider gives only its best partner of each other component that it meets in a cell. Pairs that share a leaf bucket are settled before; the others share at most as many first shingles as either has in larger buckets.
     """
     mixed = known.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", "size")
     open_lists = known.join(mixed, "list")
@@ -456,10 +445,17 @@ def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float)
                     if not len(held) or not len(asking):
                         continue
                     at = lambda i, g=g, bits=bits, points=points: points[i] if bits[i] == g else points[i].reshape(-1, 2).sum(axis=1, dtype=np.int32)
-                    tree = CountTree(np.stack([at(i) for i in held.tolist()]), n[held])
+                    matrix = np.stack([at(i) for i in held.tolist()])
+                    tree = CountTree(matrix, n[held])
                     for i in asking.tolist():
-                        hit = held[tree.search(at(i), int(n[i]), threshold)]
-                        hit = hit[(c[hit] != c[i]) & (~outside[hit] | (ids[hit] > ids[i])) & ((bits[i] == g) | (bits[hit] == g))]
+                        own = tree.search(at(i), int(n[i]), threshold)
+                        hit = held[own]
+                        fit = (c[hit] != c[i]) & (~outside[hit] | (ids[hit] > ids[i])) & ((bits[i] == g) | (bits[hit] == g))
+                        hit, own = hit[fit], own[fit]
+                        if best and len(hit) > 1:
+                            common = np.minimum(matrix[own], at(i)).sum(axis=1)
+                            hit = hit[np.argsort(-common / (n[hit] + n[i] - common), kind="stable")]
+                            hit = hit[np.unique(c[hit], return_index=True)[1]]
                         d = int(ids[i])
                         found.update((min(d, o), max(d, o)) for o in ids[hit].tolist())
             found -= seen
@@ -510,11 +506,11 @@ def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str =
     links = verified(likely(found.where("kind = 'pair'"), large, threshold), sets, fine, texts, words, threshold)
     labels = components(links, "a", "b")
     known = standing(members, labels, large)
-    links = links.unionByName(verified(to_hubs(known, threshold), sets, fine, texts, words, threshold))
+    links = links.unionByName(verified(across(known, fine, sets, threshold, True), sets, fine, texts, words, threshold))
     labels = components(links, "a", "b")
     release(known)
     known = standing(members, labels, large)
-    between = across(known, fine, sets, threshold)
+    between = across(known, fine, sets, threshold, False)
     more = verified(between, sets, fine, texts, words, threshold)
     if more.limit(1).count():
         labels = components(links.unionByName(more), "a", "b")
