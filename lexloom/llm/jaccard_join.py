@@ -13,8 +13,9 @@ share one of the first n - ceil(t n) + 1 of their shingles in any common order),
    counted; a larger one first gives a chain and a star. A pair goes on if it shares enough of the first shingles (`shared_least`).
 3. Pairs are tested by summed minima over the fine groups, then verified on the texts' full sets; components are formed.
 4. `across`: larger buckets that still hold several components are packed into trees of several levels over all their members, in blocks;
-   the members outside the bucket's largest component query them. What passes the bound is verified in the same way: first only the best
-   partner in each component, then, with the components that this gives, all partners.
+   the members outside the bucket's largest component query them. What passes the bound is verified in the same way. A member with more
+   than PARTNERS partners in a cell first gives its best one of each component; its bucket is searched again, for all partners, with the
+   components that this gives.
 So no link between different components is missed, and no group is expanded into all its pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a null id links with nothing and keeps a null
@@ -39,6 +40,7 @@ from .textkit import mix, shingle_sets
 
 LEAF, FANOUT, GROUP_BITS, FINE_BITS = 8, 8, 9, 13
 BLOCK, PAIR_BLOCK = 1024, 256  # members of a bucket, and of a family of candidate pairs, in one side of a cell
+PARTNERS = 4  # of a member in a cell, in the first search
 FINE_BLOCK, TEXT_BLOCK = 4_000_000, 500_000  # shingles in one side of a cell
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 2, 16, 200_000, 2_000
 
@@ -399,10 +401,12 @@ def standing(members: DataFrame, labels: DataFrame, large: DataFrame) -> DataFra
     return cut(members.join(large, "sid").join(labels, members["sid"] == labels["node"], "left").select("list", "sid", "n", "large", F.coalesce("component", "sid").alias("c")))
 
 
-def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float, best: bool) -> DataFrame:
+def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float, first: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a list and pass the bound: outsiders of each list against the trees of all its members.
 
-    With `best`, an outsider gives only its best partner of each other component that it meets in a cell. Pairs that share a leaf bucket are settled before; the others share at most as many first shingles as either has in larger buckets.
+    In the `first` search, an outsider with more than PARTNERS partners in a cell gives only the best one of each component, and a row names the
+    list, which is to be searched again. Pairs that share a leaf bucket are settled before; the others share at most as many first shingles as
+    either has in larger buckets.
     """
     mixed = known.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", "size")
     open_lists = known.join(mixed, "list")
@@ -432,6 +436,7 @@ def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float,
         seen: set[tuple[int, int]] = set()  # a pair meets in many lists; a task gives it once, or once in a while
         for table, cuts in whole_groups(batches, ["list", "l", "r"]):
             found: set[tuple[int, int]] = set()
+            crowded: set[int] = set()
             for x, y in zip(cuts, cuts[1:], strict=False):
                 part = table.slice(x, y - x)
                 asks, ids, c, outside, n = (part.column(k).to_numpy() for k in ("asks", "sid", "c", "outside", "n"))
@@ -452,7 +457,8 @@ def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float,
                         hit = held[own]
                         fit = (c[hit] != c[i]) & (~outside[hit] | (ids[hit] > ids[i])) & ((bits[i] == g) | (bits[hit] == g))
                         hit, own = hit[fit], own[fit]
-                        if best and len(hit) > 1:
+                        if first and len(hit) > PARTNERS:
+                            crowded.add(part.column("list")[0].as_py())
                             common = np.minimum(matrix[own], at(i)).sum(axis=1)
                             hit = hit[np.argsort(-common / (n[hit] + n[i] - common), kind="stable")]
                             hit = hit[np.unique(c[hit], return_index=True)[1]]
@@ -462,9 +468,11 @@ def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float,
             if len(seen) + len(found) > 500_000:
                 seen = set()
             seen |= found
-            yield arrays("a long, b long", [[p[k] for p in found] for k in range(2)])
+            yield arrays(crossing, [*([p[k] for p in found] for k in range(2)), None])
+            yield arrays(crossing, [None, None, list(crowded)])
 
-    out = cut(both.mapInArrow(run, "a long, b long").distinct())
+    crossing = "a long, b long, list long"
+    out = cut(both.mapInArrow(run, crossing).distinct())
     release(left_in, wanted)
     return out
 
@@ -506,15 +514,19 @@ def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str =
     links = verified(likely(found.where("kind = 'pair'"), large, threshold), sets, fine, texts, words, threshold)
     labels = components(links, "a", "b")
     known = standing(members, labels, large)
-    links = links.unionByName(verified(across(known, fine, sets, threshold, True), sets, fine, texts, words, threshold))
+    between = across(known, fine, sets, threshold, True)
+    links = links.unionByName(verified(between.where("list IS NULL"), sets, fine, texts, words, threshold))
     labels = components(links, "a", "b")
     release(known)
-    known = standing(members, labels, large)
-    between = across(known, fine, sets, threshold, False)
-    more = verified(between, sets, fine, texts, words, threshold)
-    if more.limit(1).count():
-        labels = components(links.unionByName(more), "a", "b")
-    release(found, large, known, between, more)
+    crowded = between.where("list IS NOT NULL").select("list")
+    if crowded.limit(1).count():
+        known = standing(members.join(crowded, "list", "left_semi"), labels, large)
+        rest = across(known, fine, sets, threshold, False)
+        more = verified(rest, sets, fine, texts, words, threshold)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more), "a", "b")
+        release(known, rest, more)
+    release(found, large, between)
     whole = sets.join(labels, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("c"), F.col("doc_id").alias("least"))
     first = whole.groupBy("c").agg(F.min("least").alias("component_id"))
     of_set = whole.join(first, "c").select("sid", "component_id")

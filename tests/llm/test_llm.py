@@ -600,7 +600,8 @@ def brute_components(rows):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-def test_jaccard_join_against_brute_force(spark, docs, monkeypatch):
+@pytest.mark.parametrize("partners", [0, 4])
+def test_jaccard_join_against_brute_force(spark, docs, monkeypatch, partners):
     r = np.random.RandomState(5)
     rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
     words = [f"w{i}" for i in range(4000)]
@@ -616,6 +617,7 @@ def test_jaccard_join_against_brute_force(spark, docs, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(5)
     monkeypatch.setattr(jaccard_join, "LEAF", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link(frame).collect()}
     assert got == brute_components(rows)
 
