@@ -9,12 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release
 
 FOREST = 500_000  # nodes of a task's forest in memory
+TASK_ROWS = 20_000  # short rows that are worth a task
+
+
+def tasks_for(rows: int) -> int:
+    """Partitions of a table of so many short rows: they grow with it."""
+    return 1 + rows // TASK_ROWS
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,20 +54,22 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): for every node with an edge to another, the smallest node that it reaches."""
     low, high = F.least(a, b), F.greatest(a, b)
     own = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(high.cast("long").alias("u"), low.cast("long").alias("v"))
-    own = cut(own.mapInArrow(_forest, "u long, v long").distinct())
+    own = cut(own.mapInArrow(_forest, "u long, v long"))
     for _ in range(rounds):
         # done when every node has one parent and no parent has a parent
-        parents = own.groupBy("u").agg(F.count("*").alias("n"))
-        state = own.select("v").distinct().join(parents, F.col("v") == F.col("u"), "left_semi").limit(1).count() + parents.where("n > 1").limit(1).count()
-        if not state:
+        ends = own.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("parent")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("parent")))).alias("end")).select("end.*")
+        state = ends.groupBy("node").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi"), F.max(F.col("parent").isNull()).alias("is_parent"))
+        nodes, unsettled = state.agg(F.count("*"), F.count_if(F.expr("lo <> hi OR (lo IS NOT NULL AND is_parent)"))).first()
+        if not unsettled:
             break
-        both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v")))
-        before, own = own, cut(small.distinct().mapInArrow(_forest, "u long, v long").distinct())
+        tasks = tasks_for(nodes)
+        # large star: a node's larger neighbours take its least neighbour, or itself, as their parent
+        least = state.select(F.col("node").alias("v"), F.coalesce("lo", "node").alias("m"))
+        large = own.join(least, "v").select("u", F.col("m").alias("v")).coalesce(tasks)
+        # small star: a node's parents, at most one for each forest, take the least of them as theirs
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u"))).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("edge")).select("edge.*")
+        before, own = own, cut(small.where("u <> v").coalesce(tasks).mapInArrow(_forest, "u long, v long"))
         release(before)
     else:
         raise RuntimeError("components did not settle")
-    return own.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return own.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("of")).select("of.*").distinct()

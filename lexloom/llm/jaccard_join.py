@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, release, whole_groups
-from .components import components
+from .components import components, tasks_for
 from .textkit import mix, shingle_sets
 
 LEAF, FANOUT, GROUP_BITS, FINE_BITS = 8, 8, 9, 13
@@ -310,9 +310,10 @@ def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int,
     blocks of about `most` shingles and at most about PAIR_BLOCK sets, and a cell is a pair of blocks.
     """
     blocks = family.groupBy("f").agg(F.ceil(F.greatest(F.sum("n") / most, F.count("*") / PAIR_BLOCK)).cast("long").alias("blocks"))
-    nodes = cut(family.join(blocks, "f").select("node", "f", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    tasks = tasks_for(pairs.count())
+    nodes = cut(family.join(blocks, "f").select("node", "f", F.pmod(F.xxhash64("node"), "blocks").alias("block")).coalesce(tasks))
     left, right = nodes.select(F.col("node").alias("a"), "f", F.col("block").alias("i")), nodes.select(F.col("node").alias("b"), F.col("block").alias("j"))
-    cells = cut(pairs.join(left, "a").join(right, "b").select("f", "i", "j", "a", "b"))
+    cells = cut(pairs.join(left, "a").join(right, "b").select("f", "i", "j", "a", "b").coalesce(tasks))
     release(nodes)
     wanted = cells.select("f", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
     own = ["doc_id", "text_hash"]  # rows that repeat them are the same
