@@ -33,3 +33,21 @@ def latency_factor(ms: Column, best_seconds: float = 1.0, best: float = 1.05, wo
     """Linear from `best` at best_seconds or less to `worst` at worst_seconds or more."""
     s = ms / 1000.0
     return F.when(s <= best_seconds, best).when(s >= worst_seconds, worst).otherwise(best + (s - best_seconds) / (worst_seconds - best_seconds) * (worst - best))
+
+
+def error_tags(answer_score: Column, precision: Column, recall: Column, cited: Column, factor: Column, telemetry_complete: Column, abstained: Column, has_gold: Column, valid: dict[str, Column]) -> Column:
+    """Error tags of an answer, in a fixed order. `valid` may hold `answer_schema`, `source_page_id`, `telemetry_contract` and `no_answer_form`, each true where
+    the check passed; missing or null checks count as passed. Sources are overcited only where some were cited."""
+    failed = lambda name: ~F.coalesce(valid.get(name, F.lit(True)), F.lit(True))
+    tags = {
+        "answer_mismatch": answer_score < 1,
+        "answer_schema_invalid": failed("answer_schema"),
+        "missing_primary_source": recall < 1,
+        "overcited_sources": (precision < 1) & (cited > 0),
+        "invalid_source_page_id": failed("source_page_id"),
+        "telemetry_incomplete": ~telemetry_complete | failed("telemetry_contract"),
+        "ttft_slow": factor < 1,
+        "abstain_mismatch": abstained == has_gold,
+        "no_answer_form_invalid": failed("no_answer_form"),
+    }
+    return F.array_compact(F.array(*(F.when(c, name) for name, c in tags.items())))

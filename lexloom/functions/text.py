@@ -61,3 +61,53 @@ def quality_features(text: Column) -> dict[str, Column]:
         "slash_ratio": share(F.size(F.filter(tokens, lambda x: x.startswith("/")))),
         "diversity": F.when(F.size(long_words) == 0, 0.0).otherwise(F.size(F.array_distinct(F.transform(long_words, F.lower))) / F.size(long_words)),
     }
+
+
+#: Names of operators of a page description that leaks into extracted text.
+PDF_OPERATORS = ["Type", "Catalog", "Pages", "Font", "Filter", "FlateDecode", "XObject", "Subtype", "Length", "ColorSpace", "DeviceRGB"]
+#: Signs of a legal text, each counted once; \\b is a border between a letter, digit or underscore and anything else.
+LEGAL_MARKERS = [r"\bcase[ \t\r\n]+no\b", r"\bcourt\b", r"\bjudgment\b", r"\border\b", r"\bclaimant\b", r"\bdefendant\b", r"\bart(icle\b|\.[\p{L}\p{N}_])", r"\blaw\b", r"\bregulation\b", r"\bsection\b", r"\btribunal\b", r"\benforcement\b"]
+
+
+def bordered(pattern: str) -> str:
+    """The pattern with borders that Java and RE2 read alike."""
+    head = r"(^|[^\p{L}\p{N}_])" if pattern.startswith(r"\b") else ""
+    return head + pattern.removeprefix(r"\b").replace(r"\b", r"([^\p{L}\p{N}_]|$)")
+
+
+def noise_features(text: Column) -> dict[str, Column]:
+    """Shares, counts and a flag that tell extraction noise from prose, and the number of legal markers; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    tokens = F.size(F.filter(F.split(t, r"[ \t\r\n]+"), lambda x: x != ""))
+    single = F.size(F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[A-Za-z]$")))
+    control = F.length(t) - F.length(F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    return {
+        "single_letter_ratio": F.when(tokens == 0, 0.0).otherwise(single / tokens),
+        "pdf_operator_hits": F.size(F.regexp_extract_all(t, F.lit("/(" + "|".join(PDF_OPERATORS) + r")([^\p{L}\p{N}_]|$)"), 1)).cast("long"),
+        "legal_hits": sum((F.lower(t).rlike(bordered(p)).cast("long") for p in LEGAL_MARKERS), F.lit(0).cast("long")),
+        "non_printable_ratio": control / F.greatest(F.length(t), F.lit(1)),
+        "repeated_chars": t.rlike(r"([^\n])\1{10}"),
+    }
+
+
+def quality_score(text: Column) -> tuple[Column, Column]:
+    """Score of a text from 0 to 1 and whether it counts as low in quality: prose, varied words, legal markers and length against noise.
+
+    Under 20 tokens, or null, the score is 0. Low are texts under 80 characters, 40 tokens or 25 words, those with a character eleven times in
+    a row, leaked page descriptions, and scores under 0.58.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    f = quality_features(t) | noise_features(t)
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    gains = [
+        (0.30, f["alpha_ratio"]),
+        (0.20, unit((f["diversity"] - 0.08) / 0.25)),
+        (0.25, unit(f["legal_hits"] / 4.0)),
+        (0.15, unit(f["token_count"] / 900.0)),
+        (0.10, unit(1.0 - f["single_letter_ratio"] / 0.35)),
+    ]
+    noise = F.least(F.lit(0.85), f["slash_ratio"] * 1.8 + f["non_printable_ratio"] * 8.0 + f["pdf_operator_hits"] / 40.0 + F.when(f["repeated_chars"], 0.2).otherwise(0.0))
+    score = F.when(f["token_count"] < 20, 0.0).otherwise(unit(sum((c * w for w, c in gains), F.lit(0.0)) - noise))
+    short = (F.length(t) < 80) | (f["token_count"] < 40) | (f["word_count"] < 25)
+    leaked = ((f["pdf_operator_hits"] >= 8) & (f["legal_hits"] < 1)) | ((f["alpha_ratio"] < 0.22) & (f["slash_ratio"] > 0.08))
+    return score, short | f["repeated_chars"] | leaked | (score < 0.58)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import scores, triage
 from ..operators import evaluation as ev
 from .registry import query, table
 
@@ -172,3 +172,54 @@ def distribution_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS baseline, max(o_orderdate) AS latest FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("baseline"), F.max("o_orderdate").alias("latest"))
+
+
+@query(f"""WITH {_PAGES}, {_METRICS}, checked AS (SELECT m.*, recall, n AS cited, m AS expected, question_id % 11 <> 0 AS schema_ok, question_id % 13 <> 0 AS form_ok FROM scored m JOIN (SELECT question_id, n, m, recall FROM overlap) USING (question_id))
+  SELECT question_id, concat_ws(',', CASE WHEN answer_score < 1 THEN 'answer_mismatch' END, CASE WHEN NOT schema_ok THEN 'answer_schema_invalid' END, CASE WHEN recall < 1 THEN 'missing_primary_source' END,
+    CASE WHEN answer_score < 1 AND cited > 0 THEN 'overcited_sources' END, CASE WHEN telemetry = 0 THEN 'telemetry_incomplete' END, CASE WHEN {_FACTOR.format(v="ms")} < 1 THEN 'ttft_slow' END,
+    CASE WHEN (cited = 0) <> (expected = 0) THEN 'abstain_mismatch' END, CASE WHEN NOT form_ok THEN 'no_answer_form_invalid' END) AS tags FROM checked""")
+def question_error_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error tags of every question: pages cited against pages expected, latency, abstaining, and checks of forms."""
+    o = scores.overlap(F.col("used"), F.col("gold"))
+    rows = pages_of(spark, sf_dir).join(table(spark, sf_dir, "orders"), F.col("question_id") == F.col("o_orderkey"))
+    key, cited = F.col("question_id"), F.size("used")
+    checks = {"answer_schema": key % 11 != 0, "no_answer_form": key % 13 != 0}
+    tags = scores.error_tags(o["precision"], o["precision"], o["recall"], cited, scores.latency_factor(F.col("o_totalprice") / 100), key % 7 != 0, cited == 0, F.size("gold") > 0, checks)
+    return rows.select("question_id", F.concat_ws(",", tags).alias("tags"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A') AS pages FROM lineitem GROUP BY 1),
+  r AS (SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE o_orderpriority END AS route, o_orderpriority <> '5-LOW' AS fits, o_orderkey % 19 <> 0 AS success, o_orderkey % 29 = 0 AS unnamed,
+    coalesce(pages, 0) AS pages, o_orderstatus = 'F' AS abstained, o_totalprice < 20000 AS negative, o_orderdate < TIMESTAMP '1995-01-01' AS old, o_totalprice > 250000 AS crossing, o_custkey % 3 = 0 AS of_case, o_orderkey % 2 = 0 AS typed
+    FROM orders LEFT JOIN p ON l_orderkey = o_orderkey),
+  b AS (SELECT question_id, negative, crossing, typed, [CASE WHEN NOT negative AND abstained THEN 70 END, CASE WHEN of_case AND (abstained OR pages = 0) THEN 55 END, CASE WHEN crossing AND (abstained OR pages < 2) THEN 65 END,
+      CASE WHEN NOT success OR unnamed THEN 100 END, CASE WHEN old AND (abstained OR pages = 0) THEN 60 END, CASE WHEN NOT negative AND pages = 0 THEN 80 END, CASE WHEN route = 'unknown' OR NOT fits THEN 90 END,
+      CASE WHEN negative AND abstained AND pages > 0 THEN 85 END] AS w FROM r),
+  s AS (SELECT *, coalesce(list_sum(w), 0)::INT AS base FROM b),
+  t AS (SELECT *, base + CASE WHEN crossing THEN 5 ELSE 0 END + CASE WHEN typed AND base > 0 THEN 5 ELSE 0 END AS severity FROM s)
+  SELECT question_id, array_to_string(list_filter([CASE w WHEN 70 THEN 'answerable_vs_abstain_conflict' WHEN 55 THEN 'case_identity_conflict' WHEN 65 THEN 'compare_dimension_conflict' WHEN 100 THEN 'contract_or_telemetry_error'
+      WHEN 60 THEN 'history_or_version_conflict' WHEN 80 THEN 'retrieval_error' WHEN 90 THEN 'route_error' WHEN 85 THEN 'wrong_sources' END FOR w IN t.w], lambda x: x IS NOT NULL), ',') AS buckets,
+    severity::INT AS severity, CASE WHEN severity >= 140 THEN 'critical' WHEN severity >= 100 THEN 'high' WHEN severity >= 70 THEN 'medium' ELSE 'low' END AS label,
+    CASE WHEN negative AND severity = 0 THEN 'expected_negative' WHEN severity >= 100 THEN 'review_high' WHEN severity > 0 THEN 'review' ELSE 'monitor' END AS status FROM t""")
+def triage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure buckets and severity of every order as an answered question; its returned line items are the pages retrieved."""
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("pages"))
+    rows = table(spark, sf_dir, "orders").join(pages, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    key, crossing = F.col("o_orderkey"), F.col("o_totalprice") > 250000
+    buckets = triage.failure_buckets(
+        route=F.when(key % 13 == 0, "unknown").otherwise(F.col("o_orderpriority")),
+        route_fits=F.col("o_orderpriority") != "5-LOW",
+        success=key % 19 != 0,
+        contract_valid=F.lit(None).cast("boolean"),
+        model=F.when(key % 29 != 0, "named"),
+        pages=F.col("pages"),
+        abstained=F.col("o_orderstatus") == "F",
+        negative=F.col("o_totalprice") < 20000,
+        historical=F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"),
+        cross_document=crossing,
+        of_case=F.col("o_custkey") % 3 == 0,
+    )
+    negative = F.col("o_totalprice") < 20000
+    named = rows.select(key.alias("question_id"), buckets.alias("found"), crossing.alias("crossing"), (key % 2 == 0).alias("typed"), negative.alias("negative"))
+    scored = named.withColumn("severity", triage.severity(F.col("found"), F.col("crossing"), F.col("typed")))
+    return scored.select("question_id", F.array_join("found", ",").alias("buckets"), "severity", triage.severity_label(F.col("severity")).alias("label"), triage.status(F.col("severity"), F.col("negative")).alias("status"))

@@ -86,3 +86,32 @@ def date_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     day = lambda c: F.date_format(text.iso_date(c), "yyyy-MM-dd")
     return rows.select("o_orderkey", day(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).alias("iso"), day(F.date_format("o_orderdate", "d/M/yyyy")).alias("slash"))
+
+
+_W = r"[\p{L}\p{N}_]"
+_N = r"[^\p{L}\p{N}_]"
+_MARKERS = " + ".join(
+    f"regexp_matches(low, '(^|{_N}){word}')::BIGINT"
+    for word in [rf"case[ \t\r\n]+no({_N}|$)", rf"art(icle({_N}|$)|\.{_W})", *(f"{w}({_N}|$)" for w in "court judgment order claimant defendant law regulation section tribunal enforcement".split())]
+)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents),
+  k AS (SELECT doc_id, t, lower(t) AS low, list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda x: x <> '') AS tokens, regexp_extract_all(t, '[A-Za-z][A-Za-z''-]+') AS words,
+    len(list_filter(string_split_regex(t, '{_N}+'), lambda x: regexp_full_match(x, '[A-Za-z]'))) AS singles FROM t),
+  f AS (SELECT doc_id, t, len(tokens) AS n, len(words) AS w, greatest(len(tokens), 1) AS d, len(list_filter(tokens, lambda x: starts_with(x, '/'))) AS slashes, singles,
+    list_transform(list_filter(words, lambda x: length(x) >= 3), lambda x: lower(x)) AS long,
+    len(regexp_extract_all(t, '/(Type|Catalog|Pages|Font|Filter|FlateDecode|XObject|Subtype|Length|ColorSpace|DeviceRGB)({_N}|$)')) AS pdf, {_MARKERS} AS legal,
+    (length(t) - length(regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'))) / greatest(length(t), 1) AS control,
+    len(list_filter(list_distinct(string_split(t, '')), lambda c: c <> '' AND c <> chr(10) AND contains(t, repeat(c, 11)))) > 0 AS repeated FROM k),
+  g AS (SELECT *, w / d AS alpha, slashes / d AS slash, CASE WHEN len(long) = 0 THEN 0 ELSE len(list_distinct(long)) / len(long) END AS diversity FROM f),
+  s AS (SELECT *, CASE WHEN n < 20 THEN 0 ELSE greatest(0, least(1, 0.30 * alpha + 0.20 * least(1, greatest(0, (diversity - 0.08) / 0.25)) + 0.25 * least(1, legal / 4) + 0.15 * least(1, n / 900)
+      + 0.10 * greatest(0, least(1, 1 - singles / d / 0.35)) - least(0.85, 1.8 * slash + 8 * control + pdf / 40 + CASE WHEN repeated THEN 0.2 ELSE 0 END))) END AS score FROM g)
+  SELECT doc_id, legal AS legal_hits, pdf AS pdf_operator_hits, singles / d AS single_letter_ratio, repeated AS repeated_chars, round(score, 9) AS score,
+    length(t) < 80 OR n < 40 OR w < 25 OR repeated OR (pdf >= 8 AND legal < 1) OR (alpha < 0.22 AND slash > 0.08) OR score < 0.58 AS low_quality FROM s""")
+def text_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, with its noise features."""
+    noise = text.noise_features(F.col("text"))
+    score, low = text.quality_score(F.col("text"))
+    kept = ["legal_hits", "pdf_operator_hits", "single_letter_ratio", "repeated_chars"]
+    return table(spark, sf_dir, "documents").select("doc_id", *(noise[k].alias(k) for k in kept), F.round(score, 9).alias("score"), low.alias("low_quality"))

@@ -76,3 +76,36 @@ def test_fingerprints_don_t_depend_on_the_order(spark):
 def test_notices_of_each_target(spark):
     rows = spark.createDataFrame([(1, 5, "2020"), (1, 6, None), (2, 7, "2019"), (1, 8, "2020"), (1, 4, "2019")], "t int, k int, d string")
     assert [(r.t, r.k) for r in rules.notices(rows, "t", "d", "k").orderBy("t", "place").collect()] == [(1, 6), (1, 4), (1, 5), (1, 8), (2, 7)]
+
+
+def test_quality_score_of_empty_noisy_and_legal_texts(spark):
+    from lexloom.functions import text
+
+    words = " ".join(f"The court{chr(97 + i % 26)}{chr(97 + i // 26)} heard matter" for i in range(60))
+    legal = "In case no 5 the court gave judgment under article 7 of the law. " + words
+    rows = [(1, None), (2, ""), (3, "short text"), (4, legal), (5, legal + " " + "=" * 11), (6, "/Type /Font /Length " * 30), (7, "word " * 30)]
+    score, low = text.quality_score(F.col("t"))
+    got = {r["i"]: r for r in spark.createDataFrame(rows, "i int, t string").select("i", score.alias("score"), low.alias("low"), *(c.alias(n) for n, c in text.noise_features(F.col("t")).items())).collect()}
+    assert [got[i]["score"] for i in (1, 2, 3)] == [0, 0, 0] and all(got[i]["low"] for i in (1, 2, 3, 5, 6, 7))
+    assert got[4]["score"] > 0.58 and not got[4]["low"] and got[4]["legal_hits"] == 5
+    assert got[5]["repeated_chars"] and got[6]["pdf_operator_hits"] == 90 and got[6]["score"] == 0
+
+
+def test_triage_of_a_sound_and_a_failed_question(spark):
+    from lexloom.functions import triage
+
+    schema = "route string, fits boolean, success boolean, valid boolean, model string, pages int, abstained boolean, negative boolean, old boolean, crossing boolean, of_case boolean, typed boolean"
+    rows = [
+        ("law", None, True, None, "m", 2, False, False, True, True, True, True),
+        (None, None, False, False, None, None, True, False, True, True, True, True),
+        ("law", True, True, True, "m", 0, True, True, False, False, False, False),
+        ("law", True, True, True, "m", 1, True, True, False, False, False, False),
+    ]
+    c = [F.col(x.split()[0]) for x in schema.split(", ")]
+    found = triage.failure_buckets(*c[:11])
+    score = triage.severity(found, F.col("crossing"), F.col("typed"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, schema).select(found, score, triage.severity_label(score), triage.status(score, F.col("negative"))).collect()]
+    assert got[0] == ([], 5, "low", "review")
+    assert got[1] == (sorted(set(triage.BUCKET_WEIGHTS) - {"wrong_sources"}), 100 + 90 + 80 + 70 + 65 + 60 + 55 + 10, "critical", "review_high")
+    assert got[2] == ([], 0, "low", "expected_negative")
+    assert got[3] == (["wrong_sources"], 85, "medium", "review")
