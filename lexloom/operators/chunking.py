@@ -19,10 +19,13 @@ def linked(chunks: DataFrame, key: str, heading: Column) -> DataFrame:
 
 
 def sized(docs: DataFrame, key: str, text: str, most: int = 900, least: int = 200) -> DataFrame:
-    """(key, ordinal, chunk): pieces of at most `most` characters, cut at the last space that leaves `least`, else hard.
+    """(key, ordinal from 0, chunk): paragraphs with white space collapsed, those over `most` characters cut at the last space before `most` that leaves `least`, else hard.
 
-    One regular expression does it: a piece is as long as it can be and ends before a space or at the limit.
+    Paragraphs end at empty lines; no chunk runs across two, and all chunks of a text are kept. One regular expression cuts a paragraph: what is
+    left goes whole if it fits, else up to a space, else at the limit. Null and blank texts give no rows.
     """
-    flat = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
-    pieces = F.regexp_extract_all(flat, F.lit(rf"((?:.{{{least},{most}}}(?= |$))|(?:.{{1,{most}}}))"), 1)
-    return docs.select(key, F.posexplode(F.transform(pieces, lambda p: F.trim(p))).alias("ordinal", "chunk")).where(F.col("chunk") != "")
+    paragraphs = F.split(F.coalesce(F.col(text), F.lit("")), "\n{2,}")
+    flat = F.transform(paragraphs, lambda p: F.trim(F.regexp_replace(p, r"[ \t\r\n\f]+", " ")))
+    piece = rf" ?(.{{1,{most}}}$|.{{{least},{most - 1}}}(?= )|.{{{most}}})"
+    pieces = F.flatten(F.transform(flat, lambda p: F.regexp_extract_all(p, F.lit(piece), 1)))
+    return docs.select(key, F.posexplode(pieces).alias("ordinal", "chunk")).where(F.col("chunk") != "")

@@ -57,7 +57,14 @@ def structural_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"), F.max("longest").alias("longest"))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\n{2,}') AS parts FROM documents)),
+  c(doc_id, place, step, chunk, rest) AS (
+    SELECT doc_id, place, 0, '', trim(regexp_replace(part, '[ \t\r\n\f]+', ' ', 'g')) FROM p
+    UNION ALL
+    SELECT doc_id, place, step + 1, trim(left(rest, k)), trim(substr(rest, k + 1)) FROM (
+      SELECT *, CASE WHEN length(rest) > 900 AND back > 0 AND 900 - back >= 200 THEN 900 - back ELSE 900 END AS k FROM (
+        SELECT *, strpos(reverse(left(rest, 900)), ' ') AS back FROM c WHERE rest <> '')))
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, step) - 1)::INT AS ordinal, chunk FROM c WHERE chunk <> ''""")
 def sized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sized(table(spark, sf_dir, "documents"), "doc_id", "text")
 

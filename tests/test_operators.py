@@ -75,6 +75,16 @@ def test_sized_chunks_cover_the_text(spark):
     assert not [r for r in out if r.id in (2, 3)] and [r.chunk for r in out if r.id == 5] == ["a b"]
 
 
+def test_sized_chunks_end_at_empty_lines_and_before_the_limit(spark):
+    at_limit, beyond = "a" * 899 + " " + "b" * 300, "a" * 900 + " " + "b" * 300
+    early = "a" * 150 + " " + "b" * 1000
+    rows = spark.createDataFrame([(1, "one  line\nof two\n\n \n\nnext"), (2, at_limit), (3, beyond), (4, early), (5, "\n\n\n")], "id long, t string")
+    got = {}
+    for r in chunking.sized(rows, "id", "t").orderBy("id", "ordinal").collect():
+        got.setdefault(r.id, []).append(r.chunk)
+    assert got == {1: ["one line of two", "next"], 2: ["a" * 899, "b" * 300], 3: ["a" * 900, "b" * 300], 4: [early[:900], early[900:]]}
+
+
 def test_stratified_sample_is_round_robin(spark):
     rows = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(7)], "id long, s string")
     assert [r.id for r in review.stratified_sample(rows, F.col("s"), "id", 5).collect()] == [0, 5, 1, 6, 2]
