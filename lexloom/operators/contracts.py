@@ -71,7 +71,11 @@ def no_answer_issues(null_answer: Column, text: Column, answer_type: Column, abs
 
 def merged(**parts: Column) -> Column:
     """One array with each part's name before its issues."""
-    return F.flatten(F.array(*(F.transform(issues, lambda x, name=name: F.concat(F.lit(f"{name}:"), x)) for name, issues in parts.items())))
+
+    def named(name: str, issues: Column) -> Column:
+        return F.transform(issues, lambda x: F.concat(F.lit(f"{name}:"), x))
+
+    return F.flatten(F.array(*(named(name, issues) for name, issues in parts.items())))
 
 
 def preflight(rows: DataFrame, issues: str) -> DataFrame:

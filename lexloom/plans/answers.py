@@ -123,3 +123,59 @@ def source_page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.struct((F.col("event_id") % 11 != 0).alias("telemetry_complete"), *(F.lit("x").alias(c) for c in ("trace_id", "model_name", "route_name", "search_profile")), F.lit(1.0).alias("ttft_ms"), F.col("value").alias("total_response_ms"))
     return contracts.preflight(table(spark, sf_dir, "events").select(contracts.telemetry_issues(t).alias("issues")), "issues")
+
+
+_ASKED = """asked AS (SELECT o_orderkey AS question_id, *, CASE WHEN o_orderpriority = '1-URGENT' THEN 'free_text' ELSE 'number' END AS answer_type FROM orders LEFT JOIN (
+    SELECT l_orderkey, count(*) AS pages, count(*) FILTER (WHERE l_returnflag = 'R') AS exact, count(*) FILTER (WHERE l_linestatus = 'O') AS agreeing, bool_or(l_returnflag = 'A') AS used FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as questions, with their line items as sources."""
+    kind = lambda c, v: F.count_if(F.col(c) == v)
+    source = F.struct((F.col("l_returnflag") == "A").alias("used"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("pages"),
+        kind("l_returnflag", "R").alias("exact"),
+        kind("l_linestatus", "O").alias("agreeing"),
+        F.collect_set(source).alias("sources"),  # two values at most
+    )
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return rows.withColumns({"question_id": F.col("o_orderkey"), "answer_type": F.when(F.col("o_orderpriority") == "1-URGENT", "free_text").otherwise("number")})
+
+
+@query(f"""WITH {_ASKED}, n AS (SELECT question_id, (o_totalprice - 100000) / 400000 AS top, (o_custkey % 10) / 100 AS gap, coalesce(pages, 0) AS pages, coalesce(exact, 0) AS exact, coalesce(agreeing, 0) AS agreeing,
+    o_orderstatus = 'F' AS abstained, answer_type FROM asked)
+  SELECT question_id, CASE WHEN abstained AND top <= 0 THEN 'no_corpus_support' WHEN abstained AND agreeing <= 0 THEN 'insufficient_uniqueness' WHEN abstained THEN 'conflicting_evidence'
+    WHEN answer_type = 'free_text' AND top < 0.35 AND gap < 0.05 AND pages >= 3 AND exact = 0 THEN 'low_retrieval_quality' END AS reason FROM n""")
+def abstain_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each question stays unanswered; null where it is answered."""
+    count = lambda c: F.coalesce(c, F.lit(0))
+    top, gap = (F.col("o_totalprice") - 100000) / 400000, (F.col("o_custkey") % 10) / 100
+    reason = answers.abstain_reason(F.col("o_orderstatus") == "F", F.col("answer_type"), top, gap, count("pages"), count("exact"), count("agreeing"))
+    return asked(spark, sf_dir).select("question_id", reason.alias("reason"))
+
+
+@query(f"""WITH {_ASKED}, a AS (SELECT question_id, answer_type, coalesce(used, FALSE) AS used, o_orderkey % 3 = 0 AS no_answer, o_orderkey % 5 = 0 AS blank, o_custkey % 2 = 1 AS sure FROM asked WHERE o_orderstatus <> 'O')
+  SELECT question_id, concat_ws(',', CASE WHEN used THEN 'no_answer:abstained_response_must_not_have_used_sources' END, CASE WHEN sure THEN 'no_answer:abstained_response_confidence_must_be_zero' END,
+    CASE WHEN answer_type = 'free_text' AND NOT no_answer AND blank THEN 'no_answer:free_text_abstain_answer_must_be_non_empty_text_or_null' END,
+    CASE WHEN answer_type <> 'free_text' AND NOT no_answer THEN 'no_answer:abstained_non_free_text_answer_must_be_null' END) AS issues FROM a
+  UNION ALL SELECT question_id, '' FROM asked WHERE o_orderstatus = 'O'""")
+def no_answer_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the form of every answer that abstains."""
+    key = F.col("question_id")
+    text, confidence = F.when(key % 5 == 0, " ").otherwise(F.col("o_orderpriority")), F.when(F.col("o_custkey") % 2 == 1, 0.4).otherwise(0.0)
+    issues = contracts.no_answer_issues(key % 3 == 0, text, F.col("answer_type"), F.col("o_orderstatus") != "O", confidence, F.col("sources"))
+    return asked(spark, sf_dir).select("question_id", F.array_join(contracts.merged(no_answer=issues), ",").alias("issues"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'law' WHEN 1 THEN 'regulation' WHEN 2 THEN 'case' ELSE 'other' END AS doc_type, o_orderpriority, o_custkey FROM orders),
+  g AS (SELECT *, CASE WHEN doc_type IN ('law', 'regulation') AND o_custkey % 7 > 0 THEN doc_type || ':' || regexp_replace(regexp_replace(lower(trim(o_orderpriority)), '[^a-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')
+    WHEN doc_type = 'case' THEN 'case:case_' || o_custkey ELSE 'doc' || o_orderkey END AS version_group FROM d)
+  SELECT version_group, count(*) AS versions, min(o_orderkey) AS first_document, max(o_orderkey) AS last_document FROM g GROUP BY 1""")
+def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are versions of one law, regulation or case."""
+    key = F.col("o_orderkey")
+    kind = F.when(key % 4 == 0, "law").when(key % 4 == 1, "regulation").when(key % 4 == 2, "case").otherwise("other")
+    number = F.when(F.col("o_custkey") % 7 > 0, F.col("o_orderpriority"))
+    group = references.version_group(kind, number, F.concat(F.lit(" Case "), F.col("o_custkey")), F.concat(F.lit("doc"), key))
+    return table(spark, sf_dir, "orders").select(group.alias("version_group"), "o_orderkey").groupBy("version_group").agg(F.count("*").alias("versions"), F.min("o_orderkey").alias("first_document"), F.max("o_orderkey").alias("last_document"))
