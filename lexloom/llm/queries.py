@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lattice_dedup, line_dedup, mpegts, packing, pii, rule_ensemble, sentencepiece_codec, token_counts, toxicity
+from . import jaccard_join, lattice_dedup, line_dedup, mpegts, packing, pii, rule_ensemble, sentencepiece_codec, token_counts, toxicity, windowed_search
 from .common import rest_bucket, table
 from .tokens import vocabulary_path
 
@@ -57,6 +57,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_windowed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_search.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_pii_crf": op8_pii_crf,
     "op9_media_columns": op9_media_columns,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_windowed_search": op11_windowed_search,
 }
 
 SQL: dict[str, str] = {
@@ -105,4 +110,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, sum(n_gone)::BIGINT AS n_removed, coalesce(string_agg(spans, ',' ORDER BY pos), '') AS removed, coalesce(string_agg(kept, chr(10) ORDER BY pos), '') AS text_deduped
         FROM per_line GROUP BY doc_id
     """,
+    "op11_windowed_search": r"""
+        WITH words AS (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM documents
+        ), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+        ), size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL
+        ), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM size
+        ), norm AS (SELECT doc_id, 100 - 50 + (50 * n * n_docs) // n_terms AS m FROM size, total
+        ), weight AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term
+        ), asked AS (
+          SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM benchmark
+        ), scored AS (
+          SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+          FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN norm USING (doc_id) GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
 }
