@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, jaccard_join, lattice_dedup, line_dedup, mpegts, packing, pii, rule_ensemble, sentencepiece_codec, token_counts, toxicity, windowed_search
+from . import alignment, html_blocks, jaccard_join, lattice_dedup, line_dedup, mpegts, packing, pii, rule_ensemble, sentencepiece_codec, token_counts, toxicity, windowed_search
 from .common import rest_bucket, table
 from .tokens import vocabulary_path
 
@@ -61,6 +61,10 @@ def op11_windowed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_search.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+def op12_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"), html_blocks.train(html_blocks.labelled(spark)))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_windowed_search": op11_windowed_search,
+    "op12_html_blocks": op12_html_blocks,
     "op13_token_alignment": op13_token_alignment,
 }
 
