@@ -94,10 +94,12 @@ class Heaps:
 
     def window(self, ids: list[int | None], sizes: np.ndarray, held: np.ndarray, impact: np.ndarray) -> None:
         """One window of at most WINDOW documents: document d holds sizes[d] terms, listed in `held` with their impacts."""
+        if not len(held):
+            return
         slot = np.repeat(np.arange(len(ids)), sizes)
         order = np.argsort(held, kind="stable")
         held, slot, impact = held[order], slot[order], impact[order]
-        starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, dtype=np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
         ends = np.append(starts[1:], len(held))
         postings = {int(held[a]): (slot[a:b], impact[a:b], np.unique(slot[a:b] >> 6)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
         for item, (numbers, weights) in self.items.items():
