@@ -34,8 +34,9 @@ from .sentencepiece_codec import BYTE, MARK, codec
 from .wordcache import ChunkCache
 
 #: White space, with signs that some tables count as such: a chunk ends only where something else meets a space or a line break.
-_SPACE = r"[\s᠎​﻿]"
-_CHUNK = re.compile(rf"{_SPACE}*+[^\s᠎​﻿]++(?:(?![ \n]){_SPACE}{_SPACE}*+[^\s᠎​﻿]*+)*+|{_SPACE}++")
+_SPACE = r"[\s\u180e\u200b\ufeff]"
+_CHUNK = re.compile(rf"{_SPACE}*+[^\s\u180e\u200b\ufeff]++(?:(?![ \n]){_SPACE}{_SPACE}*+[^\s\u180e\u200b\ufeff]*+)*+|{_SPACE}++")
+_ENDS = re.compile(r".*[^\s\u180e\u200b\ufeff]", re.S).fullmatch
 
 #: Labels of a byte: no token ends, one of A, one of B, both.
 NONE, A_END, B_END, BOTH = b".", b"a", b"b", b"|"
@@ -82,13 +83,12 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         marked = [x.replace(" ", MARK) for x in texts]
-        parts = [[x] if self.whole else self.codec.split(x) for x in marked]
-        found = iter(self.codec.engine.encode_batch_fast([p for own in parts for p in own], add_special_tokens=False))
-        return [[i for _ in own for i in next(found).ids] for own in parts]
+        return [e.ids for e in self.codec.engine.encode_batch_fast(marked, add_special_tokens=False)]
 
 
 class Aligner:
-    def __init__(self, path_a: str, path_b: str, most: int = 120_000):
+    def __init__(self, path_a: str, path_b: str, most: int = 200_000, together: int = 64):
+        self.together = together
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.size_a, self.size_b = (np.array([len(x) for x in own.bytes], dtype=np.int64) for own in (self.a, self.b))
         self.cache = ChunkCache(self._fill, most)
@@ -106,24 +106,42 @@ class Aligner:
         return out
 
     def align(self, texts: list[str]) -> list[tuple | None]:
-        """For each chunk its groups as text, its links as 64-bit pairs, and its tokens of A, of B and groups; None if bytes are lost."""
+        """For each chunk its groups as text, its links as 64-bit pairs, and its tokens of A, of B and groups; None if bytes are lost.
+
+        Chunks that open with white space and end without meet like those of a text, so `together` of them are encoded at once; the others, and
+        those of a lot whose bytes don't come back, one by one.
+        """
         out: list[tuple | None] = [None] * len(texts)
-        ids_a, ids_b = self.a.encode(texts), self.b.encode(texts)
-        raw = [x.encode() for x in texts]
-        kept = [k for k, x in enumerate(raw) if b"".join(map(self.a.bytes.__getitem__, ids_a[k])) == x == b"".join(map(self.b.bytes.__getitem__, ids_b[k]))]
-        if not kept:
-            return out
-        flat_a = np.fromiter(chain.from_iterable(ids_a[k] for k in kept), dtype=np.int64)
-        flat_b = np.fromiter(chain.from_iterable(ids_b[k] for k in kept), dtype=np.int64)
+        open_ends = [k for k, x in enumerate(texts) if x[0] in " \n" and _ENDS(x)] if not self.b.whole else []
+        lots = [open_ends[i : i + self.together] for i in range(0, len(open_ends), self.together)]
+        alone = [[k] for k in sorted(set(range(len(texts))) - set(open_ends))]
+        for some in (lots, alone):
+            joined = ["".join(map(texts.__getitem__, lot)) for lot in some]
+            ids_a, ids_b = self.a.encode(joined), self.b.encode(joined)
+            sound, lost = [], []
+            for lot, text, x, y in zip(some, joined, ids_a, ids_b, strict=True):
+                raw = text.encode()
+                same = b"".join(map(self.a.bytes.__getitem__, x)) == raw == b"".join(map(self.b.bytes.__getitem__, y))
+                (sound if same else lost).append((lot, x, y))
+            if some is lots:
+                alone += [[k] for lot, _, _ in lost for k in lot]
+            if sound:
+                own = [k for lot, _, _ in sound for k in lot]
+                found = self.label(*(np.fromiter(chain.from_iterable(x[side] for x in sound), dtype=np.int64) for side in (1, 2)), np.array([len(texts[k].encode()) for k in own]))
+                for k, x in zip(own, found, strict=True):
+                    out[k] = x
+        return out
+
+    def label(self, flat_a: np.ndarray, flat_b: np.ndarray, sizes: np.ndarray) -> list[tuple]:
+        """Groups and links of chunks of so many bytes from the ids of A and of B over all of them."""
         end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         kind = np.zeros(int(end_a[-1]), dtype=np.uint8)
         kind[end_a - 1] |= 1
         kind[end_b - 1] |= 2
-        labels = LABELS[kind].tobytes()
         text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
         groups, i, j = [], 0, 0
         # bytes where nothing ends count for no group
-        for span in _SPAN.findall(labels.translate(None, NONE)):
+        for span in _SPAN.findall(LABELS[kind].tobytes().translate(None, NONE)):
             if span == BOTH:
                 groups.append(f"{text_a[i]}|{text_b[j]}")
                 i, j = i + 1, j + 1
@@ -131,16 +149,16 @@ class Aligner:
                 n_a, n_b = span.count(A_END) + 1, span.count(B_END) + 1
                 groups.append(",".join(text_a[i : i + n_a]) + "|" + ",".join(text_b[j : j + n_b]))
                 i, j = i + n_a, j + n_b
+        stops = np.cumsum(sizes)
+        if not (kind[stops - 1] == 3).all():
+            raise AssertionError("a token crosses two chunks")
         at = np.flatnonzero(kind)
-        before_a, before_b = np.cumsum(kind & 1) - (kind & 1), np.cumsum(kind >> 1) - (kind >> 1)
-        pairs = (flat_a[before_a[at]] << 32) | flat_b[before_b[at]]
-        stops = np.cumsum([len(raw[k]) for k in kept])
-        links, spans = np.searchsorted(at, stops), np.cumsum(kind == 3)[stops - 1].tolist()
-        first_link = first_span = 0
-        for k, link, span in zip(kept, links.tolist(), spans, strict=True):
-            out[k] = (";".join(groups[first_span:span]), pairs[first_link:link].tobytes(), len(ids_a[k]), len(ids_b[k]), span - first_span)
-            first_link, first_span = link, span
-        return out
+        upto_a, upto_b = np.cumsum(kind & 1, dtype=np.int64), np.cumsum(kind >> 1, dtype=np.int64)
+        pairs = ((flat_a[(upto_a - (kind & 1))[at]] << 32) | flat_b[(upto_b - (kind >> 1))[at]]).tobytes()
+        links, spans = np.searchsorted(at, stops) * 8, np.cumsum(kind == 3)[stops - 1]
+        n_a, n_b, n = (np.diff(x, prepend=0).tolist() for x in (upto_a[stops - 1], upto_b[stops - 1], spans))
+        links, spans = [0, *links.tolist()], [0, *spans.tolist()]
+        return [(";".join(groups[spans[k] : spans[k + 1]]), pairs[links[k] : links[k + 1]], n_a[k], n_b[k], n[k]) for k in range(len(sizes))]
 
     def document(self, text: str, known: dict, parts: list[str]) -> tuple[int, int, int, str, np.ndarray]:
         """Tokens of A, of B, groups, digest and links of a text."""
