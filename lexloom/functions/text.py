@@ -17,6 +17,15 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
 
 
+#: White space of Unicode and the four separators of ASCII, as a class that Java and RE2 read alike.
+SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+
+
+def collapsed(text: Column) -> Column:
+    """The text with each run of white space as one space, and none at its ends; null is empty."""
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES + "+", " "))
+
+
 def slug(*parts: Column) -> Column:
     """Lower-case ASCII words joined by underscores; empty parts fall away."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
