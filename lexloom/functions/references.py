@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import iso_date
+from .text import collapsed, iso_date
 
 # --- fixed values: the patterns of each kind of reference, English and Russian ------------------------------------------------------
 DATE = r"(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|(?:19|20)[0-9]{2})"
@@ -29,6 +29,9 @@ TIES = ("other", "case", "regulation", "law", "enactment_notice")
 START = r"(?iU)(?:effective\s+from|effective\s+on|in\s+force\s+from|commenc\w*\s+on|commencement\s+date|вступает\s+в\s+силу\s+с|действует\s+с)\s*[:\-]?\s*"
 END = r"(?iU)(?:effective\s+until|in\s+force\s+until|valid\s+until|until|till|through|expires?\s+on|expires?|ceases?\s+to\s+have\s+effect\s+on|repealed\s+on|утрачивает\s+силу\s+с|действует\s+до|по)\s*[:\-]?\s*"
 ENDED = r"(?i)\b(repealed|expired|superseded|cease)\b"
+NUMBERED = r"(?i)\b(?:law|act|code) no\.? ?[A-Za-z0-9./-]{1,24}\b"
+ANCHOR_STOPWORDS, ANCHOR_WORDS = ("law", "laws", "act", "acts", "code", "codes", "difc", "of", "the", "and", "on", "in"), 8
+STRONG_CASE = r"^(?:CA|CFI|DEC|ARB|ENF)(?: \d{1,4}/|-\d{1,4}-)(?:19|20)\d{2}(?:/\d+)?$"
 
 
 def ordered_distinct(values: Column, most: int) -> Column:
@@ -69,7 +72,25 @@ def effective_dates(text: Column) -> dict[str, Column]:
     return {"effective_start": F.coalesce(cue(START), F.get(found, F.lit(0))), "effective_end": F.coalesce(cue(END), F.when(t.rlike(ENDED), F.array_max(found)))}
 
 
-def version_group(doc_type: Column, law_number: Column, case_id: Column, own_id: Column) -> Column:
-    """type:number of a law or regulation, case:id of a case, else the document itself."""
+def family_anchor(summary: Column) -> Column:
+    """The last words of a law's title, before its number, joined by underscores; null without a number or without such words."""
+    source = collapsed(F.regexp_replace(F.coalesce(summary, F.lit("")), "_", " "))
+    title = F.when(source.rlike(NUMBERED), F.get(F.split(source, NUMBERED, 2), F.lit(0)))
+    words = F.filter(F.transform(F.regexp_extract_all(title, F.lit("([A-Za-z]{2,})"), 1), F.lower), lambda w: ~w.isin(*ANCHOR_STOPWORDS))
+    last = F.slice(words, F.greatest(F.size(words) - (ANCHOR_WORDS - 1), F.lit(1)), ANCHOR_WORDS)
+    return F.nullif(F.array_join(last, "_"), F.lit(""))
+
+
+def case_identifier(case_id: Column) -> Column:
+    """A case's number in capitals, without space around / and -."""
+    return F.regexp_replace(F.regexp_replace(F.upper(collapsed(case_id)), " ?/ ?", "/"), " ?- ?", "-")
+
+
+def version_group(doc_type: Column, law_number: Column, case_id: Column, own_id: Column, summary: Column | None = None) -> Column:
+    """type:title:number of a law or regulation (without the title where the summary names none), case:id of a case with a full number, else the document itself."""
     part = lambda c: F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9._-]+", "_"), r"^_+|_+$", ""), F.lit(""))
-    return F.coalesce(F.when(doc_type.isin("law", "regulation", "enactment_notice"), F.concat(doc_type, F.lit(":"), part(law_number))), F.when(doc_type == "case", F.concat(doc_type, F.lit(":"), part(case_id))), own_id)
+    anchor = F.lit(None).cast("string") if summary is None else family_anchor(summary)
+    number = part(law_number)
+    law = F.when(doc_type.isin("law", "regulation", "enactment_notice") & number.isNotNull(), F.concat_ws(":", doc_type, anchor, number))
+    name = case_identifier(case_id)
+    return F.coalesce(law, F.when((doc_type == "case") & name.rlike(STRONG_CASE), F.concat(doc_type, F.lit(":"), part(name))), own_id)

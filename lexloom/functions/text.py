@@ -55,11 +55,15 @@ def iso_date(value: Column) -> Column:
     return F.coalesce(iso, day, year)
 
 
+#: Fixed value: a word of Latin or Cyrillic letters, of two signs or more.
+WORD = "[A-Za-zА-Яа-я][A-Za-zА-Яа-я'-]+"
+
+
 def quality_features(text: Column) -> dict[str, Column]:
     """Token and word counts, shares and flags of a text."""
     t = F.coalesce(text, F.lit(""))
     tokens = F.filter(F.split(t, r"[ \t\r\n]+"), lambda x: x != "")
-    words = F.regexp_extract_all(t, F.lit(r"([A-Za-z][A-Za-z'-]+)"), 1)
+    words = F.regexp_extract_all(t, F.lit(f"({WORD})"), 1)
     long_words = F.filter(words, lambda w: F.length(w) >= 3)
     n = F.size(tokens)
     share = lambda k: F.when(n == 0, 0.0).otherwise(k / n)

@@ -20,7 +20,7 @@ CROSS_DOCUMENT, TYPED_ANSWER = 5, 5  # added for a question across documents, an
 
 
 def failure_buckets(route: Column, route_fits: Column, success: Column, contract_valid: Column, model: Column, pages: Column, abstained: Column, negative: Column, historical: Column, cross_document: Column, of_case: Column) -> Column:
-    """The buckets that a run's row falls into, in alphabetical order.
+    """The buckets that a run's row falls into, in the order of the rules.
 
     `route_fits` is null where the route has no counterpart among the expected ones; `contract_valid` null counts as valid; `negative` marks questions that
     have no answer; `of_case` questions on a case that took a case route. A null number of pages counts as none.
@@ -29,13 +29,13 @@ def failure_buckets(route: Column, route_fits: Column, success: Column, contract
     lost = abstained | (n == 0)
     name = F.trim(F.coalesce(route, F.lit("")))
     rules = {
-        "answerable_vs_abstain_conflict": ~negative & abstained,
-        "case_identity_conflict": of_case & lost,
-        "compare_dimension_conflict": cross_document & (abstained | (n < 2)),
+        "route_error": name.isin("", "unknown") | ~F.coalesce(route_fits, F.lit(True)),
         "contract_or_telemetry_error": ~success | ~F.coalesce(contract_valid, F.lit(True)) | (F.trim(F.coalesce(model, F.lit(""))) == ""),
-        "history_or_version_conflict": historical & lost,
         "retrieval_error": ~negative & (n == 0),
-        "route_error": name.isin("", "unknown") | ~F.coalesce(route_fits, F.lit(True)),
+        "answerable_vs_abstain_conflict": ~negative & abstained,
+        "history_or_version_conflict": historical & lost,
+        "compare_dimension_conflict": cross_document & (abstained | (n < 2)),
+        "case_identity_conflict": of_case & lost,
         "wrong_sources": negative & abstained & (n > 0),
     }
     return F.array_compact(F.array(*(F.when(c, name) for name, c in rules.items())))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapsed
+
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, ordinal from 1, chunk) of the non-blank lines."""
@@ -19,13 +21,13 @@ def linked(chunks: DataFrame, key: str, heading: Column) -> DataFrame:
 
 
 def sized(docs: DataFrame, key: str, text: str, most: int = 900, least: int = 200) -> DataFrame:
-    """(key, ordinal from 0, chunk): paragraphs with white space collapsed, those over `most` characters cut at the last space before `most` that leaves `least`, else hard.
+    """(key, ordinal from 0, chunk): paragraphs with all white space of Unicode collapsed, those over `most` characters cut at the last space before `most` that leaves `least`, else hard.
 
     Paragraphs end at empty lines; no chunk runs across two, and all chunks of a text are kept. One regular expression cuts a paragraph: what is
     left goes whole if it fits, else up to a space, else at the limit. Null and blank texts give no rows.
     """
     paragraphs = F.split(F.coalesce(F.col(text), F.lit("")), "\n{2,}")
-    flat = F.transform(paragraphs, lambda p: F.trim(F.regexp_replace(p, r"[ \t\r\n\f]+", " ")))
-    piece = rf" ?(.{{1,{most}}}$|.{{{least},{most - 1}}}(?= )|.{{{most}}})"
+    flat = F.transform(paragraphs, collapsed)
+    piece = rf"(?s) ?(.{{1,{most}}}$|.{{{least},{most - 1}}}(?= )|.{{{most}}})"
     pieces = F.flatten(F.transform(flat, lambda p: F.regexp_extract_all(p, F.lit(piece), 1)))
     return docs.select(key, F.posexplode(pieces).alias("ordinal", "chunk")).where(F.col("chunk") != "")

@@ -52,14 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def supersession(links: DataFrame, node: str, successor: str) -> DataFrame:
-    """(node, newest, steps): the end of each node's chain by pointer doubling: each round follows twice as many links, until all chains have ended.
+def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of chains by pointer doubling over (node, next): (node, newest, steps) of those that end, and (node, at) of those that don't.
 
-    Only nodes that have not met their end are joined again, and lineage is cut each round. A node with more links before it than there are
-    in the table runs into a cycle, which never ends, and is left out.
+    Each round follows twice as many links and joins only nodes that have not met their end; lineage is cut. A node with more links before it than
+    there are in the table runs into a cycle: after so many steps it stands on the cycle.
     """
-    own = links.select(F.col(node).alias("node"), F.col(successor).alias("at"), F.when(F.col(successor).isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col(successor).isNull().alias("done"))
-    own = cut(own)
+    own = cut(links.select("node", F.col("next").alias("at"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("next").isNull().alias("done")))
     total = own.where("NOT done").count()
     ended, going, reach = own.where("done"), own.where("NOT done"), 1
     while reach <= total and not going.isEmpty():
@@ -68,7 +67,42 @@ def supersession(links: DataFrame, node: str, successor: str) -> DataFrame:
         met = going.join(step, F.col("at") == F.col("mid"), "left")
         moved = cut(met.select("node", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.when(further, F.col("more")).otherwise(0)).alias("steps"), (~further | F.col("last")).alias("done")))
         ended, going, reach = ended.union(moved.where("done")), moved.where("NOT done"), 2 * reach
-    return ended.select("node", F.coalesce("at", "node").alias("newest"), "steps")
+    return ended.select("node", F.coalesce("at", "node").alias("newest"), "steps"), going.select("node", "at")
+
+
+def _around(links: DataFrame, onto: DataFrame) -> DataFrame:
+    """(node, newest, steps) of nodes whose walk meets a cycle: the last node before the first that comes again.
+
+    The nodes that walks stand on are all nodes of the cycles. Their links are taken out, so that what leads to them ends at the node where it
+    enters; a cycle's length is counted under its least node, which is passed round by doubling.
+    """
+    ring = cut(onto.select(F.col("at").alias("node")).distinct())
+    inner = cut(links.join(ring, "node"))
+    outer = links.select("node", "next").join(onto.select("node"), "node").join(ring, "node", "left_anti")
+    entered, _ = _chains(outer.unionByName(ring.withColumn("next", F.lit(None).cast(dict(links.dtypes)["next"]))))
+    size, reach = inner.count(), 1
+    low = cut(inner.select("node", F.col("next").alias("at"), F.least("node", "next").alias("low")))
+    while reach < size:
+        step = low.select(F.col("node").alias("mid"), F.col("at").alias("next"), F.col("low").alias("lower"))
+        low = cut(low.join(step, F.col("at") == F.col("mid")).select("node", F.col("next").alias("at"), F.least("low", "lower").alias("low")))
+        reach *= 2
+    lengths = low.join(low.groupBy("low").agg(F.count("*").alias("length")), "low").select(F.col("node").alias("newest"), "length")
+    before = inner.select(F.col("next").alias("newest"), F.col("node").alias("last"))
+    return entered.join(lengths, "newest").join(before, "newest").select("node", F.col("last").alias("newest"), (F.col("steps") + F.col("length") - 1).alias("steps"))
+
+
+def supersession(links: DataFrame, node: str, successor: str) -> DataFrame:
+    """(node, newest, steps, cyclic): the end of each node's chain of successors, however long.
+
+    A chain that runs into a cycle ends before the first node that would come again, and is marked. A node without a successor is its own end;
+    a successor that is no node of the table ends a chain.
+    """
+    own = cut(links.select(F.col(node).alias("node"), F.col(successor).alias("next")))
+    ended, onto = _chains(own)
+    out = ended.withColumn("cyclic", F.lit(False))
+    if onto.isEmpty():
+        return out
+    return out.unionByName(_around(own, cut(onto)).withColumn("cyclic", F.lit(True)))
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

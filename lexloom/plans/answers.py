@@ -169,13 +169,18 @@ def no_answer_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'law' WHEN 1 THEN 'regulation' WHEN 2 THEN 'case' ELSE 'other' END AS doc_type, o_orderpriority, o_custkey FROM orders),
-  g AS (SELECT *, CASE WHEN doc_type IN ('law', 'regulation') AND o_custkey % 7 > 0 THEN doc_type || ':' || regexp_replace(regexp_replace(lower(trim(o_orderpriority)), '[^a-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')
-    WHEN doc_type = 'case' THEN 'case:case_' || o_custkey ELSE 'doc' || o_orderkey END AS version_group FROM d)
+  g AS (SELECT *, CASE WHEN doc_type IN ('law', 'regulation') AND o_custkey % 7 > 0 THEN concat_ws(':', doc_type,
+      CASE WHEN o_orderkey % 3 > 0 THEN nullif(array_to_string(list_filter(string_split_regex(lower(substr(o_orderpriority, 3)), '[^a-z]+'), lambda w: length(w) > 1), '_'), '') END, (o_custkey % 9) || '_a')
+    WHEN doc_type = 'case' AND o_custkey % 5 > 0 THEN 'case:cfi' || CASE WHEN o_custkey % 2 = 0 THEN '_' || (o_custkey % 90) || '_2020' ELSE '-' || (o_custkey % 90) || '-2019' END ELSE 'doc' || o_orderkey END AS version_group FROM d)
   SELECT version_group, count(*) AS versions, min(o_orderkey) AS first_document, max(o_orderkey) AS last_document FROM g GROUP BY 1""")
 def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are versions of one law, regulation or case."""
     key = F.col("o_orderkey")
     kind = F.when(key % 4 == 0, "law").when(key % 4 == 1, "regulation").when(key % 4 == 2, "case").otherwise("other")
-    number = F.when(F.col("o_custkey") % 7 > 0, F.col("o_orderpriority"))
-    group = references.version_group(kind, number, F.concat(F.lit(" Case "), F.col("o_custkey")), F.concat(F.lit("doc"), key))
+    holder = F.col("o_custkey")
+    number = F.when(holder % 7 > 0, F.concat(holder % 9, F.lit(" A")))
+    title = F.concat(F.lit("The "), F.expr("substring(o_orderpriority, 3)"), F.lit(" Law\nLAW NO. "), holder % 9, F.lit(" of 2019"))
+    strong = F.when(holder % 2 == 0, F.concat(F.lit(" cfi  "), holder % 90, F.lit(" / 2020"))).otherwise(F.concat(F.lit("CFI - "), holder % 90, F.lit("-2019")))
+    case = F.when(holder % 5 > 0, strong).otherwise(F.concat(F.lit("Case "), holder))
+    group = references.version_group(kind, number, case, F.concat(F.lit("doc"), key), F.when(key % 3 > 0, title).otherwise("Act without a number"))
     return table(spark, sf_dir, "orders").select(group.alias("version_group"), "o_orderkey").groupBy("version_group").agg(F.count("*").alias("versions"), F.min("o_orderkey").alias("first_document"), F.max("o_orderkey").alias("last_document"))

@@ -30,7 +30,7 @@ def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supersession_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     links = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 17 != 0, after).alias("next"))
-    return versions.supersession(links, "o_orderkey", "next")
+    return versions.supersession(links, "o_orderkey", "next").drop("cyclic")
 
 
 @query("""WITH h AS (SELECT source, length(text) AS k, sha256(text) AS h FROM documents),
@@ -59,7 +59,7 @@ def structural_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\n{2,}') AS parts FROM documents)),
   c(doc_id, place, step, chunk, rest) AS (
-    SELECT doc_id, place, 0, '', trim(regexp_replace(part, '[ \t\r\n\f]+', ' ', 'g')) FROM p
+    SELECT doc_id, place, 0, '', trim(regexp_replace(part, '[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+', ' ', 'g')) FROM p
     UNION ALL
     SELECT doc_id, place, step + 1, trim(left(rest, k)), trim(substr(rest, k + 1)) FROM (
       SELECT *, CASE WHEN length(rest) > 900 AND back > 0 AND 900 - back >= 200 THEN 900 - back ELSE 900 END AS k FROM (

@@ -192,8 +192,8 @@ def question_error_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE o_orderpriority END AS route, o_orderpriority <> '5-LOW' AS fits, o_orderkey % 19 <> 0 AS success, o_orderkey % 29 = 0 AS unnamed,
     coalesce(pages, 0) AS pages, o_orderstatus = 'F' AS abstained, o_totalprice < 20000 AS negative, o_orderdate < TIMESTAMP '1995-01-01' AS old, o_totalprice > 250000 AS crossing, o_custkey % 3 = 0 AS of_case, o_orderkey % 2 = 0 AS typed
     FROM orders LEFT JOIN p ON l_orderkey = o_orderkey),
-  b AS (SELECT question_id, negative, crossing, typed, [CASE WHEN NOT negative AND abstained THEN 70 END, CASE WHEN of_case AND (abstained OR pages = 0) THEN 55 END, CASE WHEN crossing AND (abstained OR pages < 2) THEN 65 END,
-      CASE WHEN NOT success OR unnamed THEN 100 END, CASE WHEN old AND (abstained OR pages = 0) THEN 60 END, CASE WHEN NOT negative AND pages = 0 THEN 80 END, CASE WHEN route = 'unknown' OR NOT fits THEN 90 END,
+  b AS (SELECT question_id, negative, crossing, typed, [CASE WHEN route = 'unknown' OR NOT fits THEN 90 END, CASE WHEN NOT success OR unnamed THEN 100 END, CASE WHEN NOT negative AND pages = 0 THEN 80 END, CASE WHEN NOT negative AND abstained THEN 70 END,
+      CASE WHEN old AND (abstained OR pages = 0) THEN 60 END, CASE WHEN crossing AND (abstained OR pages < 2) THEN 65 END, CASE WHEN of_case AND (abstained OR pages = 0) THEN 55 END,
       CASE WHEN negative AND abstained AND pages > 0 THEN 85 END] AS w FROM r),
   s AS (SELECT *, coalesce(list_sum(w), 0)::INT AS base FROM b),
   t AS (SELECT *, base + CASE WHEN crossing THEN 5 ELSE 0 END + CASE WHEN typed AND base > 0 THEN 5 ELSE 0 END AS severity FROM s)

@@ -63,7 +63,7 @@ def retrieval_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, token_count, word_count, CASE WHEN token_count = 0 THEN 0 ELSE word_count / token_count END AS alpha_ratio, CASE WHEN token_count = 0 THEN 0 ELSE slash / token_count END AS slash_ratio,
     CASE WHEN len(long) = 0 THEN 0 ELSE len(list_distinct(list_transform(long, lambda w: lower(w)))) / len(long) END AS diversity FROM (
     SELECT doc_id, len(tokens) AS token_count, len(words) AS word_count, len(list_filter(tokens, lambda t: starts_with(t, '/'))) AS slash, list_filter(words, lambda w: length(w) >= 3) AS long FROM (
-      SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda t: t <> '') AS tokens, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+') AS words FROM documents))""")
+      SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda t: t <> '') AS tokens, regexp_extract_all(text, '[A-Za-z\\x{410}-\\x{44F}][A-Za-z\\x{410}-\\x{44F}''-]+') AS words FROM documents))""")
 def text_quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in text.quality_features(F.col("text")).items()))
 
@@ -97,7 +97,7 @@ _MARKERS = " + ".join(
 
 
 @query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents),
-  k AS (SELECT doc_id, t, lower(t) AS low, list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda x: x <> '') AS tokens, regexp_extract_all(t, '[A-Za-z][A-Za-z''-]+') AS words,
+  k AS (SELECT doc_id, t, lower(t) AS low, list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda x: x <> '') AS tokens, regexp_extract_all(t, '[A-Za-z\x{{410}}-\x{{44F}}][A-Za-z\x{{410}}-\x{{44F}}''-]+') AS words,
     len(list_filter(string_split_regex(t, '{_N}+'), lambda x: regexp_full_match(x, '[A-Za-z]'))) AS singles FROM t),
   f AS (SELECT doc_id, t, len(tokens) AS n, len(words) AS w, greatest(len(tokens), 1) AS d, len(list_filter(tokens, lambda x: starts_with(x, '/'))) AS slashes, singles,
     list_transform(list_filter(words, lambda x: length(x) >= 3), lambda x: lower(x)) AS long,

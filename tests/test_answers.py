@@ -21,6 +21,10 @@ def test_document_types_and_dates(spark):
     group = references.version_group(F.col("k"), F.col("l"), F.col("c"), F.col("i"))
     rows = spark.createDataFrame([("law", "10 A", None, "d1"), ("case", None, "CFI 1/2020", "d2"), ("law", " ", None, "d3"), ("other", "9", "x", "d4")], "k string, l string, c string, i string")
     assert [r[0] for r in rows.select(group).collect()] == ["law:10_a", "case:cfi_1_2020", "d3", "d4"]
+    titles = [("EMPLOYMENT LAW DIFC LAW NO. 2 of 2019 Consolidated Version No. 5", "law:employment:2"), ("COMMON_REPORTING STANDARD LAW DIFC LAW NO. 2 OF 2018", "law:common_reporting_standard:2"), ("Law No. 2", "law:2"), (None, "law:2")]
+    rows = spark.createDataFrame([("law", "2", None, "d", t) for t, _ in titles] + [("case", None, "Claim 7", "weak", None), ("case", None, "dec - 1-2025 ", "d", None)], "k string, l string, c string, i string, s string")
+    found = rows.select(references.version_group(F.col("k"), F.col("l"), F.col("c"), F.col("i"), F.col("s"))).collect()
+    assert [r[0] for r in found] == [*(want for _, want in titles), "weak", "case:dec-1-2025"]
 
 
 def test_subroutes(spark):

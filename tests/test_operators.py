@@ -49,15 +49,41 @@ def test_versions_and_chains(spark):
     assert [r[-1] for r in values(versions.version_sequence(rows, "grp", order), "id")] == [1, 2, 3, None]
     assert [r[0] for r in versions.current_version(rows.where("grp IS NOT NULL"), "grp", F.col("cur"), [F.col("start").desc(), F.col("id").desc()]).collect()] == ["c"]
     links = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, None), (5, 9)], "n long, s long")
-    assert values(versions.supersession(links, "n", "s"), "node") == [(1, 3, 2), (2, 3, 1), (3, 3, 0), (4, 4, 0), (5, 9, 1)]
+    assert values(versions.supersession(links, "n", "s"), "node") == [(1, 3, 2, False), (2, 3, 1, False), (3, 3, 0, False), (4, 4, 0, False), (5, 9, 1, False)]
 
 
-def test_long_chains_end_and_cycles_are_left_out(spark):
+def test_long_chains_end_and_cycles_stop_before_they_repeat(spark):
     chain = [(k, k + 1 if k < 299 else None) for k in range(300)]
-    cycle = [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (1004, 1004)]
-    links = spark.createDataFrame(chain + cycle, "n long, s long")
-    assert values(versions.supersession(links, "n", "s"), "node") == [(k, 299, 299 - k) for k in range(300)]
-    assert versions.supersession(links.where("n >= 1000"), "n", "s").count() == 0 and versions.supersession(links.where("n < 0"), "n", "s").count() == 0
+    cycles = [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (1004, 1004), (1005, 1003), (10, 11), (2000, 2001), (2001, 2000), (2002, 2000)]
+    links = {n: s for n, s in chain} | {n: s for n, s in cycles if n >= 1000}
+
+    def walk(node):
+        seen = [node]
+        while links.get(seen[-1]) is not None and links[seen[-1]] not in seen:
+            seen.append(links[seen[-1]])
+        return node, seen[-1], len(seen) - 1, links.get(seen[-1]) is not None
+
+    frame = spark.createDataFrame(list(links.items()), "n long, s long")
+    assert values(versions.supersession(frame, "n", "s"), "node") == sorted(map(walk, links))
+    only = versions.supersession(frame.where("n >= 2000"), "n", "s")
+    assert values(only, "node") == [(2000, 2001, 1, True), (2001, 2000, 1, True), (2002, 2001, 2, True)]
+    assert versions.supersession(frame.where("n < 0"), "n", "s").count() == 0
+
+
+def test_no_text_is_lost_at_unicode_white_space(spark):
+    texts = ["first half\u2028second half", "a\u0085b", "x\x1cy\u00a0z\u3000w", "one\u2029\n\ntwo " + "word\u2003" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {}
+    for r in chunking.sized(rows, "id", "t").orderBy("id", "ordinal").collect():
+        got.setdefault(r.id, []).append(r.chunk)
+    assert ["".join("".join(got[k]).split()) for k in range(4)] == ["".join(t.split()) for t in texts]
+    assert got[0] == ["first half second half"] and got[1] == ["a b"] and got[2] == ["x y z w"]
+
+
+def test_words_of_cyrillic_texts_count(spark):
+    rows = spark.createDataFrame([("Суд вынес решение по делу и " * 15,)], "t string")
+    f = text.quality_features(F.col("t"))
+    assert rows.select(f["word_count"], f["diversity"]).first()[0] == 75
 
 
 def test_duplicate_anchor_keeps_a_null(spark):

@@ -106,6 +106,6 @@ def test_triage_of_a_sound_and_a_failed_question(spark):
     score = triage.severity(found, F.col("crossing"), F.col("typed"))
     got = [tuple(r) for r in spark.createDataFrame(rows, schema).select(found, score, triage.severity_label(score), triage.status(score, F.col("negative"))).collect()]
     assert got[0] == ([], 5, "low", "review")
-    assert got[1] == (sorted(set(triage.BUCKET_WEIGHTS) - {"wrong_sources"}), 100 + 90 + 80 + 70 + 65 + 60 + 55 + 10, "critical", "review_high")
+    assert got[1] == (["route_error", "contract_or_telemetry_error", "retrieval_error", "answerable_vs_abstain_conflict", "history_or_version_conflict", "compare_dimension_conflict", "case_identity_conflict"], 100 + 90 + 80 + 70 + 65 + 60 + 55 + 10, "critical", "review_high")
     assert got[2] == ([], 0, "low", "expected_negative")
     assert got[3] == (["wrong_sources"], 85, "medium", "review")
