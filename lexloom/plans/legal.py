@@ -18,6 +18,11 @@ OPENINGS = {0: "PART {n}: Scope and duties ", 1: "CHAPTER {n} ", 2: "SECTION {n}
 CAPTION = ("IN THE COURT Claim No: CFI ", "/2020 BETWEEN ", " Claimant ORDER WITH REASONS UPON ", " IT IS HEREBY ORDERED THAT: ")
 
 
+def text_type() -> Column:
+    """The type of a document by its language."""
+    return F.coalesce(*(F.when(F.col("lang") == k, v) for k, v in TYPES.items()), F.lit("memo"))
+
+
 def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, type, text)."""
     lines = F.split("text", "\n")
@@ -37,9 +42,8 @@ def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get(lines, F.lit(0))
     caption = F.concat(F.lit(CAPTION[0]), "doc_id", F.lit(CAPTION[1]), first, F.lit(CAPTION[2]), first, F.lit(CAPTION[3]))
     case = F.concat(F.when(F.length("text") % 3 > 0, caption).otherwise(""), items)
-    kind = F.coalesce(*(F.when(F.col("lang") == k, v) for k, v in TYPES.items()), F.lit("memo"))
     text = F.when(F.col("lang").isin("en", "es"), law).when(F.col("lang") == "fr", case).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("type"), text.alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text_type().alias("type"), text.alias("text"))
 
 
 _TEXTS = """
