@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ TIES = ("other", "case", "regulation", "law", "enactment_notice")
 START = r"(?iU)(?:effective\s+from|effective\s+on|in\s+force\s+from|commenc\w*\s+on|commencement\s+date|вступает\s+в\s+силу\s+с|действует\s+с)\s*[:\-]?\s*"
 END = r"(?iU)(?:effective\s+until|in\s+force\s+until|valid\s+until|until|till|through|expires?\s+on|expires?|ceases?\s+to\s+have\s+effect\s+on|repealed\s+on|утрачивает\s+силу\s+с|действует\s+до|по)\s*[:\-]?\s*"
 ENDED = r"(?i)\b(repealed|expired|superseded|cease)\b"
+SPOKEN = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\s+\d{4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})\b"
+#: kinds of accounts: cues of a question, and the terms that a text is searched for, in turn
+SCOPES = [(("new account",), ("new account",)), (("pre-existing account", "pre existing account"), ("pre-existing account", "pre existing account"))]
 NUMBERED = r"(?i)\b(?:law|act|code) no\.? ?[A-Za-z0-9./-]{1,24}\b"
 ANCHOR_STOPWORDS, ANCHOR_WORDS = ("law", "laws", "act", "acts", "code", "codes", "difc", "of", "the", "and", "on", "in"), 8
 STRONG_CASE = r"^(?:CA|CFI|DEC|ARB|ENF)(?: \d{1,4}/|-\d{1,4}-)(?:19|20)\d{2}(?:/\d+)?$"
@@ -94,3 +100,45 @@ def version_group(doc_type: Column, law_number: Column, case_id: Column, own_id:
     law = F.when(doc_type.isin("law", "regulation", "enactment_notice") & number.isNotNull(), F.concat_ws(":", doc_type, anchor, number))
     name = case_identifier(case_id)
     return F.coalesce(law, F.when((doc_type == "case") & name.rlike(STRONG_CASE), F.concat(doc_type, F.lit(":"), part(name))), own_id)
+
+
+def spoken_date(token: Column) -> Column:
+    """The day of an ISO date or of one with the month's name, in either order; null if there is no such day."""
+    t = F.initcap(F.lower(F.regexp_replace(F.regexp_replace(F.trim(token), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1"), ",", "")))
+    read = lambda form: F.try_to_timestamp(t, F.lit(form)).cast("date")
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), read("yyyy-MM-dd"))
+    day_first = F.when(t.rlike(r"^\d"), F.coalesce(read("d MMM yyyy"), read("d MMMM yyyy")))
+    month_first = F.when(t.rlike("^[A-Z]"), F.coalesce(read("MMM d yyyy"), read("MMMM d yyyy")))
+    return F.coalesce(iso, day_first, month_first)
+
+
+def nearest_date(text: Column, anchor: Column) -> Column:
+    """The date of a text that begins nearest to the first character of `anchor` (case does not matter), the first of equals.
+
+    Null if the text does not hold the anchor or a date. The text is cut before each date, and the pieces' lengths are summed on the way.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\n\t]", " ")
+    low, sought = F.lower(t), F.lower(anchor)
+    at = F.when((sought != "") & low.contains(sought), F.instr(low, sought) - 1)
+    pieces = F.split(F.regexp_replace(t, SPOKEN, "\n$0\t"), "\n")
+    start = F.struct(F.lit(0).alias("place"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("date").alias("day"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        dated = piece.contains("\t")
+        day = F.when(dated, spoken_date(F.substring_index(piece, "\t", 1)))
+        far = F.abs(acc["place"] - at)
+        nearer = F.coalesce(day.isNotNull() & (acc["far"].isNull() | (far < acc["far"])), F.lit(False))
+        length = F.length(piece) - F.when(dated, 1).otherwise(0)
+        return F.struct(
+            (acc["place"] + length).cast("int").alias("place"), F.when(nearer, far).otherwise(acc["far"]).cast("int").alias("far"), F.when(nearer, day).otherwise(acc["day"]).alias("day")
+        )
+
+    return F.when(at.isNotNull(), F.aggregate(pieces, start, step, lambda acc: acc["day"]))
+
+
+def scoped_date(text: Column, question: Column) -> Column:
+    """The date nearest to the kind of account that a question asks about; null for other questions."""
+    asked = F.lower(F.coalesce(question, F.lit("")))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = [F.when(reduce(or_, (asked.contains(cue) for cue in cues)) & low.contains(term), term) for cues, terms in SCOPES for term in terms]
+    return nearest_date(text, F.coalesce(*named))
