@@ -34,8 +34,9 @@ def _between(pairs: list[tuple[str, str]], left: str, right: str) -> str:
 
 def joined_capitals(line: Column) -> Column:
     """A line (white space collapsed) with words in capitals put together: letters that stand alone before a short word, then known words in two parts."""
-    spelt = r"(?<=\b[A-Z]) (?=(?:[A-Z] )+[A-Z]{2,6}\b)|(?<=\b[A-Z] [A-Z]) (?=(?:[A-Z] )*[A-Z]{2,6}\b)"
-    letter = _between(_halves(range(1, 2)), r"\b", r"\b")
+    begin, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    spelt = rf"(?<={begin}[A-Z]) (?=(?:[A-Z] )+[A-Z]{{2,6}}{end})|(?<={begin}[A-Z] [A-Z]) (?=(?:[A-Z] )*[A-Z]{{2,6}}{end})"
+    letter = _between(_halves(range(1, 2)), begin, end)
     parts = _between(_halves(range(2, 7)), "(?<![^ ])", "(?![^ ])")
     out = line
     for pattern in (spelt, letter, parts):
