@@ -97,8 +97,8 @@ _LETTERS = [f"{a} {b}" for a, b in repair._halves(range(1, 2))]
   n AS (SELECT doc_id, j, trim(regexp_replace(x, '[\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ') AS x
       FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS j FROM b)),
   s AS (SELECT doc_id, j, list_reduce(list_prepend(x, regexp_extract_all(x, '(?:^|[^\p{{L}}\p{{N}}_])((?:[A-Z] ){{2,}}[A-Z]{{2,6}})(?:$|[^\p{{L}}\p{{N}}_])', 1)), lambda acc, r: replace(acc, r, replace(r, ' ', ''))) AS x FROM n WHERE x <> ''),
-  o AS (SELECT doc_id, j, list_reduce(list_prepend(x, ['{"', '".join(_LETTERS)}']), lambda acc, r: regexp_replace(acc, '(^|[^\p{{L}}\p{{N}}_])' || r || '($|[^\p{{L}}\p{{N}}_])', '\1' || replace(r, ' ', '') || '\2', 'g')) AS x FROM s),
-  p AS (SELECT doc_id, j, list_reduce(list_prepend(x, ['{"', '".join(_PAIRS)}']), lambda acc, r: regexp_replace(acc, '(^| )' || r || '( |$)', '\1' || replace(r, ' ', '') || '\2', 'g')) AS x FROM o),
+  o AS (SELECT doc_id, j, list_reduce(list_prepend(x, ['{"', '".join(_LETTERS)}']), lambda acc, r: CASE WHEN contains(acc, r) THEN regexp_replace(acc, '(^|[^\p{{L}}\p{{N}}_])' || r || '($|[^\p{{L}}\p{{N}}_])', '\1' || replace(r, ' ', '') || '\2', 'g') ELSE acc END) AS x FROM s),
+  p AS (SELECT doc_id, j, list_reduce(list_prepend(x, ['{"', '".join(_PAIRS)}']), lambda acc, r: CASE WHEN contains(acc, r) THEN regexp_replace(acc, '(^| )' || r || '( |$)', '\1' || replace(r, ' ', '') || '\2', 'g') ELSE acc END) AS x FROM o),
   k AS (SELECT *, length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) AS n, length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) AS c, lower(regexp_replace(x, '[^A-Za-z0-9]+', '', 'g')) AS key FROM p),
   h AS (SELECT *, n >= 12 AND c >= n * 0.78 AND length(key) >= 16 AS head FROM k),
   f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key, head ORDER BY j) AS turn FROM h)
