@@ -41,7 +41,7 @@ def joined_capitals(line: Column) -> Column:
     out = line
     for pattern in (spelt, letter, parts):
         out = F.regexp_replace(out, pattern, "")
-    return out
+    return F.when(line.rlike("[A-Z] [A-Z]"), out).otherwise(line)
 
 
 def preview_text(text: Column) -> Column:

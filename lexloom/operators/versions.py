@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,18 +38,22 @@ def current_version(rows: DataFrame, group: str, flag: Column, rank: list[Column
     return rows.withColumn("__best", F.row_number().over(best)).where("__best = 1").drop("__best")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder that the cluster shares (spark.checkpoint.dir; a temporary one where it is unset and all runs on one machine) and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where it is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import answers, clauses, corpus, evaluation, legal, instruments, matching, product, review, search  # noqa: E402, F401
+from . import answers, clauses, corpus, evaluation, legal, instruments, matching, product, review, search, versioned  # noqa: E402, F401
