@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,21 +51,24 @@ def abstain_reason(abstained: Column, answer_type: Column, top: Column, gap: Col
 def evidence_cover(refs: DataFrame, question: str, page: str, score: str, keywords: str, exact: str, limit: int = 2) -> DataFrame:
     """(question, page, place, gain): pages picked one at a time by best score + 0.25 for each keyword not yet covered + 0.45 for an exact hit.
 
-    Pages are first put together in the JVM, so a question's group has a row per page; ties go to the better score, then the page's name.
+    A question's pages are an array of one entry a page, picked from in a fold; ties go to the better score, then the page's name. Null pages fall away.
     """
-    pages = refs.where(F.col(page).isNotNull()).groupBy(question, page).agg(F.max(score).alias("best"), F.array_distinct(F.flatten(F.collect_list(keywords))).alias("words"), F.max(F.col(exact).cast("int")).alias("exact"))
-    kinds = dict(refs.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {r[1]: (r[2], set(r[3]), r[4]) for r in pdf.itertuples(index=False)}
-        open_words = set().union(*(words for _, words, _ in left.values()))
-        out = []
-        while left and len(out) < limit:
-            gain, best, name = max(((b + 0.25 * len(w & open_words) + 0.45 * x, b, p) for p, (b, w, x) in sorted(left.items(), reverse=True)), key=lambda g: g[:2])
-            tied = [p for p, (b, w, x) in left.items() if (b + 0.25 * len(w & open_words) + 0.45 * x, b) == (gain, best)]
-            name = min(tied)
-            out.append((pdf.iloc[0, 0], name, len(out) + 1, float(gain)))
-            open_words -= left.pop(name)[1]
-        return pd.DataFrame(out, columns=[question, page, "place", "gain"])
-
-    return pages.select(question, page, F.col("best").cast("double").alias("best"), "words", "exact").groupBy(question).applyInPandas(pick, f"`{question}` {kinds[question]}, `{page}` {kinds[page]}, place int, gain double")
+    words = refs.where(F.col(page).isNotNull()).select(question, page, score, F.col(exact).cast("int").alias("x"), F.explode_outer(keywords).alias("word"))
+    pages = words.groupBy(question, page).agg(F.max(score).cast("double").alias("best"), F.collect_set("word").alias("words"), F.max("x").alias("exact"))
+    listed = pages.groupBy(question).agg(F.collect_list(F.struct("best", "words", "exact", F.col(page).alias("page"))).alias("left"))
+    kind = dict(refs.dtypes)[page]
+    picked = f"array<struct<page: {kind}, place: int, gain: double>>"
+
+    def step(acc: Column, turn: Column) -> Column:
+        gain = lambda p: p["best"] + 0.25 * F.size(F.array_intersect(p["words"], acc["open"])) + 0.45 * F.coalesce(p["exact"], F.lit(0))
+        # the least of (-gain, -score, page) is the best page
+        best = F.array_min(F.transform(acc["left"], lambda p: F.struct((-gain(p)).alias("gain"), (-p["best"]).alias("best"), p["page"].alias("page"), p["words"].alias("words"))))
+        more = F.array(F.struct(best["page"].alias("page"), turn.alias("place"), (-best["gain"]).alias("gain"))).cast(picked)
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(
+            F.struct(F.filter(acc["left"], lambda p: p["page"] != best["page"]).alias("left"), F.array_except(acc["open"], best["words"]).alias("open"), F.concat(acc["out"], more).alias("out"))
+        )
+
+    every = F.array_distinct(F.flatten(F.transform("left", lambda p: p["words"])))
+    start = F.struct(F.col("left").alias("left"), every.alias("open"), F.array().cast(picked).alias("out"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, step, lambda acc: acc["out"])
+    return listed.select(question, F.explode(found).alias("p")).select(question, F.col("p.page").alias(page), "p.place", "p.gain")

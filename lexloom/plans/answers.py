@@ -24,25 +24,55 @@ TEMPLATES = (
 )
 
 
+#: What joins a question's two halves, by the customer.
+JOINTS = (" ", " and ", ", or under article 7: ", "; earlier than ", " between the claimant: ")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = reduce(lambda w, kv: w.when(F.col("o_orderkey") % 9 == kv[0], kv[1]), enumerate(TEMPLATES), F.when(F.lit(False), ""))
+    """Orders as questions of two halves, by three of their columns."""
+    half = lambda k: reduce(lambda w, kv: w.when(k == kv[0], kv[1]), enumerate(TEMPLATES), F.when(F.lit(False), ""))
+    joint = F.get(F.array(*map(F.lit, JOINTS)), (F.col("o_custkey") % 5).cast("int"))
+    text = F.concat(half(F.col("o_orderkey") % 9), F.when(F.col("o_custkey") % 3 > 0, F.concat(joint, half(F.col("o_custkey") % 9))).otherwise(""))
     kind = F.when(F.col("o_orderstatus") == "F", "name").when(F.col("o_orderstatus") == "O", "boolean").otherwise("free_text")
     return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("question"), kind.alias("answer_type"), F.when(F.col("o_orderkey") % 50 == 0, "no_answer").alias("hint"))
 
 
-_ROUTES = """CASE WHEN o_orderkey % 50 = 0 THEN 'no_answer' ELSE CASE o_orderkey % 9 WHEN 0 THEN 'cross_law_compare' WHEN 2 THEN 'cross_case_compare' WHEN 3 THEN 'no_answer' WHEN 4 THEN 'history_lineage' WHEN 5 THEN 'single_case_extraction' WHEN 6 THEN 'history_lineage' ELSE 'article_lookup' END END"""
+_HALVES = "['" + "', '".join(TEMPLATES) + "']"
+
+
+def _any(kind: str) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in routing.WORDS[kind]) + ")"
+
+
+def _n(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, '{pattern}'))"
+
 
+_LAW_REF = "[ (]law no[.]? *[0-9]+ of [0-9]{4}|^law no[.]? *[0-9]+ of [0-9]{4}"
+# signals and rules over the questions' texts
+_QUESTIONS = f"""q AS (SELECT o_orderkey, o_orderstatus, lower({_HALVES}[o_orderkey % 9 + 1] || CASE WHEN o_custkey % 3 > 0 THEN ['{"', '".join(JOINTS)}'][o_custkey % 5 + 1] || {_HALVES}[o_custkey % 9 + 1] ELSE '' END) AS t, o_orderkey % 50 = 0 AS hinted FROM orders)"""
+_ROUTED = rf"""{_QUESTIONS},
+  w AS (SELECT *, {", ".join(f"{_any(k)} AS {'w_' + k}" for k in routing.WORDS)}, {_n(_LAW_REF)} AS law_refs, {_n("(^|[^a-z])laws?([^a-z]|$)")} AS laws,
+      {_n("(^|[^a-z])regulations?([^a-z]|$)")} AS rules, {_n("(cfi|ca|arb|tcd|enf|dec|sct) *[0-9]{1,3}/[0-9]{4}")} AS cases, regexp_matches(t, '(article|section|paragraph|clause|schedule) [0-9]') AS provided FROM q),
+  v AS (SELECT *, law_refs >= 2 OR laws >= 2 OR rules >= 2 AS many, provided OR w_provision AS prov, cases > 0 OR w_case AS about_case, w_history AND NOT w_temporal AS past FROM w),
+  u AS (SELECT *, w_law_compare OR w_compare OR (contains(t, 'administer') AND NOT prov AND (many OR w_law_plural OR contains(t, 'same entity') OR contains(t, 'same authority'))) OR (w_law_plural AND (w_law_filter OR w_temporal OR many)) AS framed FROM v),
+  r AS (SELECT *, CASE WHEN about_case AND cases >= 2 AND (w_compare OR w_case_compare OR contains(t, ' and ') OR contains(t, ' or ') OR contains(t, 'between ')) THEN 1
+      WHEN (laws > 0 OR rules > 0) AND (many OR w_law_plural) AND framed AND NOT (past AND NOT w_compare AND NOT w_law_compare) THEN 2 WHEN w_negative THEN 3 WHEN past AND w_lineage AND NOT w_compare THEN 4 WHEN prov THEN 5 WHEN w_history THEN 6
+      WHEN w_article THEN 7 WHEN about_case THEN 8 ELSE 9 END AS rule FROM u),
+  routed AS (SELECT *, CASE WHEN hinted THEN 'no_answer' ELSE ['cross_case_compare', 'cross_law_compare', 'no_answer', 'history_lineage', 'article_lookup', 'history_lineage', 'article_lookup', 'single_case_extraction', 'article_lookup'][rule] END AS route,
+      CASE WHEN hinted THEN 0.99 ELSE [0.93, 0.92, 0.94, 0.9, 0.9, 0.85, 0.85, 0.8, 0.6][rule] END::DOUBLE AS confidence FROM r)"""
 
-@query(f"""SELECT o_orderkey, {_ROUTES} AS route, CASE WHEN o_orderkey % 50 = 0 THEN 0.99 ELSE CASE o_orderkey % 9 WHEN 0 THEN 0.92 WHEN 1 THEN 0.9 WHEN 2 THEN 0.93 WHEN 3 THEN 0.94 WHEN 4 THEN 0.9 WHEN 5 THEN 0.8 WHEN 6 THEN 0.85 WHEN 7 THEN 0.6 ELSE 0.85 END END::DOUBLE AS confidence FROM orders""")
+
+@query(f"WITH {_ROUTED} SELECT o_orderkey, route, confidence FROM routed")
 def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = routing.decide(F.col("question"), F.col("hint"))
     return questions(spark, sf_dir).select("o_orderkey", d["route"].alias("route"), d["confidence"].cast("double").alias("confidence"))
 
 
-@query(f"""WITH r AS (SELECT o_orderkey, o_orderstatus, {_ROUTES} AS route, o_orderkey % 12 + 1 AS pages FROM orders), m AS (SELECT *, CASE route WHEN 'article_lookup' THEN 2.0 WHEN 'single_case_extraction' THEN 1.5 WHEN 'no_answer' THEN 0 WHEN 'cross_law_compare' THEN 2.5 ELSE 2.0 END AS k,
+@query(f"""WITH {_ROUTED}, p AS (SELECT *, o_orderkey % 12 + 1 AS pages FROM routed), m AS (SELECT *, CASE route WHEN 'article_lookup' THEN 2.0 WHEN 'single_case_extraction' THEN 1.5 WHEN 'no_answer' THEN 0 WHEN 'cross_law_compare' THEN 2.5 ELSE 2.0 END AS k,
     CASE route WHEN 'article_lookup' THEN 16 WHEN 'single_case_extraction' THEN 12 WHEN 'history_lineage' THEN 20 WHEN 'cross_case_compare' THEN 18 WHEN 'cross_law_compare' THEN 24 ELSE 0 END AS cap,
     CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'O' AND route <> 'single_case_extraction') THEN CASE route WHEN 'article_lookup' THEN 2 WHEN 'single_case_extraction' THEN 2 WHEN 'history_lineage' THEN 4 WHEN 'cross_case_compare' THEN 3 WHEN 'cross_law_compare' THEN 4 ELSE 0 END
-    ELSE CASE route WHEN 'article_lookup' THEN 3 WHEN 'single_case_extraction' THEN 3 WHEN 'history_lineage' THEN 5 WHEN 'cross_case_compare' THEN 4 WHEN 'cross_law_compare' THEN 5 ELSE 0 END END AS used FROM r)
+    ELSE CASE route WHEN 'article_lookup' THEN 3 WHEN 'single_case_extraction' THEN 3 WHEN 'history_lineage' THEN 5 WHEN 'cross_case_compare' THEN 4 WHEN 'cross_law_compare' THEN 5 ELSE 0 END END AS used FROM p)
   SELECT o_orderkey, least(cap, greatest(pages, round_even(pages * k, 0)::INT)) AS candidate_pages, least(used, cap, greatest(pages, round_even(pages * k, 0)::INT)) AS used_pages FROM m""")
 def retrieval_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = questions(spark, sf_dir).withColumn("route", routing.decide(F.col("question"), F.col("hint"))["route"])
@@ -50,7 +80,7 @@ def retrieval_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", b["candidate_pages"].cast("long").alias("candidate_pages"), b["used_pages"].cast("long").alias("used_pages"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 IN (0, 4) THEN 'cross' WHEN o_orderkey % 9 = 1 THEN 'one' ELSE 'none' END AS law_words, o_orderkey % 9 IN (0) AS compares, o_orderkey % 9 IN (2, 5) AS about_case FROM orders""")
+@query(f"WITH {_ROUTED} SELECT o_orderkey, CASE WHEN laws >= 2 THEN 'cross' WHEN laws = 1 THEN 'one' ELSE 'none' END AS law_words, w_compare AS compares, about_case FROM routed")
 def route_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = routing.signals(F.col("question"))
     many = F.regexp_count(F.lower("question"), F.lit(routing.PATTERNS["law_word"])) >= 2
@@ -69,9 +99,28 @@ def document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in references.references(F.col("text")).items()))
 
 
-@query()
+def _hints(kind: str) -> str:
+    """The number of a kind's hints in a text: phrases wherever they stand, words as words."""
+    phrase = lambda h: f"(length(t) - length(replace(t, '{h}', ''))) // {len(h)}"
+    word = lambda h: f"len(list_filter(words, lambda w: w = '{h}'))"
+    return " + ".join(phrase(h) if " " in h else word(h) for h in references.HINTS[kind])
+
+
+_STRONG = {
+    "case": "claim no([^a-z]|$)|judgment|court of|(^|[^a-z])v [a-z]",
+    "enactment_notice": "enactment notice",
+    "regulation": "(^|[^a-z])regulations?([^a-z]|$)",
+    "law": "(^|[^a-z])law no",
+}
+
+
+@query(f"""WITH {_QUESTIONS}, k AS (SELECT o_orderkey, t, string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+') AS words FROM (SELECT o_orderkey, regexp_replace(regexp_replace(t, '[_-]+', ' ', 'g'), '[ \\t]+', ' ', 'g') AS t FROM q)),
+  n AS (SELECT o_orderkey, {", ".join(f"{_hints(kind)} + CASE WHEN regexp_matches(t, '{_STRONG[kind]}') THEN 4 ELSE 0 END AS n_{kind}" for kind in references.HINTS)} FROM k),
+  b AS (SELECT o_orderkey, list_max([[n_case, 1], [n_regulation, 2], [n_law, 3], [n_enactment_notice, 4]]) AS best FROM n)
+  SELECT o_orderkey, CASE WHEN best[1] = 0 THEN 'other' ELSE ['case', 'regulation', 'law', 'enactment_notice'][best[2]] END AS doc_type, CASE WHEN best[1] = 0 THEN 0.2 ELSE round(least(0.95, 0.30 + best[1] * 0.12), 9) END::DOUBLE AS confidence FROM b""")
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark, sf_dir).select("o_orderkey", *(c.alias(n) for n, c in references.document_type(F.lit(""), F.col("question")).items()))
+    found = references.document_type(F.lit(""), F.col("question"))
+    return questions(spark, sf_dir).select("o_orderkey", found["doc_type"].alias("doc_type"), F.round(found["confidence"], 9).cast("double").alias("confidence"))
 
 
 @query("""SELECT l_orderkey AS question_id, CASE WHEN min(l_tax) = max(l_tax) THEN min(l_tax) END AS answer, min(l_tax) <> max(l_tax) AS abstained, count(l_tax) AS considered FROM lineitem GROUP BY 1""")
@@ -100,10 +149,15 @@ def reranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.rerank(rows, "question_id", "page", "score", {"exact_identifier": "hit", "current_version": "current", "article": "art"}, ("l_linenumber",)).select("question_id", "page", "boosted_score", "place")
 
 
-@query()
+@query("""WITH r AS (SELECT l_orderkey AS question_id, 'p' || l_suppkey % 7 AS page, l_discount AS score, unnest([l_returnflag, l_linestatus, l_linenumber::VARCHAR]) AS word, l_quantity > 45 AS exact FROM lineitem),
+  p AS (SELECT question_id, page, max(score) AS best, list(DISTINCT word) AS words, max(exact::INT) AS exact FROM r GROUP BY 1, 2),
+  a AS (SELECT *, best + 0.25 * len(words) + 0.45 * exact AS gain, row_number() OVER (PARTITION BY question_id ORDER BY best + 0.25 * len(words) + 0.45 * exact DESC, best DESC, page) AS place FROM p),
+  b AS (SELECT x.question_id, x.page, x.best, x.best + 0.25 * (len(x.words) - len(list_intersect(x.words, f.words))) + 0.45 * x.exact AS gain FROM a x JOIN a f ON f.question_id = x.question_id AND f.place = 1 WHERE x.place > 1),
+  c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY gain DESC, best DESC, page) AS turn FROM b)
+  SELECT question_id, page, 1 AS place, round(gain, 9) AS gain FROM a WHERE place = 1 UNION ALL SELECT question_id, page, 2, round(gain, 9) FROM c WHERE turn = 1""")
 def evidence_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.concat(F.lit("p"), F.col("l_suppkey") % 7).alias("page"), F.col("l_discount").alias("score"), F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("keywords"), (F.col("l_quantity") > 45).alias("exact"))
-    return answers.evidence_cover(refs, "question_id", "page", "score", "keywords", "exact", 2)
+    return answers.evidence_cover(refs, "question_id", "page", "score", "keywords", "exact", 2).withColumn("gain", F.round("gain", 9))
 
 
 _LINES = "src AS (SELECT l_orderkey AS question_id, l_linenumber AS i, CASE WHEN l_linenumber = 3 THEN '' WHEN l_linenumber = 4 THEN 'bad id' WHEN l_linenumber = 5 THEN 'doc_9' ELSE 'doc_' || l_linenumber END AS source_page_id, CASE WHEN l_linenumber = 6 THEN NULL ELSE 'doc' END AS pdf_id, l_linenumber AS page_num, l_returnflag <> 'N' AS used FROM lineitem)"

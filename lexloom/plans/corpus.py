@@ -97,10 +97,10 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.merge_by_key(old, new, ["c_custkey"])
 
 
-@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.075)")
 def missing_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
-    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").join(done, "s_suppkey", "left_anti").select("s_suppkey", "s_nationkey")
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_tax > 0.075").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    return table(spark, sf_dir, "supplier").join(done, "s_suppkey", "left_anti").select("s_suppkey", "s_nationkey")
 
 
 @query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
