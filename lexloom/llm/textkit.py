@@ -10,10 +10,8 @@ import numpy as np
 _KIND = np.zeros(256, dtype=bool)
 _KIND[[32, 9, 10, 11, 12, 13]] = True
 _RANDOM = np.random.RandomState(20240229)
-_BYTE = _RANDOM.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _LANES = (_RANDOM.randint(0, 2**63, 8, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,18 +25,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        out = []
-        for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
-            a = np.full(n, base, dtype=np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        _powers = (out[0], out[1])
-    return _powers
+_PLACES = 64
+#: A random value for each byte at each of the first places of a word; bytes at later places are mixed with their place.
+_TABLE = _RANDOM.randint(0, 2**63, _PLACES * 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + _RANDOM.randint(0, 2, _PLACES * 256).astype(np.uint64)
 
 
 class Words:
@@ -56,9 +45,16 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
 
     def hashes(self) -> np.ndarray:
-        forward, back = _power(len(self.raw) + 1)
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[self.raw] * forward[: len(self.raw)], dtype=np.uint64)])
-        return mix((total[self.end] - total[self.start]) * back[self.start])
+        """A hash of each word: the sum of values that depend on byte and place alike, so that no pattern of letters cancels out."""
+        opening = np.zeros(len(self.raw), dtype=np.int64)
+        opening[self.start] = self.start
+        place = np.arange(len(self.raw)) - np.maximum.accumulate(opening)
+        far = np.flatnonzero(place >= _PLACES)
+        value = _TABLE[np.minimum(place, _PLACES - 1) * 256 + self.raw]
+        if len(far):
+            value[far] = mix((place[far].astype(np.uint64) << np.uint64(8)) + self.raw[far] + np.uint64(_MULTIPLIER))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value, dtype=np.uint64)])
+        return mix(total[self.end] - total[self.start])
 
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:

@@ -706,6 +706,20 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(60)) and 5000 not in got
 
 
+def test_words_of_repeating_patterns_do_not_collide(spark):
+    """The two Thue-Morse words of 1,024 letters, which differ in every letter, and words beyond the table's places."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, "x" * 100 + "ab", "x" * 100 + "ba", "ab", "ba", "a", "", " ab", "AB"]
+    found = textkit.shingle_sets(texts)
+    names = [tuple(x.tolist()) for x in found]
+    assert len(set(names)) == 8 and names[4] == names[8] == names[9]
+    frame = spark.createDataFrame(list(enumerate(texts[:2])), "doc_id long, text string")
+    assert sorted(r.component_id for r in jaccard_join.link(frame).collect()) == [0, 1]
+
+
 def test_shingle_sets_follow_the_definition():
     texts = ["A b C d e f", "a B c D e F", "a b c d e", "a b", "A  B", "", " ", "a b c d e f a b c d e f", "É é x y z"]
     assert [len(s) for s in textkit.shingle_sets(texts)] == [len(sets_of(t)) for t in texts]
