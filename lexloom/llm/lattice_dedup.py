@@ -82,6 +82,8 @@ class Lattice:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    # the largest component first, so that no square overflows or vanishes
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True, initial=0)
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 

@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -315,8 +316,12 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def both(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The base spans, and those of `more` that meet none of them."""
-    return sorted(base + [s for s in more if not any(s[0] < b[2] and b[0] < s[2] for b in base)]) if more else base
+    """The base spans (by start), and those of `more` that meet none of them: none that begins before their end reaches beyond their start."""
+    if not more:
+        return base
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    upto = [bisect_left(starts, s[2]) for s in more]
+    return sorted(base + [s for s, k in zip(more, upto, strict=True) if not k or reach[k - 1] <= s[0]])
 
 
 def scanner(field: Field):

@@ -284,6 +284,20 @@ def test_lattice_links_against_brute_force(spark):
     assert lattice_dedup.link(frame.limit(0)).count() == 0
 
 
+def test_links_of_very_large_and_small_doubles(spark):
+    rows = [(1, [1e200] * 8), (2, [1e200] * 8), (3, [1e-200] * 8), (4, [1.0] * 8), (5, [1e308] * 8), (6, [5e-324] * 8), (7, [1e308, -1e308] * 4)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {k: (5, 1) for k in range(1, 7)} | {7: (0, 7)}
+
+
+def test_spans_are_merged_as_by_pairs():
+    r = np.random.RandomState(5)
+    for _ in range(300):
+        made = [sorted((int(a), int(k), int(a + n)) for a, k, n in zip(r.randint(0, 60, m), r.randint(0, 4, m), r.randint(1, 9, m), strict=True)) for m in r.randint(0, 9, 2)]
+        base, more = made
+        assert pii.both(base, more) == sorted(base + [s for s in more if not any(s[0] < b[2] and b[0] < s[2] for b in base)])
+
+
 def test_e8_decoder_finds_the_nearest_point():
     r = np.random.RandomState(2)
     x = r.standard_normal((200, 8))
