@@ -40,6 +40,7 @@ from .textkit import mix, shingle_sets
 
 LEAF, FANOUT, GROUP_BITS, FINE_BITS = 8, 8, 9, 13
 BLOCK, PAIR_BLOCK = 1024, 256  # members of a bucket, and of a family of candidate pairs, in one side of a cell
+NAMES = 100_000  # sets or pairs that a task remembers so as not to send them twice; beyond that it begins anew
 PARTNERS = 4  # of a member in a cell, in the first search
 FINE_BLOCK, TEXT_BLOCK = 4_000_000, 500_000  # shingles in one side of a cell
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 2, 16, 200_000, 2_000
@@ -131,6 +132,8 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
             for doc_id, text_hash, own in zip(part["doc_id"], part["text_hash"], shingle_sets(part["text"], words), strict=True):
                 sid, check = name_of(own)
                 if sid not in seen:
+                    if len(seen) >= NAMES:
+                        seen.clear()
                     seen.add(sid)
                     held.append(own)
                     size += len(own)
@@ -165,6 +168,8 @@ def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray,
                 sid, _ = name_of(own)
                 if sid in seen:
                     continue
+                if len(seen) >= NAMES:
+                    seen.clear()
                 seen.add(sid)
                 n = len(own)
                 take = n - int(np.ceil(threshold * n - 1e-9)) + 1
@@ -466,7 +471,7 @@ def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float,
                         d = int(ids[i])
                         found.update((min(d, o), max(d, o)) for o in ids[hit].tolist())
             found -= seen
-            if len(seen) + len(found) > 500_000:
+            if len(seen) + len(found) > NAMES:
                 seen = set()
             seen |= found
             yield arrays(crossing, [*([p[k] for p in found] for k in range(2)), None])
