@@ -46,14 +46,24 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A hash of each word: the sum of values that depend on byte and place alike, so that no pattern of letters cancels out."""
-        opening = np.zeros(len(self.raw), dtype=np.int64)
+        size = len(self.raw)
+        # one 32-bit array for the places in words and then the table's entries; all steps in place
+        opening = np.zeros(size, dtype=np.int32)
         opening[self.start] = self.start
-        place = np.arange(len(self.raw)) - np.maximum.accumulate(opening)
-        far = np.flatnonzero(place >= _PLACES)
-        value = _TABLE[np.minimum(place, _PLACES - 1) * 256 + self.raw]
-        if len(far):
-            value[far] = mix((place[far].astype(np.uint64) << np.uint64(8)) + self.raw[far] + np.uint64(_MULTIPLIER))
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value, dtype=np.uint64)])
+        np.maximum.accumulate(opening, out=opening)
+        entry = np.arange(size, dtype=np.int32)
+        entry -= opening
+        del opening
+        far = np.flatnonzero(entry >= _PLACES)
+        beyond = (entry[far].astype(np.uint64) << np.uint64(8)) + self.raw[far] + np.uint64(_MULTIPLIER)
+        np.minimum(entry, _PLACES - 1, out=entry)
+        entry <<= 8
+        entry += self.raw
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.take(_TABLE, entry, out=total[1:], mode="clip")
+        del entry
+        total[1:][far] = mix(beyond)
+        np.cumsum(total, out=total)
         return mix(total[self.end] - total[self.start])
 
 
