@@ -63,7 +63,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_
             size += len(x)
         if batch.num_rows:
             yield {n: v[start:] for n, v in columns.items()}
-    pa.default_memory_pool().release_unused()  # workers outlive tasks
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -94,4 +93,3 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
     if held:
         rest = pa.concat_tables(held)
         yield rest, [0, *marks(rest).tolist(), rest.num_rows]
-    pa.default_memory_pool().release_unused()  # workers outlive tasks
