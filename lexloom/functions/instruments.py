@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, slug
+from .text import collapsed, once, slug
 
 # --- fixed values: words that open a title, kinds of instruments, cues of dimensions and operators -------------------------------------
 TITLE_OPENINGS = (r"(?i)^(?:what|which|was|is|are|do|does|did|how|when|can|could|would|should) ", "(?i)^(?:the|a|an) ", "(?i)^(?:and|or) ")
@@ -41,8 +41,8 @@ def _holds(text: Column, cues: tuple[str, ...]) -> Column:
 
 
 def instrument_type(kind: Column) -> Column:
-    k = F.lower(collapsed(kind))
-    return F.when(k.isin("law", "laws"), "law").when(k.isin("regulation", "regulations"), "regulation").when(k.contains("notice"), "enactment_notice").otherwise("other")
+    named = lambda k: F.when(k.isin("law", "laws"), "law").when(k.isin("regulation", "regulations"), "regulation").when(k.contains("notice"), "enactment_notice").otherwise("other")
+    return once(F.lower(collapsed(kind)), named)
 
 
 def clean_title(title: Column) -> Column:
@@ -52,33 +52,48 @@ def clean_title(title: Column) -> Column:
 
 def instrument_identifier(kind: Column, title: Column, number: Column, year: Column) -> Column:
     """kind_no_number_of_year for a law, regulation or notice; else the title's words with what there is; empty without any."""
-    some = lambda c: F.nullif(collapsed(c), F.lit(""))
     name = F.element_at(F.create_map(*(F.lit(x) for pair in NUMBERED.items() for x in pair)), kind)
-    n, y, t = some(number), some(year), F.nullif(slug(clean_title(title)), F.lit(""))
-    dated = lambda head: F.concat(head, F.lit("_no_"), n, F.coalesce(F.concat(F.lit("_of_"), y), F.lit("")))
-    return F.coalesce(dated(name), dated(t), F.when(t.isNotNull(), F.concat_ws("_", t, y)), F.lit(""))
+    some = lambda c: F.when(c != "", c)
+
+    def identifier(x: Column) -> Column:
+        n, y = some(x["n"]), some(x["y"])
+        dated = lambda head: F.concat(head, F.lit("_no_"), n, F.coalesce(F.concat(F.lit("_of_"), y), F.lit("")))
+        # the title is looked at only where the kind and the number don't name the instrument
+        titled = once(slug(clean_title(title)), lambda t: F.when(t != "", F.coalesce(dated(t), F.concat_ws("_", t, y))))
+        return F.coalesce(dated(x["name"]), titled, F.lit(""))
+
+    return once(F.struct(name.alias("name"), collapsed(number).alias("n"), collapsed(year).alias("y")), identifier)
 
 
 def compare_dimensions(question: Column) -> Column:
     """What a question compares, in the order of DIMENSIONS; a question that only says that it compares asks for titles."""
-    q = F.lower(collapsed(question))
-    found = [F.when(_holds(q, cues), name) for name, cues in DIMENSIONS.items()]
-    named = F.array_compact(F.array(*found, F.when(q.rlike(OPEN_SET), "condition_satisfaction")))
-    return F.when((F.size(named) == 0) & _holds(q, COMPARING), F.array(F.lit("title_full"))).otherwise(named)
+
+    def named(q: Column) -> Column:
+        found = [F.when(_holds(q, cues), name) for name, cues in DIMENSIONS.items()]
+        every = F.array_compact(F.array(*found, F.when(q.rlike(OPEN_SET), "condition_satisfaction")))
+        return once(every, lambda x: F.when((F.size(x) == 0) & _holds(q, COMPARING), F.array(F.lit("title_full"))).otherwise(x))
+
+    return once(F.lower(collapsed(question)), named)
 
 
 def open_set(question: Column) -> Column:
-    q = F.lower(collapsed(question))
+    return once(F.lower(collapsed(question)), _open)
+
+
+def _open(q: Column) -> Column:
     return q.rlike(OPEN_SET) | q.contains("among these laws")
 
 
 def compare_operator(question: Column, dimensions: Column) -> Column:
     """How a question compares: by the first cue, an open set of laws before all."""
-    q = F.lower(collapsed(question))
-    out = F.lit("unknown")
-    for name, cues in reversed(OPERATORS):
-        out = F.when(_holds(q, cues), name).otherwise(out)
-    return F.when(open_set(question) | F.array_contains(dimensions, "condition_satisfaction"), "which_satisfy_condition").otherwise(out)
+
+    def operator(q: Column) -> Column:
+        out = F.lit("unknown")
+        for name, cues in reversed(OPERATORS):
+            out = F.when(_holds(q, cues), name).otherwise(out)
+        return F.when(_open(q) | F.array_contains(dimensions, "condition_satisfaction"), "which_satisfy_condition").otherwise(out)
+
+    return once(F.lower(collapsed(question)), operator)
 
 
 def feature_term(question: Column) -> Column:

@@ -121,3 +121,36 @@ def test_the_first_of_equal_anchors_wins(spark):
     c = spark.createDataFrame([(1, "law", "1", "2004", "T Law", None), (1, "memo", None, None, None, None), (2, "law", "3", None, "T", "x")], "q long, kind string, number string, year string, title string, text string")
     got = {tuple(r) for r in compare.annotate(c, a, "q").select("q", "points", "instrument", "label").collect()}
     assert got == {(1, 5, "id0", "id0"), (1, 0, "", ""), (2, 0, "law_no_3", "T")}
+
+
+def test_lines_are_read_once_and_move_once_without_copies_of_anchors(spark):
+    from lexloom.plans.registry import QUERIES
+
+    for name in ("anchored_instruments", "instrument_comparisons"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet [l_orderkey") == 1 and "sequence" not in plan and "__salt" not in plan
+        # a text is made above the window, after the lines have moved
+        assert plan.index("Registrar") < plan.index("Window")
+
+
+def test_one_pass_gathers_what_matrix_and_satisfying_find(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, "a", "A", None, True, False), (1, 2, "a", "B", "x", False, True), (1, 3, "b", "C", "y", True, True), (1, 4, "", "D", "z", True, True), (1, 5, "c", "E", "w", False, True), (2, None, "", None, None, None, None)],
+        "q long, place int, instrument string, label string, v string, t1 boolean, t2 boolean",
+    )
+    asked = F.struct(F.array(F.lit("title_full"), F.lit("schedule_presence")).alias("dimensions"), F.array(F.lit("b"), F.lit("a")).alias("order")).alias("asked")
+    values = {"title_full": F.col("v"), "schedule_presence": F.lit("true")}
+    got = {r.q: r for r in compare.gathered(rows.select("*", asked), "asked", values, [F.col("t1"), F.col("t2")], "q", "place").collect()}
+    assert [tuple(c) for c in got[1].cells] == [(1, "C", "y"), (2, "B", "x")] and [tuple(m) for m in got[1].met] == [(1, "A"), (3, "C")]
+    assert got[2].cells == [] and got[2].met == [] and got[2].order == ["b", "a"]
+    found = {(r.instrument, r.label, r.value) for r in compare.matrix(rows.select("*", F.array(F.lit("title_full")).alias("dimensions")), {"title_full": F.col("v")}, "q", "place").collect()}
+    assert found == {("a", "B", "x"), ("b", "C", "y"), ("c", "E", "w")}
+
+
+def test_white_space_is_collapsed_as_before(spark):
+    from lexloom.functions.text import SPACES, collapsed
+
+    texts = ["a b", "  a", "a\tb", "a   b", "a b", " a ", "a\x1cb \x85", " ", "", "\n", "a  b c", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    before = F.btrim(F.regexp_replace(F.coalesce("t", F.lit("")), SPACES + "+", " "))
+    assert all(r[0] == r[1] for r in frame.select(collapsed(F.col("t")), before).collect())
