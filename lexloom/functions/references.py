@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, iso_date
+from .text import collapsed, iso_date, once
 
 # --- fixed values: the patterns of each kind of reference, English and Russian ------------------------------------------------------
 DATE = r"(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|(?:19|20)[0-9]{2})"
@@ -43,8 +43,9 @@ STRONG_CASE = r"^(?:CA|CFI|DEC|ARB|ENF)(?: \d{1,4}/|-\d{1,4}-)(?:19|20)\d{2}(?:/
 def ordered_distinct(values: Column, most: int) -> Column:
     """First occurrences in order, whatever their case; inner white space is collapsed, empty ones fall away."""
     clean = F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != "")
-    low = F.transform(clean, lambda v: F.lower(v))
-    return F.slice(F.filter(clean, lambda v, i: F.array_position(low, F.lower(v)) == i + 1), 1, most)
+    # bound once: inside the filter the whole search would be made again for every value
+    first = lambda x: F.filter(x["clean"], lambda v, i: F.array_position(x["low"], F.lower(v)) == i + 1)
+    return once(clean, lambda c: F.slice(once(F.struct(c.alias("clean"), F.transform(c, F.lower).alias("low")), first), 1, most))
 
 
 def references(text: Column, most: int = 24) -> dict[str, Column]:

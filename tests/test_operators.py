@@ -128,3 +128,13 @@ def test_empty_tables(spark):
     assert evaluation.value_report(rows, "k", "v", "tags").count() == 0
     assert evaluation.compare_runs(rows, rows, "id", "v").count() == 0
     assert chunking.sized(rows.withColumnRenamed("k", "t"), "id", "t").count() == 0
+
+
+def test_values_are_searched_once_however_many_there_are(spark):
+    from lexloom.functions.references import ordered_distinct
+
+    frame = spark.createDataFrame([(["B", "a  b", "", "b", "A B", "c"],), ([],), (None,)], "v array<string>")
+    assert [r[0] for r in frame.select(ordered_distinct(F.col("v"), 2)).collect()] == [["B", "a b"], [], None]
+    found = F.regexp_extract_all(F.lit("x"), F.lit("(y)"), 1)
+    plan = frame.select(ordered_distinct(F.concat("v", found), 9).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
