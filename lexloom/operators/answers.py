@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 #: fixed values: what each structural match adds to a candidate's score
 BOOSTS = {"exact_identifier": 0.35, "current_version": 0.06, "lineage": 0.15, "article": 0.2, "law_number": 0.15, "law_year": 0.08, "law_title": 0.12, "doc_type": 0.05, "case_number": 0.2, "structural": 0.5}
 
@@ -62,11 +64,14 @@ def evidence_cover(refs: DataFrame, question: str, page: str, score: str, keywor
     def step(acc: Column, turn: Column) -> Column:
         gain = lambda p: p["best"] + 0.25 * F.size(F.array_intersect(p["words"], acc["open"])) + 0.45 * F.coalesce(p["exact"], F.lit(0))
         # the least of (-gain, -score, page) is the best page
-        best = F.array_min(F.transform(acc["left"], lambda p: F.struct((-gain(p)).alias("gain"), (-p["best"]).alias("best"), p["page"].alias("page"), p["words"].alias("words"))))
-        more = F.array(F.struct(best["page"].alias("page"), turn.alias("place"), (-best["gain"]).alias("gain"))).cast(picked)
-        return F.when(F.size(acc["left"]) == 0, acc).otherwise(
-            F.struct(F.filter(acc["left"], lambda p: p["page"] != best["page"]).alias("left"), F.array_except(acc["open"], best["words"]).alias("open"), F.concat(acc["out"], more).alias("out"))
-        )
+        every = F.array_min(F.transform(acc["left"], lambda p: F.struct((-gain(p)).alias("gain"), (-p["best"]).alias("best"), p["page"].alias("page"), p["words"].alias("words"))))
+
+        def picks(best: Column) -> Column:
+            more = F.array(F.struct(best["page"].alias("page"), turn.alias("place"), (-best["gain"]).alias("gain"))).cast(picked)
+            return F.struct(F.filter(acc["left"], lambda p: p["page"] != best["page"]).alias("left"), F.array_except(acc["open"], best["words"]).alias("open"), F.concat(acc["out"], more).alias("out"))
+
+        # the best page is bound once: named inside the filter it would be sought again for every page
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(once(every, picks))
 
     every = F.array_distinct(F.flatten(F.transform("left", lambda p: p["words"])))
     start = F.struct(F.col("left").alias("left"), every.alias("open"), F.array().cast(picked).alias("out"))

@@ -85,3 +85,12 @@ def test_keyed_writes_and_submissions(spark, tmp_path):
     rows = spark.createDataFrame([("q1", "x", ["p_1", "p_1"])], "q string, a string, p array<string>")
     writers.submission(rows, str(tmp_path / "s"), "q", "a", "p")
     assert spark.read.json(str(tmp_path / "s")).first().pages == ["p_1"]
+
+
+def test_the_best_page_is_sought_once_a_turn(spark):
+    from lexloom.operators.answers import evidence_cover
+
+    rows = [(1, "a", 0.5, ["x", "y"], False), (1, "b", 0.5, ["x", "y"], False), (1, "c", 0.1, ["z"], True), (2, "a", 0.2, [], False)]
+    found = evidence_cover(spark.createDataFrame(rows, "q int, page string, s double, k array<string>, e boolean"), "q", "page", "s", "k", "e")
+    assert {(r.q, r.page, r.place, round(r.gain, 6)) for r in found.collect()} == {(1, "a", 1, 1.0), (1, "c", 2, 0.8), (2, "a", 1, 0.2)}
+    assert found._jdf.queryExecution().analyzed().toString().count("array_min(") == 1
