@@ -109,3 +109,14 @@ def test_triage_of_a_sound_and_a_failed_question(spark):
     assert got[1] == (["route_error", "contract_or_telemetry_error", "retrieval_error", "answerable_vs_abstain_conflict", "history_or_version_conflict", "compare_dimension_conflict", "case_identity_conflict"], 100 + 90 + 80 + 70 + 65 + 60 + 55 + 10, "critical", "review_high")
     assert got[2] == ([], 0, "low", "expected_negative")
     assert got[3] == (["wrong_sources"], 85, "medium", "review")
+
+
+def test_a_quality_struct_reads_its_text_once(spark):
+    from lexloom.functions import text
+
+    frame = spark.createDataFrame([(" x y ",)], "t string")
+    plan = frame.select(text.quality(F.col("t")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    # the trim at the ends, and the patterns of words, stand in it once or twice, not once for every feature
+    assert plan.count("regexp_replace(coalesce(t") == 1 and plan.count("FlateDecode") == 1
+    r = frame.select(text.quality(F.col("t")).alias("q")).select("q.*").first()
+    assert (r.score, r.low_quality, r.single_letter_ratio) == (0.0, True, 1.0)
