@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +52,27 @@ def rest_bucket(column: str = "doc_id"):
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[dict[str, list]]:
-    """Columns of the batches as lists, in slices of about `most` characters (a longer text stands alone); null texts become empty."""
+    """Columns of the batches as lists, in slices of about `most` characters (a longer text stands alone); null texts become empty.
+
+    Only a slice at a time is made into lists: a batch of 10,000 long texts stays in Arrow's memory alone.
+    """
     for batch in batches:
-        columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-        columns[text] = [x or "" for x in columns[text]]
-        start = size = 0
-        for k, x in enumerate(columns[text]):
-            if k > start and size + len(x) > most:
-                yield {n: v[start:k] for n, v in columns.items()}
-                start, size = k, 0
-            size += len(x)
-        if batch.num_rows:
-            yield {n: v[start:] for n, v in columns.items()}
+        for part in slices(batch, batch.column(batch.schema.names.index(text)), most):
+            columns = part.to_pydict()
+            columns[text] = [x or "" for x in columns[text]]
+            yield columns
+
+
+def slices(rows: pa.RecordBatch | pa.Array, texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.RecordBatch | pa.Array]:
+    """The rows in slices of about `most` characters of their texts, without copies."""
+    start = size = 0
+    for k, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        if k > start and size + n > most:
+            yield rows.slice(start, k - start)
+            start, size = k, 0
+        size += n
+    if len(texts):
+        yield rows.slice(start)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:

@@ -252,11 +252,11 @@ def buckets(threshold: float):
                 named = np.where(salt[start] > 0, k[start], mix(total + size.astype(np.uint64)).view(np.int64))
                 new = np.array([bool(b) and (s > 0 or x not in lists) for b, s, x in zip(big, salt[start], named.tolist(), strict=True)])
                 lists.update(named[new & (salt[start] == 0)].tolist())
-                if len(lists) > 1_000_000:
+                if len(lists) > NAMES:
                     lists = set()
                 own = new[each]
                 yield arrays(FOUND, [["member"] * int(own.sum()), sid[own], named[each[own]], n[own], None, None, None])
-            if held > 1_000_000:
+            if held > 500_000:
                 yield from flush()
         yield from flush()
 

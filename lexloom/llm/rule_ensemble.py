@@ -17,12 +17,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, slices
 from .textkit import Words
 
 STATISTICS = ("words", "chars_per_word", "upper", "digits", "stops", "symbols", "bars", "marks", "repeats", "distinct", "words_per_line", "joined")
@@ -83,16 +82,11 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def measured(docs: DataFrame, name: str = "__statistics", text_col: str = "text") -> DataFrame:
     """docs with a struct of STATISTICS; the other columns stay as they are."""
 
-    @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
-    def run(column: pd.Series) -> pd.DataFrame:
-        texts = [x if isinstance(x, str) else "" for x in column]
-        parts, start, size = [], 0, 0
-        for k, x in enumerate(texts):
-            if k > start and size + len(x) > 1_000_000:
-                parts.append(measure(texts[start:k]))
-                start, size = k, 0
-            size += len(x)
-        return pd.DataFrame(np.concatenate([*parts, measure(texts[start:])]), columns=list(STATISTICS))
+    @F.arrow_udf(", ".join(f"{s} double" for s in STATISTICS))
+    def run(column: pa.Array) -> pa.Array:
+        parts = [measure([x or "" for x in part.to_pylist()]) for part in slices(column, column)]
+        m = np.concatenate([np.zeros((0, len(STATISTICS))), *parts])
+        return pa.StructArray.from_arrays([pa.array(m[:, k]) for k in range(m.shape[1])], names=list(STATISTICS))
 
     return docs.withColumn(name, run(F.col(text_col)))
 

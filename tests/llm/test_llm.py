@@ -1,11 +1,13 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -760,3 +762,19 @@ def test_pipeline_stages(spark):
             assert all(r.n_chars == len(r.text) for r in frame.collect())
     assert sizes[0] < docs.count() and sizes[1] < sizes[0] and sizes[1] == sizes[2] == sizes[3]
     check_packing(frame, corpus_pipeline.STAGES[-1][1](spark, frame, DATA))
+
+
+def test_chunks_make_lists_of_a_slice_at_a_time():
+    from lexloom.llm.common import chunks
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "text": ["aa", None, "bbb", "é" * 9, "", "cc"]})
+    parts = list(chunks(iter([batch, batch.slice(0, 0)]), most=5))
+    assert [(p["k"], p["text"]) for p in parts] == [([0, 1, 2], ["aa", "", "bbb"]), ([3], ["é" * 9]), ([4, 5], ["", "cc"])]
+    whole = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 10_000})
+    held = []
+    tracemalloc.start()
+    for part in chunks(iter([whole]), most=100_000):
+        held.append(tracemalloc.get_traced_memory()[0])
+        assert len(part["text"]) == 100
+    tracemalloc.stop()
+    assert max(held) < 3_000_000, "the lists of a whole batch of ten megabytes were held"
