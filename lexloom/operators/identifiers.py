@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed
+from .best import Trie, best, flat
 from .joins import spread_join
 from .search import holding
 
@@ -31,12 +34,16 @@ def normal(value: Column, kind: str) -> Column:
     return F.upper(flat) if kind == "case_number" else F.lower(flat)
 
 
-def listed(rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """(key, kind, value) of arrays of values by kind; blank values fall away, each is listed once."""
+def gathered(values: dict[str, Column]) -> Column:
+    """An array of (kind, value) of arrays of values by kind; blank values fall away, each is there once."""
     clean = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), normal(x, kind).alias("value")))
     every = F.flatten(F.array(*(F.coalesce(clean(k, c), F.array().cast("array<struct<kind: string, value: string>>")) for k, c in values.items())))
-    kept = F.array_distinct(F.filter(every, lambda x: x["value"] != ""))
-    return rows.select(key, F.explode(kept).alias("x")).select(key, "x.kind", "x.value")
+    return F.array_distinct(F.filter(every, lambda x: x["value"] != ""))
+
+
+def listed(rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """(key, kind, value) of arrays of values by kind; blank values fall away, each is listed once."""
+    return rows.select(key, F.explode(gathered(values)).alias("x")).select(key, "x.kind", "x.value")
 
 
 def chunk_values(article_number: Column, article_refs: Column, text: Column, heading_path: Column, own: dict[str, Column]) -> dict[str, Column]:
@@ -81,6 +88,43 @@ def matches(asked: DataFrame, held: DataFrame, question: str, chunk: str, weak:
     return both.select(question, chunk, F.col("flags").bitwiseOR(F.coalesce(more, F.lit(0))).alias("flags"))
 
 
+def best_matches(asked: DataFrame, held: DataFrame, question: str, chunk: str, values: str, k: int, weak: tuple[str, ...] = WEAK) -> DataFrame:
+    """Those (question, chunk, flags) of `matches` that hold every question's k chunks with most flags, then by chunk; no pair of the others becomes a row.
+
+    Both sides have `values` as arrays from `gathered`. A pair's flags are found kind by kind in a block's matrix; chunks are unique, titles are not weak.
+    """
+    strong = sum(BIT[x] for x in KINDS if x not in weak)
+
+    def prepare(lists: pa.ListArray) -> tuple:
+        words, word, row = flat(lists)
+        counts = np.zeros((len(words), len(lists)), dtype=np.float32)
+        counts[word, row] = 1
+        kind, value = zip(*(w.split(":", 1) for w in words), strict=True) if words else ((), ())
+        of = {x: np.flatnonzero(np.array(kind) == x) for x in dict.fromkeys(kind)}
+        return {w: i for i, w in enumerate(words)}, counts, of, Trie([value[i] for i in of.get("law_title", ())])
+
+    def measure(state: tuple, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        number, counts, of, titles = state
+        words, word, row = flat(lists)
+        own = np.zeros((len(words), len(number)), dtype=np.float32)  # the asked values that each distinct value stands for
+        titled = [i for i, w in enumerate(words) if w.startswith("law_title:")]
+        if titled and "law_title" in of:
+            own[np.ix_(titled, of["law_title"])] = titles.held([words[i].split(":", 1)[1] for i in titled])
+        for i, w in enumerate(words):
+            if w in number and not w.startswith("law_title:"):
+                own[i, number[w]] = 1
+        have = np.zeros((len(lists), len(words)), dtype=np.float32)
+        have[row, word] = 1
+        have = have @ own
+        flags = np.zeros((len(lists), counts.shape[1]), dtype=np.int64)
+        for x, at in of.items():
+            flags |= np.where(have[:, at] @ counts[at] > 0, BIT[x], 0)
+        return np.where(flags & strong, np.bitwise_count(flags).astype(np.float64), -1.0), flags
+
+    words = F.transform(values, lambda x: F.concat(x["kind"], F.lit(":"), x["value"])).alias("words")
+    return best(held.select(chunk, words), asked.select(question, words), chunk, question, "words", "words", k, prepare, measure, "flags long").withColumn("flags", F.col("flags").cast("int"))
+
+
 def flag(kind: str, flags: str = "flags") -> Column:
     return F.col(flags).bitwiseAND(BIT[kind]) != 0
 

@@ -154,3 +154,17 @@ def test_white_space_is_collapsed_as_before(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     before = F.btrim(F.regexp_replace(F.coalesce("t", F.lit("")), SPACES + "+", " "))
     assert all(r[0] == r[1] for r in frame.select(collapsed(F.col("t")), before).collect())
+
+
+def test_best_matches_are_the_first_of_all_matches(spark, monkeypatch):
+    monkeypatch.setattr("lexloom.operators.best.PARTS", 2)
+    one = lambda c: F.array(c.cast("string"))
+    chunks = spark.range(80).select("id", F.array("id", F.col("id") % 3).cast("array<string>").alias("a"), one(F.col("id") % 4).alias("b"), F.array(F.concat(F.lit("Fees of src"), F.col("id") % 12)).alias("t"), one(F.col("id") % 5).alias("y"))
+    asked = spark.range(9).select(F.col("id").alias("q"), one(F.col("id") % 6).alias("a"), one(F.col("id") % 2).alias("b"), F.array(F.concat(F.lit("src"), F.col("id") % 3)).alias("t"), one(F.col("id") % 5).alias("y"))
+    values = {"article": F.col("a"), "part": F.col("b"), "law_title": F.col("t"), "law_year": F.col("y")}
+    every = identifiers.matches(identifiers.listed(asked, "q", values), identifiers.listed(chunks, "id", values), "q", "id")
+    packed = lambda rows, key: rows.select(key, identifiers.gathered(values).alias("v"))
+    some = identifiers.best_matches(packed(asked, "q"), packed(chunks, "id"), "q", "id", "v", 3)
+    ranked = lambda rows: sorted((r.q, sorted((-bin(x.flags).count("1"), x.id, x.flags) for x in r.all)[:3]) for r in rows.groupBy("q").agg(F.collect_list(F.struct("flags", "id")).alias("all")).collect())
+    assert ranked(some) == ranked(every)
+    assert some.count() < every.count()
