@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PARTS = 8
+
+
 def fallback_levels(questions: DataFrame, key: str, levels: list[DataFrame]) -> DataFrame:
     """Rows of each question's first level that has any; a level is a table with the question's key."""
     tagged = None
@@ -54,7 +57,12 @@ def import_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def page_violations(rows: DataFrame, key: str, page: str, order: list[str]) -> DataFrame:
-    """(key, issue) of the keys whose pages, in order, hold numbers under 1, repeat, or don't rise. No key's pages are gathered: repeats are counted by page."""
+    """(key, issue) of the keys whose pages, in order, hold numbers under 1, repeat, or don't rise. No key's pages are gathered: repeats are counted by page.
+
+    The tasks follow the input: PARTS for each of its splits (and no fewer than the session's shuffles have), so that what one task sorts and counts doesn't grow.
+    """
+    tasks = max(PARTS * rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, key)
     before = F.lag(page).over(Window.partitionBy(key).orderBy(*order))
     falls = rows.withColumn("__falls", F.col(page) < before).groupBy(key, page).agg(F.count("*").alias("k"), F.max("__falls").alias("falls"))
     found = falls.groupBy(key).agg(F.min(page).alias("least"), F.max("k").alias("k"), F.max("falls").alias("falls"))

@@ -120,3 +120,10 @@ def test_a_quality_struct_reads_its_text_once(spark):
     assert plan.count("regexp_replace(coalesce(t") == 1 and plan.count("FlateDecode") == 1
     r = frame.select(text.quality(F.col("t")).alias("q")).select("q.*").first()
     assert (r.score, r.low_quality, r.single_letter_ratio) == (0.0, True, 1.0)
+
+
+def test_page_violations_are_dealt_by_the_input(spark):
+    rows = spark.range(0, 4000, numPartitions=7).selectExpr("id % 900 AS q", "id AS i", "id AS p")
+    bad = rules.page_violations(rows, "q", "p", ["i"])
+    assert [tuple(r) for r in bad.collect()] == [(0, "page_below_one")]
+    assert "hashpartitioning(q#" in (plan := bad._jdf.queryExecution().executedPlan().toString()) and f", {7 * rules.PARTS}), REPARTITION" in plan
