@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACES, collapsed
+from .text import collapsed, once
 
 # --- fixed values: words that are put together again, words that stay alone, noise, and when a line is a heading -----------------------
 SPLIT_WORDS = (
@@ -47,20 +45,16 @@ def joined_capitals(line: Column) -> Column:
 def preview_text(text: Column) -> Column:
     """The text in one line without the noise of its file: split capitals repaired, blank lines gone, a heading in capitals only once. Null is empty."""
     bare = F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x00", " "), PDF_NAMES, " "), PDF_OBJECTS, " ")
-    lines = F.transform(F.split(F.regexp_replace(bare, "\r\n?", "\n"), "\n"), lambda x: joined_capitals(F.btrim(F.regexp_replace(x, SPACES + "+", " "))))
-    letters = lambda x: F.length(F.regexp_replace(x, r"\P{L}", ""))
-    capitals = lambda x: F.length(F.regexp_replace(x, r"\P{Lu}", ""))
+    lines = F.transform(F.split(F.regexp_replace(bare, "\r\n?", "\n"), "\n"), lambda x: once(collapsed(x), joined_capitals))
+    letters = lambda x: F.length(F.regexp_replace(x, r"\P{L}+", ""))
+    capitals = lambda x: F.length(F.regexp_replace(x, r"\P{Lu}+", ""))
     key = lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z0-9]+", ""))
-    heads = lambda x, k: (F.length(k) >= HEADING_KEY) & (letters(x) >= HEADING_LETTERS) & (capitals(x) >= letters(x) * HEADING_CAPITALS)
-    mark = lambda x, i: _once(key(x), lambda k: F.struct(F.when(heads(x, k), k).alias("key"), i.alias("i"), x.alias("line")))
+    capital = lambda x: once(letters(x), lambda n: (n >= HEADING_LETTERS) & (capitals(x) >= n * HEADING_CAPITALS))
+    heads = lambda x, k: (F.length(k) >= HEADING_KEY) & capital(x)
+    mark = lambda x, i: once(key(x), lambda k: F.struct(F.when(heads(x, k), k).alias("key"), i.alias("i"), x.alias("line")))
     placed = lambda rows: F.transform(rows, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line")))
     # headings sorted by key and place: the first of each key stays
     first = lambda rows: F.filter(rows, lambda x, j: (j == 0) | (F.get(rows, j - 1)["key"] != x["key"]))
-    unique = lambda marked: _once(F.array_sort(F.filter(marked, lambda x: x["key"].isNotNull())), first)
-    kept = _once(F.transform(lines, mark), lambda marked: F.concat(placed(F.filter(marked, lambda x: x["key"].isNull())), placed(unique(marked))))
+    unique = lambda marked: once(F.array_sort(F.filter(marked, lambda x: x["key"].isNotNull())), first)
+    kept = once(F.transform(lines, mark), lambda marked: F.concat(placed(F.filter(marked, lambda x: x["key"].isNull())), placed(unique(marked))))
     return collapsed(F.array_join(F.transform(F.array_sort(kept), lambda x: x["line"]), " "))
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
