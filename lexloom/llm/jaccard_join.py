@@ -41,6 +41,7 @@ from .textkit import mix, shingle_sets
 LEAF, FANOUT, GROUP_BITS, FINE_BITS = 8, 8, 9, 13
 BLOCK, PAIR_BLOCK = 1024, 256  # members of a bucket, and of a family of candidate pairs, in one side of a cell
 NAMES = 100_000  # sets or pairs that a task remembers so as not to send them twice; beyond that it begins anew
+SLICE = 250_000  # characters of texts worked on at once
 PARTNERS = 4  # of a member in a cell, in the first search
 FINE_BLOCK, TEXT_BLOCK = 4_000_000, 500_000  # shingles in one side of a cell
 HEAVY_LOCAL, HEAVY_TOTAL, HEAVY_MOST, SALT_ROWS = 2, 16, 200_000, 2_000
@@ -123,11 +124,15 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
         size = 0
 
         def often() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            keep = n >= HEAVY_LOCAL
-            return arrays(SURVEY, [None, None, n[keep], None, None, None, values[keep].view(np.int64)])
-
-        for part in chunks(batches):
+            every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            every.sort()
+            # only what comes again is copied: a value met n times is n - 1 times the same as the one before
+            values, n = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+            keep = n + 1 >= HEAVY_LOCAL
+            return arrays(SURVEY, [None, None, n[keep] + 1, None, None, None, values[keep].view(np.int64)])
+
+        for part in chunks(batches, most=SLICE):
             rows = []
             for doc_id, text_hash, own in zip(part["doc_id"], part["text_hash"], shingle_sets(part["text"], words), strict=True):
                 sid, check = name_of(own)
@@ -141,7 +146,7 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
             yield arrays(SURVEY, list(zip(*rows, strict=True)))
             if size > 2_000_000:
                 yield often()
-                held, size = [], 0
+                size = 0
         yield often()
 
     return docs.mapInArrow(run, SURVEY)
@@ -160,7 +165,7 @@ def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, ranks, salts = shared.value
         seen: set[int] = set()
-        for part in chunks(batches):
+        for part in chunks(batches, most=SLICE):
             out = []
             for doc_id, own in zip(part["doc_id"], shingle_sets(part["text"], words), strict=True):
                 if doc_id is None or not len(own):

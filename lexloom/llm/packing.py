@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .tokens import word_bpe
+from .tokens import WordBpe
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -98,7 +98,8 @@ def balance(costs: list[int], groups: int) -> list[int]:
 
 def packer(path: str, tiers: tuple[int, ...], end_id: int, group_tokens: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, top = word_bpe(path), tiers[-1]
+        # the task's own: Spark's workers go on to other stages, and would keep some hundred megabytes of words
+        encoder, top = WordBpe(path), tiers[-1]
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype=np.int32)
         docs: dict[int, tuple] = {}
@@ -143,6 +144,7 @@ def packer(path: str, tiers: tuple[int, ...], end_id: int, group_tokens: int, bl
                 if held >= block_tokens:
                     yield from packed(False)
                     held = 0
+        encoder.close()
         yield from packed(True)
 
     return run

@@ -21,12 +21,11 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, slices
 from .wordcache import ChunkCache
 
 KINDS = ("email", "ip", "card", "phone")
@@ -364,11 +363,15 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
     own: list = []  # each Python worker's scanner
 
-    @F.pandas_udf("string")
-    def mask(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def mask(column: pa.Array) -> pa.Array:
         if not own:
             own.append(scanner(field))
-        values = [x if isinstance(x, str) else "" for x in column]
-        return pd.Series([None if not isinstance(x, str) else masked(v, every) if every else v for x, v, (_, every) in zip(column, values, own[0](values), strict=True)], dtype=object)
+        parts = [pa.array([], pa.string())]
+        for part in slices(column, column):
+            texts = part.to_pylist()
+            found = own[0]([x or "" for x in texts])
+            parts.append(pa.array([masked(x, every) if x and every else x for x, (_, every) in zip(texts, found, strict=True)], pa.string()))
+        return pa.concat_arrays(parts)
 
     return docs.withColumn(text_col, mask(F.col(text_col)))

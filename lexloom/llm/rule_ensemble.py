@@ -25,6 +25,7 @@ from .common import chunks, cut, slices
 from .textkit import Words
 
 STATISTICS = ("words", "chars_per_word", "upper", "digits", "stops", "symbols", "bars", "marks", "repeats", "distinct", "words_per_line", "joined")
+SLICE = 250_000  # characters of texts worked on at once
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[65:91] = 1
@@ -72,7 +73,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-        for part in chunks(batches):
+        for part in chunks(batches, most=SLICE):
             m = measure(part["text"])
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), *(pa.array(part[c], types[kinds[c]]) for c in keep), *(pa.array(m[:, k]) for k in range(m.shape[1]))], names=["doc_id", *keep, *STATISTICS])
 
@@ -84,7 +85,7 @@ def measured(docs: DataFrame, name: str = "__statistics", text_col: str = "text"
 
     @F.arrow_udf(", ".join(f"{s} double" for s in STATISTICS))
     def run(column: pa.Array) -> pa.Array:
-        parts = [measure([x or "" for x in part.to_pylist()]) for part in slices(column, column)]
+        parts = [measure([x or "" for x in part.to_pylist()]) for part in slices(column, column, SLICE)]
         m = np.concatenate([np.zeros((0, len(STATISTICS))), *parts])
         return pa.StructArray.from_arrays([pa.array(m[:, k]) for k in range(m.shape[1])], names=list(STATISTICS))
 

@@ -98,6 +98,12 @@ class WordBpe:
         known = self.chunks.get(set().union(*words)) if words else {}
         return [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype=np.int32) for w in words]
 
+    def close(self) -> None:
+        """Gives back what is remembered, and the models (the caches refer to this object, so nothing else would at once)."""
+        self.pieces.forget()
+        self.chunks.forget()
+        del self.pieces, self.chunks, self.plain, self.whole
+
 
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:

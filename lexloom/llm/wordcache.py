@@ -15,6 +15,9 @@ class ChunkCache:
     def __init__(self, fill: Callable[[list], Iterable], most: int = 60_000):
         self.fill, self.most, self.known, self.old = fill, most, {}, {}
 
+    def forget(self) -> None:
+        self.known, self.old = {}, {}
+
     def get(self, wanted: set) -> dict:
         """A dictionary that holds every wanted chunk."""
         missing = [x for x in wanted if x not in self.known]

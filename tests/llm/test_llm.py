@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
+import gc
 import re
 import tracemalloc
 import zlib
@@ -778,3 +779,41 @@ def test_chunks_make_lists_of_a_slice_at_a_time():
         assert len(part["text"]) == 100
     tracemalloc.stop()
     assert max(held) < 3_000_000, "the lists of a whole batch of ten megabytes were held"
+
+
+def test_packing_leaves_no_encoder_in_a_worker(monkeypatch):
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    tokens.word_bpe.cache_clear()
+    gc.collect()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words to remember", None]})
+    gc.disable()
+    try:
+        rows = [r for b in packing.packer(VOCAB, (256, 2048), 1, 4096, 10_000)(iter([batch])) for r in b.to_pylist()]
+        assert not [x for x in gc.get_objects() if isinstance(x, tokens.WordBpe)], "the words of a task stay in the worker"
+    finally:
+        gc.enable()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {1: len(ids_of(["some words to remember"])[0]), 2: 1}
+
+
+def test_survey_works_on_small_slices():
+    class Caught:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    dice = np.random.RandomState(5)
+    texts = [" ".join(f"w{x}" for x in dice.randint(0, 100_000, 1500)) for _ in range(300)]
+    texts += [x + " one more" for x in texts[:40]] + texts[:5]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text_hash": [0] * len(texts), "text": texts})
+    tracemalloc.start()
+    rows = []
+    for part in jaccard_join.survey(Caught, 5)(iter([batch])):
+        rows += part.select(["shingle", "n"]).filter(part.column("shingle").is_valid()).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sets = textkit.shingle_sets(texts[:340], 5)
+    met = Counter(np.concatenate(sets).view(np.int64).tolist())
+    assert {r["shingle"]: r["n"] for r in rows} == {k: n for k, n in met.items() if n > 1} and len(rows) > 50_000
+    assert peak < 20_000_000, f"{peak} bytes for three megabytes of text"
