@@ -27,14 +27,15 @@ HEADINGS = {
     "section": ("SECTION", 3, "heading", ("SCHEDULE",)),
     "schedule": ("SCHEDULE", 2, "schedule_item", ()),
 }
-ARTICLE = r"(?<![\p{L}\p{N}_(.])\d{1,3}\. [A-Z]"
+# a pattern's first sign is looked for before what lies around it, which costs more at every place of a text
+ARTICLE = r"(?=\d)(?<![\p{L}\p{N}_(.])\d{1,3}\. [A-Z]"
 TITLE_END = r" +\(\d+\) +| +An? +[A-Z][a-z]+ shall\b| +The +[A-Z][a-z]+ +is\b"
-ITEM = r"(?<!Article )(?<!Part )(?<!Schedule )(?<![\p{L}\p{N}_])\d{1,3}\. "
+ITEM = r"(?=\d)(?<!Article )(?<!Part )(?<!Schedule )(?<![\p{L}\p{N}_])\d{1,3}\. "
 CASE_NUMBER = r"(?i)\b(?:Claim|Case|Appeal) No[:.]? ?"
 ORDER_HEADING = r"(?i)\b(?:ORDER WITH REASONS|JUDGMENT|ORDER)\b"
 ORDER_MARKER = r"(?i)\bIT IS HEREBY ORDERED THAT[: ]"
 REASONS = r"(?i)\bSCHEDULE OF REASONS\b"
-MARKER_TEXT = "IT IS HEREBY ORDERED THAT"
+MARKER_TEXT, MARKER_KEY = "IT IS HEREBY ORDERED THAT", "case:operative_order"
 LEADING, SHORTEST_CAPTION, PATH, CAPTION_PATH, TITLE_CHARS = 450, 20, 80, 120, 120
 # ---------------------------------------------------------------------------------------------------------------------------------------
 
@@ -44,7 +45,7 @@ _PIECE = "array<struct<kind: string, place: int, length: int, text: string, show
 def heading_pattern(kind: str) -> str:
     word, _, _, after = HEADINGS[kind]
     ahead = "|".join([ARTICLE_AHEAD, *(f"{w} {NUMBER}" for w in after)])
-    return rf"(?i)\b({word} {NUMBER}{TITLE})(?= (?:{ahead}))"
+    return rf"(?i)(?={word[:2]})\b({word} {NUMBER}{TITLE})(?= (?:{ahead}))"
 
 
 def lineage_key(text: Column) -> Column:
@@ -70,7 +71,7 @@ def _headings(text: Column, kind: str) -> Column:
     own = lambda x: F.substring_index(x, "\t", 1)
     name = HEADINGS[kind][2]
     key = lambda x: F.concat(F.lit(f"{name}:"), lineage_key(F.substring_index(own(x), ":", 1)))
-    return F.transform(parts, lambda x, i: _piece(kind, i, F.length(x) - F.when(i > 0, 1).otherwise(0), F.when(i > 0, F.trim(own(x))), i > 0, F.lit(0), key(x)))
+    return F.transform(parts, lambda x, i: _piece(kind, i, F.length(x) - F.when(i > 0, 1).otherwise(0), F.when(i > 0, F.trim(own(x))), i > 0, F.lit(0), F.when(i > 0, key(x))))
 
 
 def _sized(text: Column, kind: str = "sized", most: int = 900, least: int = 200) -> Column:
@@ -142,8 +143,8 @@ def _case_pieces(docs: DataFrame, key: str) -> DataFrame:
         some("continued", c("opening_items"), "opening", F.lit(0), c("opening_key")),
         one("order_heading", c("heading_at").isNotNull(), c("heading_at"), c("heading"), F.lit("case:order_heading")),
         one("recital", c("marker_at") >= c("body"), recital_at, F.trim("between"), none, c("ordered")),
-        one("marker", c("order_items"), c("marker_at"), F.lit(MARKER_TEXT), F.lit("case:operative_order"), c("ordered")),
-        some("ordered", c("order_items"), "orders", c("marker_end"), F.lit("case:operative_order")),
+        one("marker", c("order_items"), c("marker_at"), F.lit(MARKER_TEXT), F.lit(MARKER_KEY), c("ordered")),
+        some("ordered", c("order_items"), "orders", c("marker_end"), F.lit(MARKER_KEY)),
         one("reasons", c("reasons_at").isNotNull(), c("reasons_at"), c("reasons"), F.lit("case:reasons_heading")),
         some("reasoned", c("why").rlike(ITEM), "why", c("reasons_end"), F.lit("case:reasons_heading")),
     )
@@ -270,15 +271,21 @@ def structural_chunks(docs: DataFrame, key: str, text: str, kind: str, rest: boo
     all chunks together hold the whole text.
     """
     typed = F.lower(F.trim(F.coalesce(F.col(kind), F.lit(""))))
-    flat = docs.select(F.col(key), collapsed(F.col(text)).alias("flat"), typed.alias("type")).where("flat <> ''")
+    # blank texts fall away by having no piece: a filter on `flat` would make every text twice
+    flat = docs.select(F.col(key), collapsed(F.col(text)).alias("flat"), typed.alias("type"))
     of = lambda types: F.col("type").isin(*types)
     rows = _law_rows(flat.where(of(LAWS)), key).unionByName(_case_rows(flat.where(of(CASES)), key)).unionByName(_other_rows(flat.where(~of(LAWS + CASES)), key))
     order = Window.partitionBy(key).orderBy("char_start", "structural_level", F.col("chunk_type") != "heading", "char_end", "chunk")
     rows = rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
     rows = rows.withColumn("prev_ordinal", F.lag("ordinal").over(order)).withColumn("next_ordinal", F.lead("ordinal").over(order))
-    # the parent's ordinal: rows meet under the key that one has and the other asks for
-    asked = rows.select(key, F.col("local_key").alias("parent_key"), "ordinal").where("parent_key IS NOT NULL").groupBy(key, "parent_key").agg(F.max("ordinal").alias("parent_ordinal"))
-    out = rows.join(asked, [key, "parent_key"], "left").select(key, *COLUMNS)
+    # the parent's ordinal: rows meet under the key that one has and the other asks for, where the text's rows are already; a join with the rows
+    # themselves would make all of them twice. Only the marker of orders has both a parent and rows below it
+    link = Window.partitionBy(key, F.coalesce("parent_key", "local_key"))
+    top = F.max(F.when(F.col("parent_key").isNull(), F.col("ordinal"))).over(link)
+    marker = F.max(F.when(F.col("local_key") == MARKER_KEY, F.col("ordinal"))).over(Window.partitionBy(key))
+    rows = rows.withColumn("marker", marker).withColumn("top", top)
+    asks = F.col("parent_key").isNotNull() & F.col(key).isNotNull()
+    out = rows.withColumn("parent_ordinal", F.when(asks, F.when(F.col("parent_key") == MARKER_KEY, F.col("marker")).otherwise(F.col("top")))).select(key, *COLUMNS)
     if not rest:
         return out
     spans = rows.select(key, "char_start", "char_end").unionByName(flat.select(key, F.length("flat").alias("char_start"), F.length("flat").alias("char_end")))

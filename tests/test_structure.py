@@ -101,3 +101,20 @@ def test_sizes_and_odd_rows(spark):
     rows = structural_chunks(frame, "id", "text", "type").collect()
     assert [(r.id, r.article_number) for r in rows] == [(None, "1")]
     assert structural_chunks(frame, "id", "text", "type").columns == ["id", *COLUMNS]
+
+
+def test_each_kind_of_text_is_read_once(spark, tmp_path):
+    texts = [
+        (1, "PART 1: Scope 1. Alpha. PART 1: Scope 3. Gamma SECTION IV 4. Delta", "law"),
+        (2, "IN THE COURT Claim No: 5 ORDER UPON x IT IS HEREBY ORDERED THAT: 1. pay 2. go SCHEDULE OF REASONS 1. why", "case"),
+        (3, " \n ", "law"),
+        (None, "PART 1: Scope 1. Alpha.", "law"),
+    ]
+    spark.createDataFrame(texts, "id long, text string, type string").write.parquet(str(tmp_path / "texts"))
+    rows = structural_chunks(spark.read.parquet(str(tmp_path / "texts")), "id", "text", "type")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and "Join" not in plan, "the chunks are made twice"
+    got = {i: [(r.ordinal, r.parent_ordinal) for r in sorted(rows.collect(), key=lambda r: r.ordinal) if r.id == i] for i in (1, 2, 3, None)}
+    assert got[1] == [(0, None), (1, 2), (2, None), (3, 2), (4, None), (5, 4)]
+    assert got[2] == [(0, None), (1, 0), (2, 0), (3, 2), (4, 2), (5, None), (6, 5)]
+    assert got[3] == [] and got[None] == [(0, None), (1, None)]
