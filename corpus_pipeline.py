@@ -7,11 +7,13 @@ decisions; extra columns of docs pass through until packing, which reads the id
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import jaccard_join, line_dedup, packing, pii, rule_ensemble
-from lexloom.llm.common import cut, release, rest_bucket, table
+from lexloom.llm.common import cut, release, rest_bucket, small_batches, table
 from lexloom.llm.tokens import vocabulary_path
 
 
@@ -49,7 +51,17 @@ def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_lines", repeated_lines), ("personal_data", personal_data), ("pack", pack)]
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session that hands texts to Python in small batches; the setting stays, as the result is worked out later."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(stage.__name__, _in_small_batches(stage)) for stage in (quality, near_duplicates, repeated_lines, personal_data, pack)]
 
 #: Trained models, tokenisers and fields aren't expressible in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, release, whole_groups
+from .common import chunks, cut, gives_back, release, whole_groups
 from .components import components, tasks_for
 from .textkit import mix, shingle_sets
 
@@ -149,7 +149,7 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
                 size = 0
         yield often()
 
-    return docs.mapInArrow(run, SURVEY)
+    return docs.mapInArrow(gives_back(run), SURVEY)
 
 
 def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
@@ -194,7 +194,7 @@ def keys(docs: DataFrame, words: int, threshold: float, heavy: tuple[np.ndarray,
                 k, *rest = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield arrays(schema, [k.view(np.int64), *rest])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(gives_back(run), schema)
 
 
 def buckets(threshold: float):
@@ -342,7 +342,7 @@ def in_cells(pairs: DataFrame, family: DataFrame, payload: DataFrame, most: int,
                 keep = check(dict(zip(of.column("a").to_pylist(), of.column("payload").to_pylist(), strict=True)), a, b, threshold)
                 yield arrays("a long, b long", [a[keep], b[keep]])
 
-    kept = cut(rows.mapInArrow(run, "a long, b long"))
+    kept = cut(rows.mapInArrow(gives_back(run), "a long, b long"))
     release(cells)
     return kept
 
@@ -483,7 +483,7 @@ def across(known: DataFrame, fine: DataFrame, sets: DataFrame, threshold: float,
             yield arrays(crossing, [None, None, list(crowded)])
 
     crossing = "a long, b long, list long"
-    out = cut(both.mapInArrow(run, crossing).distinct())
+    out = cut(both.mapInArrow(gives_back(run), crossing).distinct())
     release(left_in, wanted)
     return out
 
@@ -519,7 +519,7 @@ def link(docs: DataFrame, words: int = 5, threshold: float = 0.75, id_col: str =
         raise RuntimeError("two sets of shingles have one name")
     fine = named.select("sid", "doc_id", "text_hash", F.col("fine").alias("payload"))
     placed = keys(texts, words, threshold, heavy_shingles(surveyed)).repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid")
-    found = cut(placed.mapInArrow(buckets(threshold), FOUND))
+    found = cut(placed.mapInArrow(gives_back(buckets(threshold)), FOUND))
     large = cut(found.where("kind = 'large'").groupBy(F.col("a").alias("sid")).agg(F.sum("shared").alias("large")))
     members = found.where("kind = 'member'").select(F.col("b").alias("list"), F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
     links = verified(likely(found.where("kind = 'pair'"), large, threshold), sets, fine, texts, words, threshold)

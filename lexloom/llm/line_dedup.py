@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, gives_back
 
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
@@ -138,7 +138,7 @@ def _places(docs: DataFrame, unit: str, min_words: int, first_only: bool, runs:
         if best:
             yield out(list(best.values()))
 
-    return docs.mapInArrow(run, "digest binary, doc_id long, start long, end long, n long")
+    return docs.mapInArrow(gives_back(run), "digest binary, doc_id long, start long, end long, n long")
 
 
 def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, gives_back
 from .tokens import WordBpe
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -154,4 +154,4 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = (256, 512, 1024, 2
     """One row per piece: where it lies in its document and in its sequence, its ids' CRC-32, tier and step group. Tiers are rising powers of two."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers):
         raise ValueError("tiers must be rising powers of two")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packer(path, tuple(tiers), end_id, group_tokens, block_tokens), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(gives_back(packer(path, tuple(tiers), end_id, group_tokens, block_tokens)), SCHEMA)

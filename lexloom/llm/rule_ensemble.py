@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, slices
+from .common import chunks, cut, gives_back, slices
 from .textkit import Words
 
 STATISTICS = ("words", "chars_per_word", "upper", "digits", "stops", "symbols", "bars", "marks", "repeats", "distinct", "words_per_line", "joined")
@@ -77,7 +77,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             m = measure(part["text"])
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), *(pa.array(part[c], types[kinds[c]]) for c in keep), *(pa.array(m[:, k]) for k in range(m.shape[1]))], names=["doc_id", *keep, *STATISTICS])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(gives_back(run), schema)
 
 
 def measured(docs: DataFrame, name: str = "__statistics", text_col: str = "text") -> DataFrame:
