@@ -40,15 +40,18 @@ ANCHOR_STOPWORDS, ANCHOR_WORDS = ("law", "laws", "act", "acts", "code", "codes",
 STRONG_CASE = r"^(?:CA|CFI|DEC|ARB|ENF)(?: \d{1,4}/|-\d{1,4}-)(?:19|20)\d{2}(?:/\d+)?$"
 
 
-def ordered_distinct(values: Column, most: int) -> Column:
-    """First occurrences in order, whatever their case; inner white space is collapsed, empty ones fall away."""
+def ordered_distinct(values: Column, most: int | None = None) -> Column:
+    """First occurrences in order, whatever their case, or the first `most` of them; inner white space is collapsed, empty ones fall away."""
     clean = F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != "")
-    # bound once: inside the filter the whole search would be made again for every value
-    first = lambda x: F.filter(x["clean"], lambda v, i: F.array_position(x["low"], F.lower(v)) == i + 1)
-    return once(clean, lambda c: F.slice(once(F.struct(c.alias("clean"), F.transform(c, F.lower).alias("low")), first), 1, most))
+    # sorted, equal values stand side by side: none is sought among all the others; bound once, as the filter would make the search again for every value
+    keyed = F.sort_array(F.transform(clean, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("place"), v.alias("value"))))
+    first = once(keyed, lambda k: F.filter(k, lambda x, i: (i == 0) | (x["low"] != F.get(k, i - 1)["low"])))
+    kept = F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value")))), lambda x: x["value"])
+    return kept if most is None else F.slice(kept, 1, most)
 
 
-def references(text: Column, most: int = 24) -> dict[str, Column]:
+def references(text: Column, most: int | None = None) -> dict[str, Column]:
+    """All values of each kind in a text, or the first `most` of each."""
     t = F.coalesce(text, F.lit(""))
     return {name: ordered_distinct(F.regexp_extract_all(t, F.lit(p), 1), most) for name, p in REFERENCES.items()}
 

@@ -90,7 +90,7 @@ def route_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '\\b(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|(?:19|20)[0-9]{2})\\b'), lambda x: x <> '') AS v FROM documents)
   SELECT doc_id, len(u) AS n_dates, coalesce(u[1], '') AS first_date FROM (SELECT doc_id, list_filter(v, lambda x, i: list_position(v, x) = i)[1:24] AS u FROM d)""")
 def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", references.references(F.col("text"))["dates"].alias("d"))
+    found = table(spark, sf_dir, "documents").select("doc_id", references.references(F.col("text"), 24)["dates"].alias("d"))
     return found.select("doc_id", F.size("d").cast("long").alias("n_dates"), F.coalesce(F.get("d", F.lit(0)), F.lit("")).alias("first_date"))
 
 

@@ -14,6 +14,36 @@ def test_references_keep_order_and_ignore_case(spark):
     assert all(none[c] == [] for c in references.REFERENCES)
 
 
+def test_all_references_of_a_text_are_kept(spark, tmp_path):
+    from lexloom.plans.registry import QUERIES
+
+    word = lambda i: "B" + chr(97 + i // 26) + chr(97 + i % 26)
+    makers = {
+        "article_refs": lambda i: f"Article {i}",
+        "law_refs": lambda i: f"law no. {i}",
+        "case_refs": lambda i: f"case no. {i}",
+        "dates": lambda i: f"{1900 + i}",
+        "money_mentions": lambda i: f"USD {i}",
+        "entities": word,
+    }
+    order = [(7 * i) % 60 for i in range(60)]
+    texts = ["; ".join(make(i) for i in order) + "; " + "; ".join(make(i).upper() for i in reversed(order)) for make in makers.values()]
+    spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["document_references"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    for row, (kind, make) in zip(got, makers.items()):
+        assert row[kind] == [make(i) for i in order], kind
+    assert all(got[6][kind] == [] for kind in makers)
+    assert QUERIES["document_dates"](spark, str(tmp_path)).where("doc_id = 3").first().n_dates == 24
+
+
+def test_many_values_of_a_text_are_told_apart_without_seeking_each_among_all(spark):
+    frame = spark.createDataFrame([(["b", "B", "a\n a", None, "", "A a", "c", "C"],), ([],), (None,)], "v array<string>")
+    assert [r[0] for r in frame.select(references.ordered_distinct(F.col("v"))).collect()] == [["b", "a a", "c"], [], None]
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(119_999)), lambda i: F.concat(F.lit("v"), (i % 60_000).cast("string"))).alias("v"))
+    got = many.select(references.ordered_distinct(F.col("v")).alias("v")).first().v
+    assert got == [f"v{i}" for i in range(60_000)]
+
+
 def test_document_types_and_dates(spark):
     rows = spark.createDataFrame([("law_no_5.pdf", "Law No. 5, effective from 1.2.2020"), ("x", "The court gave judgment; the order expired 2019-01-01 and 2021-05-06"), ("y", "enactment notice"), ("z", None)], "n string, t string")
     got = [tuple(r) for r in rows.select(references.document_type(F.col("n"), F.col("t"))["doc_type"], *(c.cast("string") for c in references.effective_dates(F.col("t")).values())).collect()]
